@@ -46,6 +46,22 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, how: s
     return hot_rows.unionByName(rest.join(cold, key, how))
 
 
+#: Tables of at most so many narrow rows (a few longs each: some 50 MB) are broadcast; their
+#: rows are counted first, and beyond the bound the join is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (narrow and cheap to read again, such as a checkpoint), marked for broadcast only
+    if it has at most ``bound`` rows."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
+def row_key() -> F.Column:
+    """A key of a document's row: repeated rows share it, and so share their decisions."""
+    return F.xxhash64("doc_id", "text")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) long pairs -> (node, root): every node of an edge with the smallest node that it
     reaches. Alternates large-star and small-star steps (Kiveris et al., 2014): the rounds
