@@ -11,7 +11,7 @@ exact weighted similarity of the shingles: the sum of the smaller counts over th
 larger ones, at least ``threshold``.
 
 The radius is wide because a similarity of 0.8 moves some 10 of 64 bits (standard deviation 3).
-All happens where the document's words are; texts are never shuffled."""
+Only texts that share a shingle with an item are read a second time."""
 
 from __future__ import annotations
 
@@ -87,12 +87,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     items = checkpoint(items.withColumn("item_fp", _simhash("of")))
     placed = items.select("n", F.posexplode("of").alias("item_at", "h")).distinct()
     placed = broadcast_if_small(checkpoint(placed))
-    own = docs.select(row_key().alias("row"), "doc_id", _words(F.col("text")).alias("w")).where("size(w) > 0")
-    own = own.select("row", "doc_id", F.size("w").alias("size"), _hashes("w").alias("all"))
-    hits = own.select("row", "doc_id", "size", "all", F.posexplode("all").alias("at", "h")).join(placed, "h")
+    own = docs.select(row_key().alias("row"), _words(F.col("text")).alias("w"))
+    own = own.select("row", F.size("w").alias("size"), F.posexplode(_hashes("w")).alias("at", "h"))
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("size") - F.col("n")))
-    found = hits.select("row", "doc_id", "size", "n", start.alias("start"), F.slice("all", start + 1, F.greatest(F.col("n") - (SHINGLE - 1), F.lit(1))).alias("window"))
-    windows = checkpoint(found.dropDuplicates(["row", "n", "start"]))
+    places = own.join(placed, "h").select("row", "n", start.alias("start")).distinct()
+    places = places.groupBy("row").agg(F.collect_list(F.struct("n", "start")).alias("places"))  # as many as the text has words
+    places = broadcast_if_small(checkpoint(places), 100_000)
+    # texts that share a shingle are read again for their windows
+    again = docs.select(row_key().alias("row"), "doc_id", "text").join(places, "row").dropDuplicates(["row"])
+    again = again.select("row", "doc_id", "places", _words(F.col("text")).alias("w"))
+    again = again.select("row", "doc_id", F.size("w").alias("size"), "places", _hashes("w").alias("all"))
+    window = F.transform("places", lambda p: F.struct(p["n"].alias("n"), p["start"].alias("start"), F.slice("all", p["start"] + 1, F.greatest(p["n"] - (SHINGLE - 1), F.lit(1))).alias("window")))
+    windows = checkpoint(again.select("row", "doc_id", "size", F.inline(window)))
     windows = windows.withColumn("fp", _simhash("window"))
     keyed = windows.select("row", "n", "start", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("k"))
     index = items.select("item_id", "n", "item_fp", F.explode(_blocks(F.col("item_fp"), radius)).alias("k"))

@@ -99,12 +99,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL = r"""
 WITH cut AS (
-  SELECT doc_id, g.at, string_split(coalesce(text, ''), chr(10))[g.at + 1] AS raw
-  FROM documents, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS g(at)
+  SELECT doc_id, g.k AS pos, string_split(coalesce(text, ''), chr(10))[g.k + 1] AS raw
+  FROM documents, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS g(k)
 ), toks AS (
-  SELECT doc_id, at, string_split_regex(trim(regexp_replace(raw, '\S*[0-9]\S*', '<*>', 'g'), ' '), '\s+') AS tokens FROM cut
+  SELECT doc_id, pos, string_split_regex(trim(regexp_replace(raw, '\S*[0-9]\S*', '<*>', 'g'), ' '), '\s+') AS tokens FROM cut
 ), parsed AS (
-  SELECT doc_id, at, tokens, {'n': len(tokens), 'a': tokens[1], 'b': tokens[2], 'c': tokens[3]} AS leaf FROM toks WHERE len(tokens) >= 3
+  SELECT doc_id, pos, tokens, {'n': len(tokens), 'a': tokens[1], 'b': tokens[2], 'c': tokens[3]} AS leaf FROM toks WHERE len(tokens) >= 3
 ), leaves AS (
   SELECT leaf FROM parsed GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5
 ), within AS (
@@ -122,15 +122,15 @@ WITH cut AS (
 ), known AS (
   SELECT tokens, CASE WHEN share >= 0.6 THEN pattern ELSE tokens END AS template FROM voted
 ), occ AS (
-  SELECT w.doc_id, w.at, k.template FROM within w JOIN known k ON w.tokens = k.tokens
+  SELECT w.doc_id, w.pos, k.template FROM within w JOIN known k ON w.tokens = k.tokens
 ), recurring AS (
   SELECT template, min(doc_id) AS first_doc FROM occ GROUP BY template HAVING count(DISTINCT doc_id) >= 5
 ), gone AS (
-  SELECT DISTINCT o.doc_id, o.at FROM occ o JOIN recurring r ON o.template = r.template WHERE o.doc_id <> r.first_doc
+  SELECT DISTINCT o.doc_id, o.pos FROM occ o JOIN recurring r ON o.template = r.template WHERE o.doc_id <> r.first_doc
 )
-SELECT c.doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(g.at) AS INTEGER) AS n_dropped,
-  md5(coalesce(string_agg(c.raw, chr(10) ORDER BY c.at) FILTER (WHERE g.at IS NULL), '')) AS kept_md5
-FROM cut c LEFT JOIN gone g ON c.doc_id = g.doc_id AND c.at = g.at GROUP BY c.doc_id
+SELECT c.doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(g.pos) AS INTEGER) AS n_dropped,
+  md5(coalesce(string_agg(c.raw, chr(10) ORDER BY c.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_md5
+FROM cut c LEFT JOIN gone g ON c.doc_id = g.doc_id AND c.pos = g.pos GROUP BY c.doc_id
 """
 
 QUERIES = {"op4_line_dedup": op4_line_dedup}
