@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import bpe, decontamination, line_dedup, quality, simhash_dedup
+from . import bpe, chunk_dedup, decontamination, line_dedup, piecewise_hash, quality, sharding, simhash_dedup
 
-_MODULES = (simhash_dedup, line_dedup, bpe, quality, decontamination)
+_MODULES = (simhash_dedup, line_dedup, chunk_dedup, bpe, sharding, quality, piecewise_hash, decontamination)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
