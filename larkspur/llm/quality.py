@@ -138,30 +138,51 @@ def fit_non_negative(cells: np.ndarray, n_positive: np.ndarray, n_corpus: np.nda
     return _descend(x, gradient), prior
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text; the columns ``keep`` come back) with held_out boolean,
-    score double (0 to 1) and predicted int (score >= threshold).
-
-    Labels (doc_id, quality) of held-out documents are not read; null labels are none; a
-    document with several labels is positive if one is 1. Null and empty texts get the score of
-    their cell. Without positives every score is 0.5. Null ids count as '' for the fold. Repeated
-    rows stay; an empty table gives no rows; columns not in ``keep`` are dropped first, so clashes
-    of names cannot occur."""
-    described = checkpoint(with_cell(docs.select(*keep, *({"doc_id"} - {*keep}), "text")).drop("text"))
+def fit(described: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights and class prior from (doc_id, cell) of all documents and the labels of training
+    rows. At most 4^8 rows of counts reach the driver."""
     good = labels.where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("good")).where("good = 1")
     positive = described.join(good, "doc_id", "left_semi").groupBy("cell").agg(F.count("*").alias("n_positive"))
     counts = described.groupBy("cell").agg(F.count("*").alias("n_corpus"))
-    rows = counts.join(positive, "cell", "left").select("cell", F.coalesce("n_positive", F.lit(0)), "n_corpus").collect()  # <= 4^8 rows
+    rows = counts.join(positive, "cell", "left").select("cell", F.coalesce("n_positive", F.lit(0)), "n_corpus").collect()
     rows.sort()
+    if not rows:
+        return np.zeros(len(FEATURES) * LEVELS + 1), 0.5
     cells, n_positive, n_corpus = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
-    weights, _ = fit_non_negative(cells, n_positive, n_corpus) if rows else (np.zeros(len(FEATURES) * LEVELS + 1), 0.5)
+    return fit_non_negative(cells, n_positive, n_corpus)
+
+
+def score_of(weights: np.ndarray) -> F.Column:
+    """The score of the column ``cell``: an expression that needs no Python."""
     total = F.lit(float(weights[-1]))
     for k in range(len(FEATURES)):
         level = F.floor(F.col("cell") / LEVELS ** (len(FEATURES) - 1 - k)) % LEVELS
         own = [F.lit(float(w)) for w in weights[k * LEVELS : (k + 1) * LEVELS]]
         total = total + F.element_at(F.array(*own), (level + 1).cast("int"))
-    scored = described.withColumn("score", 1 / (1 + F.exp(-total))).withColumn("held_out", held_out())
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("cell")
+    return 1 / (1 + F.exp(-total))
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, held_out boolean, score double (0
+    to 1), predicted int (score >= threshold).
+
+    Labels (doc_id, quality) of held-out documents are not read; null labels are none; a
+    document with several labels is positive if one is 1. Null and empty texts get the score of
+    their cell. Without positives every score is 0.5. Null ids count as '' for the fold. Repeated
+    rows stay; an empty table gives no rows; further columns are ignored."""
+    described = checkpoint(with_cell(docs.select("doc_id", "text")).select("doc_id", "cell"))
+    weights, _ = fit(described, labels)
+    scored = described.select("doc_id", held_out().alias("held_out"), score_of(weights).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` accepts, with all their columns."""
+    described = checkpoint(with_cell(docs.select("doc_id", "text")).select("doc_id", "cell"))
+    weights, _ = fit(described, labels)
+    names = [f"`{c}`" for c in docs.columns]
+    scored = with_cell(docs.select(F.struct(*names).alias("__doc"), "text")).select("__doc", score_of(weights).alias("__score"))
+    return scored.where(F.col("__score") >= threshold).select("__doc.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,18 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import bpe, chunk_dedup, decontamination, line_dedup, piecewise_hash, quality, sharding, simhash_dedup
+from . import (
+    bpe,
+    chunk_dedup,
+    decontamination,
+    licenses,
+    line_dedup,
+    piecewise_hash,
+    quality,
+    sharding,
+    simhash_dedup,
+    toxicity,
+)
 
-_MODULES = (simhash_dedup, line_dedup, chunk_dedup, bpe, sharding, quality, piecewise_hash, decontamination)
+_MODULES = (simhash_dedup, licenses, toxicity, line_dedup, chunk_dedup, bpe, sharding, quality, piecewise_hash, decontamination)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, join_counted, table
+from .common import broadcast_if_small, checkpoint, connected_components, join_counted, row_key, table
 
 BLOCKS = 7
 RADIUS = 4
@@ -204,24 +204,36 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS, cell_limit: int = CELL_
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 4, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, fp long, fingerprint (16 hex
-    digits), component_id (the smallest doc_id that links reach, itself included), n_same (rows
-    with this fingerprint).
+    """One row for each row of ``docs`` (doc_id, text): row (key of doc_id and text), doc_id,
+    fingerprint (16 hex digits), component_id (the smallest doc_id that links reach, itself
+    included), component (long; names the component also where ids are null).
 
     Null, empty and blank texts have fingerprint zero and are linked like others. Repeated rows
     come out as often as they came in. A null doc_id keeps its row and never names a component
     unless all ids of the component are null. An empty table gives no rows. Further columns of
     ``docs`` are ignored. Two fingerprints are linked at ``radius`` differing bits or fewer."""
-    own = checkpoint(with_fingerprint(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"))
+    own = checkpoint(with_fingerprint(docs.select("doc_id", "text", row_key().alias("row")), shingle).select("row", "doc_id", "fp"))
     fps = own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_same"))
     labels = connected_components(links(fps.select("fp"), radius, cell_limit))
     linked = fps.join(labels, fps.fp == labels.node).select("fp", "root", "low")
     lows = linked.groupBy("root").agg(F.min("low").alias("component_low"))
-    linked = linked.join(lows, "root").select("fp", "component_low")
-    named = fps.join(linked, "fp", "left").select("fp", "n_same", F.coalesce("component_low", "low").alias("component_id"))
-    named = checkpoint(named)
+    linked = linked.join(lows, "root").select("fp", "root", "component_low")
+    named = fps.join(linked, "fp", "left")
+    named = checkpoint(named.select("fp", "n_same", F.coalesce("component_low", "low").alias("component_id"), F.coalesce("root", "fp").alias("component")))
     out = join_counted(own, named, "fp", "n_same")
-    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+    return out.select("row", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")
+
+
+def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = 4) -> DataFrame:
+    """One row of each component of ``docs``, the one with the smallest doc_id (null last; then
+    by key), with all its columns. Repeated rows count once."""
+    found = near_duplicates(docs, radius, shingle)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"), F.count("*").alias("n"))
+    first = checkpoint(first.select(F.col("first.row").alias("__row"), "n"))
+    keyed = docs.withColumn("__row", row_key())
+    alone = keyed.join(broadcast_if_small(first.where("n = 1").select("__row")), "__row", "left_semi")
+    several = keyed.join(broadcast_if_small(first.where("n > 1").select("__row")), "__row", "left_semi").dropDuplicates(["__row"])
+    return alone.unionByName(several).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
