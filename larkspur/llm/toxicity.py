@@ -28,8 +28,9 @@ from .common import held_out, table
 MAX_LABELLED = 30_000
 #: Learnt terminals, at most (by evidence).
 MAX_TERMS = 4_000
-#: A word is learnt from so many toxic documents on and from this log odds on.
-LEAST_DOCS, LEAST_ODDS = 4, 2.5
+#: A word is learnt from so many toxic documents on, if its log odds less 1.64 standard errors
+#: reach this.
+LEAST_DOCS, LEAST_ODDS = 5, 1.8
 PREFIX = 5
 #: Pieces whose terminals a worker keeps (memory only).
 KEEP_PIECES = 300_000
@@ -61,9 +62,10 @@ def learn_terms(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     size = train.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
     bad, good = (size.bad or 0), (size.n or 0) - (size.bad or 0)
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (good + 1))
-    least = max(LEAST_DOCS, int(0.003 * bad))
+    error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("n") - F.col("bad") + 0.5))
+    least = max(LEAST_DOCS, int(0.01 * bad))
     seed = F.col("term").isin([*INSULTS, *THREATS])
-    kept = counts.withColumn("odds", odds).where(((F.col("bad") >= least) & (F.col("odds") >= LEAST_ODDS)) | seed)
+    kept = counts.withColumn("odds", odds).where(((F.col("bad") >= least) & (odds - 1.64 * error >= LEAST_ODDS)) | seed)
     rows = kept.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "term").limit(MAX_TERMS).collect()
     weights = {w: START_WEIGHT for w in [*INSULTS, *THREATS]}
     for r in rows:
