@@ -84,9 +84,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     # documents come and go under names of their own, whatever columns the tables have
     items = benchmark.select("item_id", _words(F.col("text")).alias("w")).where("size(w) > 0").distinct()
     items = items.select("item_id", F.size("w").alias("n"), _hashes("w").alias("of"))
-    items = checkpoint(items.withColumn("item_fp", _simhash("of")))
+    # few rows against the corpus: few files
+    items = checkpoint(items.withColumn("item_fp", _simhash("of")).coalesce(16))
     placed = items.select("n", F.posexplode("of").alias("item_at", "h")).distinct()
-    placed = broadcast_if_small(checkpoint(placed))
+    placed = broadcast_if_small(placed)
     own = docs.select(row_key().alias("row"), _words(F.col("text")).alias("w"))
     own = own.select("row", F.size("w").alias("size"), F.posexplode(_hashes("w")).alias("at", "h"))
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("size") - F.col("n")))
@@ -102,7 +103,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     windows = windows.withColumn("fp", _simhash("window"))
     keyed = windows.select("row", "n", "start", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("k"))
     index = items.select("item_id", "n", "item_fp", F.explode(_blocks(F.col("item_fp"), radius)).alias("k"))
-    index = broadcast_if_small(checkpoint(index.select("item_id", "n", "item_fp", "k.block", "k.bits")))
+    index = broadcast_if_small(index.select("item_id", "n", "item_fp", "k.block", "k.bits"))
     near = keyed.select("row", "n", "start", "fp", "k.block", "k.bits").join(index, ["n", "block", "bits"])
     near = near.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("distance") <= radius)
     near = near.select("row", "n", "start", "item_id", "distance").distinct()
