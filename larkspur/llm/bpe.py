@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -41,12 +43,20 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _class(kind: str) -> str:
+    """Ranges of the characters of a category, by Python's Unicode data: its version agrees with
+    the library's, which newer pattern modules do not."""
+    own = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == kind]
+    starts = [c for c, b in zip(own, [-2, *own], strict=False) if c != b + 1]
+    ends = [c for c, a in zip(own, [*own[1:], -2], strict=True) if a != c + 1]
+    return "".join(f"{chr(a)}-{chr(z)}" for a, z in zip(starts, ends, strict=True))
+
+
 class WordBpe:
     """A vocabulary of the word-end kind with lower case and dropped white space."""
 
     def __init__(self, path: str):
         import ahocorasick
-        import regex
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -58,9 +68,10 @@ class WordBpe:
         self.text_of |= {i: t for t, i in self.added.items()}
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.symbols = _byte_symbols()
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACE + r"\p{L}\p{N}]+")
-        self.gap = regex.compile("[" + _SPACE + "]+")
-        self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        letter, number = _class("L"), _class("N")
+        self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{_SPACE}{letter}{number}]+")
+        self.gap = re.compile(f"[{_SPACE}]+")
+        self.special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.automaton = ahocorasick.Automaton()
         for token, i in self.vocab.items():
             if token not in self.added:
