@@ -44,8 +44,8 @@ def _byte_symbols() -> list[str]:
 
 
 def _class(kind: str) -> str:
-    """Ranges of the characters of a category, by Python's Unicode data: its version agrees with
-    the library's, which newer pattern modules do not."""
+    """Ranges of the characters of a category, by Python's Unicode data, which is closest to the
+    library's. Characters that it doesn't know (assigned after Unicode 15.1) count as symbols."""
     own = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == kind]
     starts = [c for c, b in zip(own, [-2, *own], strict=False) if c != b + 1]
     ends = [c for c, a in zip(own, [*own[1:], -2], strict=True) if a != c + 1]
