@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import found_in
-
 
 def sales_bonus(sold: F.Column) -> F.Column:
     return F.when(sold > 100, 20).when(sold > 50, 15).when(sold > 10, 10).when(sold > 0, 5).otherwise(0)
@@ -16,37 +15,35 @@ def age_bonus(date_add: F.Column, as_of: F.Column) -> F.Column:
     return F.when(days <= 7, 15).when(days <= 30, 10).otherwise(0)
 
 
-def relevance(
-    query: F.Column, words: F.Column, as_of: F.Column | None = None, description: F.Column | None = None,
-    sold: F.Column | None = None, date_add: F.Column | None = None,
-) -> F.Column:
-    """Tiered score of the columns name, brand, reference, short_desc and stock for a lower-case
-    query and its words. Optional columns that are not given add nothing."""
-    name, brand, ref, short = F.lower("name"), F.lower("brand"), F.lower("reference"), F.lower("short_desc")
-    n = F.size(words)
-    hits = lambda text: F.size(F.filter(words, lambda w: found_in(w, text)))
-    plain = lambda text: F.size(F.filter(words, lambda w: F.contains(text, w)))
-    in_name, in_brand, in_ref = hits(name), hits(brand), hits(ref)
-    prefix = F.when(F.startswith(name, query), 100).otherwise(0)
-    ratio = in_name / n
-    all_words = 1000 + F.when(F.contains(name, query), 300 + prefix).otherwise(0) + 10 * in_brand + 10 * in_ref
-    part = 40 * in_name + 30 * in_brand + 35 * in_ref + F.when(ratio >= 0.75, 100).when(ratio >= 0.5, 50).otherwise(0) + 5 * plain(short)
+def with_relevance(found: DataFrame, as_of: F.Column | None = None, full: bool = True, to: str = "relevance") -> DataFrame:
+    """Adds the tiered score of name, brand, reference, short_desc and stock for the lower-case
+    ``query``, its ``words`` and their ``spellings`` (an array of forms for each word). ``full``
+    also counts description, sold and date_add. The hits are columns of their own first, so each
+    is computed once and the formula stays small."""
+    of = lambda text: F.size(F.filter("spellings", lambda forms: F.exists(forms, lambda v: F.contains(F.col(text), v))))
+    plain = lambda text: F.size(F.filter("words", lambda w: F.contains(F.col(text), w)))
+    columns = found.columns
+    lower = found.select("*", F.lower("name").alias("_n"), F.lower("brand").alias("_b"), F.lower("reference").alias("_r"), F.lower("short_desc").alias("_s"), F.lower("description" if full else F.lit("")).alias("_d"))
+    hits = lower.select("*", of("_n").alias("_hn"), of("_b").alias("_hb"), of("_r").alias("_hr"), plain("_s").alias("_hs"), plain("_d").alias("_hd"), F.size("words").alias("_w"))
+    query, n, name_hits = F.col("query"), F.col("_w"), F.col("_hn")
+    whole = F.contains(F.col("_n"), query)
+    prefix = F.when(F.startswith(F.col("_n"), query), 100).otherwise(0)
+    ratio = name_hits / n
+    all_words = 1000 + F.when(whole, 300 + prefix).otherwise(0) + 10 * F.col("_hb") + 10 * F.col("_hr")
+    part = 40 * name_hits + 30 * F.col("_hb") + 35 * F.col("_hr") + F.when(ratio >= 0.75, 100).when(ratio >= 0.5, 50).otherwise(0) + 5 * F.col("_hs")
     part = part * F.when((n > 1) & (ratio < 0.5), F.lit(0.3)).otherwise(F.lit(1.0))
     base = (
-        F.when((n > 0) & (in_name == n), all_words.cast("double"))
-        .when(F.contains(name, query), (800 + prefix).cast("double"))
-        .when(F.contains(brand, query), F.lit(700.0))
-        .when(F.contains(ref, query), F.lit(750.0))
+        F.when((n > 0) & (name_hits == n), all_words.cast("double"))
+        .when(whole, (800 + prefix).cast("double"))
+        .when(F.contains(F.col("_b"), query), F.lit(700.0))
+        .when(F.contains(F.col("_r"), query), F.lit(750.0))
         .otherwise(part.cast("double"))
-    )
-    if description is not None:
-        base = base + 3 * plain(F.lower(description))
-    if sold is not None:
-        base = base + sales_bonus(F.coalesce(sold, F.lit(0)))
-    if date_add is not None and as_of is not None:
-        base = base + age_bonus(date_add, as_of)
-    sold_out = F.round((base * 0.7).cast("decimal(20,6)"), 0).cast("double")
-    return F.when(F.col("stock") <= 0, sold_out).otherwise(base)
+    ) + 3 * F.col("_hd")
+    if full:
+        base = base + sales_bonus(F.coalesce("sold", F.lit(0))) + age_bonus(F.col("date_add"), as_of)
+    based = hits.withColumn("_base", base)
+    sold_out = F.round((F.col("_base") * 0.7).cast("decimal(20,6)"), 0).cast("double")
+    return based.select(*columns, F.when(F.col("stock") <= 0, sold_out).otherwise(F.col("_base")).alias(to))
 
 
 def linguistic(query: F.Column, words: F.Column, sold: F.Column, rating: F.Column, fuzzy: F.Column | None = None) -> F.Column:

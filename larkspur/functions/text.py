@@ -82,9 +82,9 @@ def expand_words(words: F.Column, corrections: F.Column | None = None) -> F.Colu
     return F.array_distinct(own if corrections is None else F.concat(own, corrections))
 
 
-def found_in(word: F.Column, text: F.Column) -> F.Column:
-    """Whether the text holds the word or another spelling of its unit."""
-    return F.contains(text, word) | F.exists(unit_variations(word), lambda v: F.contains(text, v))
+def spellings(words: F.Column) -> F.Column:
+    """For each word the forms that count as it: itself and the other spellings of its unit."""
+    return F.transform(words, lambda w: F.concat(F.array(w), unit_variations(w)))
 
 
 def normalize(query: F.Column) -> F.Column:

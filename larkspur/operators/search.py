@@ -12,11 +12,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import fuzzy_similarity, linguistic, relevance
-from ..functions.text import consonants, expand_words, normalize, query_words, stem, subsequence_pattern, without_stop_words
+from ..functions.scoring import fuzzy_similarity, linguistic, with_relevance
+from ..functions.text import consonants, expand_words, normalize, query_words, spellings, stem, without_stop_words
 
 CANDIDATES, FUZZY_CANDIDATES, RESULTS, FUZZY_BELOW = 300, 200, 200, 5
 QUERY_BOUND = 10_000
+FIELDS = ("name", "short_desc", "description", "reference", "brand")
 
 
 @dataclass(frozen=True)
@@ -47,16 +48,18 @@ class Filters:
 
 
 def small(df: DataFrame, bound: int = QUERY_BOUND) -> DataFrame:
-    """Marked for broadcast only if it has at most ``bound`` rows."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    """A stated, small table (queries, rules) as a local one, marked for broadcast, if it has at
+    most ``bound`` rows; beyond that as it is. What was derived for it is then computed once."""
+    rows = df.limit(bound + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= bound else df
 
 
 def with_words(queries: DataFrame) -> DataFrame:
-    """Adds words and terms (words with their variations) to (query_id, query); queries under two
-    characters are dropped."""
+    """Adds words, spellings and terms (words with their variations) to (query_id, query); queries
+    under two characters are dropped."""
     known = queries.where(F.length(F.trim("query")) >= 2).withColumn("query", F.lower(F.trim("query")))
-    known = known.withColumn("words", query_words(F.col("query")))
-    return known.withColumn("terms", expand_words(F.col("words"))).where(F.size("words") > 0)
+    known = known.withColumn("words", query_words(F.col("query"))).where(F.size("words") > 0)
+    return known.withColumn("spellings", spellings(F.col("words"))).withColumn("terms", expand_words(F.col("words")))
 
 
 def top(df: DataFrame, n: int, *order, by: str = "query_id") -> DataFrame:
@@ -64,13 +67,15 @@ def top(df: DataFrame, n: int, *order, by: str = "query_id") -> DataFrame:
     return ranked.where(F.col("__rank") <= n).drop("__rank")
 
 
-def any_field(terms: F.Column, *fields: str) -> F.Column:
-    """Whether some term is in some field (literal, case-insensitive, accents count)."""
-    return F.exists(terms, lambda w: F.lit(False) | _any([F.contains(F.lower(f), w) for f in fields]))
+def folded(catalog: DataFrame, **groups: tuple[str, ...]) -> DataFrame:
+    """Adds, before any join, a lower-case text for each group of fields: one look-up finds a term
+    in all of them, and no row is folded twice. Terms hold no line break, so none spans two fields."""
+    return catalog.select("*", *(F.lower(F.concat_ws("\n", *fields)).alias(f"__{name}") for name, fields in groups.items()))
 
 
-def all_words(words: F.Column, *fields: str) -> F.Column:
-    return F.forall(words, lambda w: _any([F.contains(F.lower(f), w) for f in fields]))
+def any_in(terms: F.Column, text: str) -> F.Column:
+    """Whether some term is in the folded text (literal, accents count)."""
+    return F.exists(terms, lambda w: F.contains(F.col(text), w))
 
 
 def _any(tests: list[F.Column]) -> F.Column:
@@ -82,20 +87,19 @@ def _any(tests: list[F.Column]) -> F.Column:
 
 def candidates(catalog: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """Products with a term in any of five fields, per query: more terms in the name first."""
-    hit = any_field(F.col("terms"), "name", "short_desc", "description", "reference", "brand")
-    found = catalog.join(small(with_words(queries)), hit)
-    found = found.withColumn("name_match_count", F.size(F.filter("terms", lambda w: F.contains(F.lower("name"), w))))
+    found = folded(catalog, all=FIELDS, name=("name",)).join(small(with_words(queries)), any_in(F.col("terms"), "__all"))
+    found = found.withColumn("name_match_count", F.size(F.filter("terms", lambda w: F.contains(F.col("__name"), w)))).drop("__all", "__name")
     return top(found, limit, F.desc("name_match_count"), "name", "id_product")
 
 
 def scored(found: DataFrame, as_of: F.Column, full: bool = True) -> DataFrame:
-    extra = {"description": F.col("description"), "sold": F.col("sold"), "date_add": F.col("date_add")} if full else {}
-    return found.withColumn("relevance", relevance(F.col("query"), F.col("words"), as_of, **extra))
+    return with_relevance(found, as_of, full)
 
 
 def exact_words(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     """Products where every word is in some field."""
-    return catalog.join(small(with_words(queries)), all_words(F.col("words"), "name", "short_desc", "description", "reference", "brand"))
+    every = F.forall("words", lambda w: F.contains(F.col("__all"), w))
+    return folded(catalog, all=FIELDS).join(small(with_words(queries)), every).drop("__all")
 
 
 def exact_code(catalog: DataFrame, queries: DataFrame) -> DataFrame:
@@ -113,18 +117,35 @@ def fuzzy_candidates(catalog: DataFrame, queries: DataFrame, limit: int = FUZZY_
     """Products that resemble a word of three characters or more: its sound, its letters in
     order, the word without its first or last letter, or its consonants in order."""
     asked = with_words(queries).withColumn("probe", F.explode(F.array_distinct(F.filter(F.split("query", " "), lambda w: F.length(w) >= 3))))
-    asked = asked.withColumn("p1", subsequence_pattern(F.col("probe"))).withColumn("skeleton", consonants(F.col("probe")))
-    asked = asked.withColumn("p2", F.when(F.length("skeleton") >= 3, subsequence_pattern(F.col("skeleton"))))
-    asked = asked.withColumn("head", F.when(F.length("probe") > 3, F.substring("probe", F.lit(1), F.length("probe") - 1)))
-    asked = asked.withColumn("tail", F.when(F.length("probe") > 3, F.substring("probe", F.lit(2), F.length("probe"))))
-    name, text, brand = F.lower("name"), F.lower("description"), F.lower("brand")
-    like = lambda pattern: _any([F.like(f, F.col(pattern)) for f in (name, text, brand)])
-    tests = [like("p1"), F.coalesce(like("p2"), F.lit(False))]
-    tests += [F.coalesce(_any([F.contains(name, F.col("tail")), F.contains(name, F.col("head")), F.contains(text, F.col("tail")), F.contains(brand, F.col("tail")), F.contains(brand, F.col("head"))]), F.lit(False))]
+    letters = lambda word: F.filter(F.split(word, ""), lambda c: c != "")
+    long = F.length("probe") > 3
+    asked = asked.withColumn("letters", letters(F.col("probe"))).withColumn("skeleton", letters(consonants(F.col("probe"))))
+    asked = asked.withColumn("head", F.when(long, F.substring("probe", F.lit(1), F.length("probe") - 1)))
+    asked = asked.withColumn("tail", F.when(long, F.substring("probe", F.lit(2), F.length("probe"))))
     if phonetic:
-        tests.append((F.soundex("name") == F.soundex("probe")) | (F.soundex("brand") == F.soundex("probe")))
-    found = catalog.join(small(asked), _any(tests)).drop("probe", "p1", "p2", "skeleton", "head", "tail").dropDuplicates(["query_id", "id_product"])
-    return top(found, limit, "name", "id_product")
+        asked = asked.withColumn("sound", F.soundex("probe"))
+        catalog = catalog.withColumn("__s1", F.soundex("name")).withColumn("__s2", F.soundex("brand"))
+    name, text, brand = F.col("__name"), F.col("__text"), F.col("__brand")
+    part = _any([F.contains(f, F.col("tail")) for f in (name, text, brand)] + [F.contains(f, F.col("head")) for f in (name, brand)])
+    tests = [F.coalesce(part, F.lit(False))]
+    if phonetic:
+        tests.append((F.col("__s1") == F.col("sound")) | (F.col("__s2") == F.col("sound")))
+    tests += [in_order(F.col("letters"), f) for f in (name, text, brand)]
+    tests += [(F.size("skeleton") >= 3) & in_order(F.col("skeleton"), f) for f in (name, text, brand)]
+    own = folded(catalog, name=("name",), text=("description",), brand=("brand",))
+    found = own.join(small(asked), _any(tests)).drop("probe", "letters", "skeleton", "head", "tail", "sound", "__s1", "__s2", "__name", "__text", "__brand")
+    return top(found.dropDuplicates(["query_id", "id_product"]), limit, "name", "id_product")
+
+
+def in_order(letters: F.Column, text: F.Column) -> F.Column:
+    """Whether the letters stand in the text in this order: a walk by locate, since a LIKE whose
+    pattern is a column compiles a pattern for each row."""
+
+    def step(at: F.Column, letter: F.Column) -> F.Column:
+        then = F.call_function("locate", letter, text, at + 1)
+        return F.when(at < 0, F.lit(-1)).when(then > 0, then).otherwise(F.lit(-1))
+
+    return F.aggregate(letters, F.lit(0), step) >= 0
 
 
 def apply_filters(found: DataFrame, filters: Filters, links: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
@@ -169,7 +190,7 @@ def boost_rules(boosts: DataFrame, as_of: F.Column, respect_schedule: bool = Tru
 
 def fired(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """(query_id, query, words, id_product, boost): rules that a query fires."""
-    asked = with_words(queries).select("query_id", "query", "words")
+    asked = small(with_words(queries).select("query_id", "query", "words", "spellings"))
     own = rules.select("id_product", F.col("boost_value").cast("double").alias("boost"), "keywords")
     return asked.join(small(own), keyword_fires(F.col("keywords"), F.col("words"))).drop("keywords")
 
@@ -177,7 +198,7 @@ def fired(queries: DataFrame, rules: DataFrame) -> DataFrame:
 def boosted(found: DataFrame, queries: DataFrame, rules: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """Adds boost (1 without a rule) and injected; with a catalogue, products of fired rules that
     were not found come in with their score plus 50, for queries that found anything."""
-    hits = fired(queries, rules)
+    hits = small(fired(queries, rules))
     out = found.join(hits.select("query_id", "id_product", "boost"), ["query_id", "id_product"], "left")
     out = out.withColumn("boost", F.coalesce("boost", F.lit(1.0))).withColumn("injected", F.lit(False))
     if catalog is None:
@@ -204,10 +225,11 @@ def search(
     filters = filters or Filters()
     codes = exact_code(catalog, queries).withColumn("final", F.col("relevance")).withColumn("rank", F.lit(1)).withColumn("boost", F.lit(1.0)).withColumn("injected", F.lit(False))
     open_queries = queries.join(codes.select("query_id"), "query_id", "left_anti")
-    organic = apply_filters(scored(candidates(catalog, open_queries), as_of), filters, links)
+    # at most 300 and 200 rows a query are kept: they are used several times below
+    organic = apply_filters(scored(candidates(catalog, open_queries), as_of), filters, links).persist()
     counts = organic.groupBy("query_id").agg(F.count("*").alias("n"))
     short = open_queries.join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < FUZZY_BELOW).drop("n")
-    fuzzy = apply_filters(scored(fuzzy_candidates(catalog, short, phonetic=phonetic), as_of, full=False), filters, links)
+    fuzzy = apply_filters(scored(fuzzy_candidates(catalog, short, phonetic=phonetic), as_of, full=False), filters, links).persist()
     keep = ["query_id", "id_product", "name", "relevance"]
     both = merge(organic.select(*keep), fuzzy.select(*keep))
     ranked = final_order(boosted(both, open_queries, boost_rules(boosts, as_of), catalog if inject else None))
@@ -254,9 +276,9 @@ def linguistic_search(catalog: DataFrame, queries: DataFrame, synonyms: DataFram
     """The linguistic profile: words in six fields, stems in two, synonyms in two, additive
     scores, fuzzy rows where under ``limit`` were found. ``catalog`` has sold and rating."""
     terms = linguistic_terms(queries, synonyms)
-    word_hit = any_field(F.col("words"), "name", "short_desc", "reference", "ean13", "brand")
-    hit = word_hit | any_field(F.filter("stems", lambda s: F.length(s) >= 2), "name", "short_desc") | any_field(F.transform("synonyms", lambda s: F.lower(s)), "name", "short_desc")
-    found = catalog.join(small(terms), hit)
+    hit = any_in(F.col("words"), "__all") | any_in(F.filter("stems", lambda s: F.length(s) >= 2), "__short") | any_in(F.transform("synonyms", lambda s: F.lower(s)), "__short")
+    own = folded(catalog, all=("name", "short_desc", "reference", "ean13", "brand"), short=("name", "short_desc"))
+    found = own.join(small(terms), hit).drop("__all", "__short")
     raw = query_words(F.col("query"))
     found = found.withColumn("score", linguistic(F.col("query"), raw, F.col("sold"), F.col("rating")))
     found = top(found, limit * 3, F.desc("score"), "name", "id_product")
