@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.text import strip_tags
 
 MAX_TEXT, MAX_ITEMS, MAX_KEY, MAX_DEPTH = 1000, 100, 50, 5
-EVENT = T.StructType.fromDDL(
+EVENT = (
     "event_type string, shop_id string, session_id string, user_agent string, device_type string, timestamp string, page_url string, "
     "query string, results_count int, product_id bigint, product_name string, position int, price double, order_id bigint, "
     "last_search_query string, customer_id bigint, revenue double, currency string, "

@@ -44,7 +44,7 @@ def test_bonus_edges(spark):
 def test_merge_never_repeats_and_penalises(spark):
     one = spark.createDataFrame([(1, 7, 90.0)], "query_id int, id_product int, relevance double")
     two = spark.createDataFrame([(1, 7, 50.0), (1, 8, 90.0)], "query_id int, id_product int, relevance double")
-    assert {(r.id_product, r.relevance) for r in search.merge(one, two).collect()} == {(7, 90.0), (8, 63.0)}
+    assert {(r.id_product, r.relevance) for r in search.merge(one, two).collect()} == {(7, 90.0), (8, 90.0 * 0.7)}
 
 
 def test_pages_join_up(spark, sf):
