@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import facets, merch, search
+from ..operators import baskets, envelope, facets, merch, search, suggest
 from ..sources import shop
 from .views import score_sql, with_views
 
@@ -473,3 +474,70 @@ def cache_stats(spark, sf):
 @query("json_response", with_views("SELECT '{\"id_product\":' || id_product || ',\"name\":\"' || name || '\",\"sold\":' || coalesce(CAST(sold AS VARCHAR), 'null') || '}' AS body FROM catalog LEFT JOIN sales USING (id_product)", "catalog", "sales"))
 def json_response(spark, sf):
     return merch.response(sold_catalog(spark, sf).select("id_product", "name", "sold"))
+
+
+# bundles and envelopes
+@query("facet_bundle", with_views("""SELECT 'brand' AS facet, brand AS key, count(DISTINCT id_product) AS n FROM catalog GROUP BY 2
+  UNION ALL SELECT 'category', CAST(id_category AS VARCHAR), count(DISTINCT id_product) FROM links WHERE id_category > 2 GROUP BY 2
+  UNION ALL SELECT 'price', 'min', CAST(floor(min(price)) AS BIGINT) FROM catalog UNION ALL SELECT 'price', 'max', CAST(trunc(ceil(max(price)) * (1 + CAST(22.0 AS DOUBLE) / 100)) AS BIGINT) FROM catalog""", "catalog", "links"))
+def facet_bundle(spark, sf):
+    return envelope.facet_bundle(shop.catalog(spark, sf), shop.category_links(spark, sf))
+
+
+@query("query_facet_bundle", with_views("""SELECT * FROM (SELECT 'brand' AS facet, brand AS key, count(*) AS n FROM catalog WHERE contains(lower(name), 'bolt') GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
+  UNION ALL SELECT 'category', category, count(*) FROM catalog WHERE contains(lower(name), 'bolt') GROUP BY 2
+  UNION ALL SELECT 'attribute', group_name || ':' || value, count(DISTINCT id_product) FROM attrs WHERE id_product IN (SELECT id_product FROM catalog WHERE contains(lower(name), 'bolt')) GROUP BY 2""", "catalog", "attrs"))
+def query_facet_bundle(spark, sf):
+    return envelope.query_facet_bundle(shop.catalog(spark, sf), shop.attributes(spark, sf), ["bolt"])
+
+
+@query("nested_attribute_facet", with_views("SELECT id_group, group_name, CAST(count(*) AS INTEGER) AS n_values, CAST(max(n) AS BIGINT) AS most FROM (SELECT id_group, group_name, value, count(DISTINCT id_product) AS n FROM attrs GROUP BY 1, 2, 3) GROUP BY 1, 2", "attrs"))
+def nested_attribute_facet(spark, sf):
+    counts = shop.attributes(spark, sf).groupBy("id_group", "group_name", "value").agg(F.countDistinct("id_product").alias("n_products"))
+    nested = facets.nested_attribute_facet(counts)
+    return nested.select("id_group", "group_name", F.size("values").alias("n_values"), F.col("values")[0]["n_products"].alias("most"))
+
+
+@query("bestsellers_with_invalid_orders", with_views("SELECT l.id_product, CAST(sum(quantity) AS BIGINT) AS sold FROM lines l LEFT JOIN orders o ON o_orderkey = id_order AND o_orderstatus IN ('F', 'O') GROUP BY 1 HAVING sum(quantity) > 0 ORDER BY 2 DESC, 1 LIMIT 20", "lines"))
+def bestsellers_with_invalid_orders(spark, sf):
+    """The compatible variant of the badge: the validity test stands in the outer join, so the
+    lines of invalid orders count as well."""
+    heads = shop.order_heads(spark, sf).where("valid").select("id_order", "valid")
+    sold = shop.order_lines(spark, sf).join(heads, "id_order", "left").groupBy("id_product").agg(F.sum("quantity").alias("sold"))
+    return sold.where("sold > 0").orderBy(F.desc("sold"), "id_product").limit(20)
+
+
+@query("no_results_page", with_views("SELECT id_product, name FROM catalog JOIN sales USING (id_product) WHERE sold > 0 ORDER BY sold DESC, name, id_product LIMIT 8", "catalog", "sales"))
+def no_results_page(spark, sf):
+    return facets.bestsellers_or_recent(shop.catalog(spark, sf), shop.sales(spark, sf), 8)
+
+
+@query("pages_accumulated", with_views(f"SELECT id_product, CAST(row_number() OVER (ORDER BY relevance DESC, name, id_product) AS INTEGER) AS rank FROM ({_candidates_sql('cold widget')}) QUALIFY rank <= 72", "catalog", "sales"))
+def pages_accumulated(spark, sf):
+    found = search.final_order(_scored(spark, sf, "cold widget").withColumn("boost", F.lit(1.0))).persist()  # at most 200 rows a query
+    pages = [search.page(found, offset, 24) for offset in (0, 24, 48)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).select("id_product", "rank")
+
+
+@query("recommendation_cards", with_views("SELECT id_product, name, brand, CAST(round(CAST(price_incl AS DECIMAL(20, 6)), 2) AS DOUBLE) AS price_shown, stock > 0 AS in_stock FROM catalog WHERE id_product <> 10 AND id_category = (SELECT id_category FROM catalog WHERE id_product = 10) ORDER BY md5(CAST(id_product AS VARCHAR)), id_product LIMIT 8", "catalog"))
+def recommendation_cards(spark, sf):
+    cat = shop.catalog(spark, sf)
+    return envelope.recommendations(baskets.same_category(cat, 10), cat)
+
+
+@query("banner_list", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'top', CAST(1 AS INTEGER)), (5, 'top', 2), (2, 'middle', 3), (3, 'bottom', 4), (6, 'bottom', 5), (4, 'sidebar', 6)) AS v(id, position, place)")
+def banner_list(spark, sf):
+    place = F.array_position(F.array(*[F.lit(p) for p in merch.POSITIONS]), F.col("position"))
+    order = Window.partitionBy().orderBy(place, "id")  # an admin's list: a handful of rows
+    return banners(spark).select("id", "position", F.row_number().over(order).alias("place"))
+
+
+@query("search_envelope")
+def search_envelope(spark, sf):
+    cat = shop.catalog(spark, sf)
+    ranked = search.final_order(_scored(spark, sf, "cold widget").withColumn("boost", F.lit(1.0)))
+    page = search.page(ranked, 0, 24).select("rank", "id_product", "name", "relevance", "has_more")
+    categories = search.category_search(cat.select("id_category", "category").distinct(), "m")
+    shown = merch.banners_for(banners(spark), ["cold", "widget"], shop.ntz(AS_OF)).select("place", "id", "name")
+    words = suggest.did_you_mean_product(cat, "cold widget").withColumn("step", F.col("query"))
+    return envelope.search_envelope(page, categories, shown, words)
