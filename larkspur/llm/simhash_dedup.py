@@ -28,15 +28,17 @@ share one are within 4 bits), which is exact and linear in the members.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, connected_components, join_counted, row_key, table
+from .common import broadcast_if_small, checkpoint, connected_components, join_counted, row_key, stored, table
 
 BLOCKS = 7
 RADIUS = 4
@@ -48,27 +50,30 @@ _BLOCK_BITS = [(9 * i, 9 if i < BLOCKS - 1 else 10) for i in range(BLOCKS)]
 PIVOTS = np.random.default_rng(20240229).integers(0, 2**64, 32, dtype=np.uint64)
 
 
-def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """Unsigned fingerprint of a whole text; null or no words: 0."""
-    import functools
-
-    import xxhash
-
+def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle of a whole text, in order; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     digest = functools.partial(xxhash.xxh64_intdigest, seed=seed)
     if len(words) < shingle:
         shingles, n = iter([b" ".join(words)]), 1
     else:
         n = len(words) - shingle + 1
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.fromiter(map(digest, shingles), dtype="<u8", count=n)
+    return np.fromiter(map(digest, shingles), dtype="<u8", count=n)
+
+
+def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """Unsigned fingerprint of a whole text; null or no words: 0."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, _SLICE):
+    for at in range(0, len(hashes), _SLICE):
         part = hashes[at : at + _SLICE].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = 4, text_col: str = "text", to: str = "fp") -> DataFrame:
@@ -224,10 +229,121 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 4, cel
     return out.select("row", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = 4) -> DataFrame:
-    """One row of each component of ``docs``, the one with the smallest doc_id (null last; then
-    by key), with all its columns. Repeated rows count once."""
-    found = near_duplicates(docs, radius, shingle)
+def _wide(text: str | None, shingle: int, n_keys: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(fingerprint of 4 x 64 bits, the n_keys smallest distinct shingle hashes, digest of the
+    set of shingles) of a whole text. Without words: zeros, and 0 as the only key."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return np.zeros(4, np.uint64), np.zeros(1, np.uint64), 0
+    ones = np.zeros(256, dtype=np.int64)
+    for at in range(0, len(hashes), _SLICE):
+        base = hashes[at : at + _SLICE]
+        mixed = np.stack([base, *(_mix(base, k) for k in (1, 2, 3))], axis=1)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    words = np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
+    own = np.unique(hashes)
+    return words, own[:n_keys], xxhash.xxh3_64_intdigest(own.tobytes())
+
+
+def _mix(x: np.ndarray, k: int) -> np.ndarray:
+    """Further hashes of a hash: a seeded finaliser of shifts and odd multipliers."""
+    with np.errstate(over="ignore"):
+        x = x + np.uint64((0x9E3779B97F4A7C15 * k) % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _wide_components(words: np.ndarray, radius: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(links that connect all links of the members, one member of each component). Pivot tables of
+    the first 64 bits discard pairs, all 256 bits decide."""
+    tables = np.bitwise_count(words[:, :1] ^ PIVOTS[None, :]).astype(np.int8)
+    narrow = radius * 64 // 256 + 8  # the first 64 bits of a link vary around a quarter of its distance
+    left, links, first, queue = np.arange(len(words)), [], [], []
+    while queue or len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+            first.append(queue[0])
+        i = queue.pop()
+        near = left[np.abs(tables[left] - tables[i]).max(axis=1) <= narrow]
+        near = near[np.bitwise_count(words[near] ^ words[i]).sum(axis=1) <= radius]
+        if len(near):
+            links += [(i, int(j)) for j in near]
+            queue += near.tolist()
+            left = left[~np.isin(left, near)]
+    return links, first
+
+
+def _link_copies(radius: int, limit: int):
+    def frame(words: np.ndarray, ids: np.ndarray, found: list[tuple[int, int]]) -> pd.DataFrame:
+        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids, words = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 4), np.uint64)
+        for batch in batches:
+            key = np.concatenate([key, batch["cell"].to_numpy(np.int64)])
+            ids = np.concatenate([ids, batch["class"].to_numpy(np.int64)])
+            words = np.concatenate([words, batch[["w0", "w1", "w2", "w3"]].to_numpy(np.int64).view(np.uint64)])
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for begin, end in zip(starts[:-1], starts[1:], strict=True):
+                if end - begin > 1:
+                    found, _ = _wide_components(words[begin:end], radius)
+                    if found:
+                        yield frame(words, ids[begin:end], found)
+            key, ids, words = key[starts[-1] :], ids[starts[-1] :], words[starts[-1] :]
+            if len(key) > limit:
+                # a large cell: one member of each component goes on to meet the next ones
+                found, first = _wide_components(words, radius)
+                if found:
+                    yield frame(words, ids, found)
+                key, ids, words = key[first], ids[first], words[first]
+        if len(key) > 1:
+            found, _ = _wide_components(words, radius)
+            if found:
+                yield frame(words, ids, found)
+
+    return link
+
+
+def near_copies(docs: DataFrame, radius: int = 52, shingle: int = 5, n_keys: int = 6, cell_limit: int = CELL_LIMIT) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): row, doc_id, component (long).
+
+    For texts whose shingles are alike to 0.8 or more, which differ in some 10 of 64 bits: more
+    than cells of equal bits can find. So the fingerprint has 256 bits, where a similarity of 0.8
+    gives a distance of 39 (standard deviation 6; 0.5 gives 68, unrelated texts 128), and the
+    cells are the ``n_keys`` smallest shingle hashes of a text: two texts with a similarity of 0.8
+    have none in common with a probability of about 0.2^6. In a cell the pivot tables discard,
+    and the Hamming distance, at most ``radius``, decides. Texts with the same set of shingles
+    are one member, whatever their number. In a cell of over ``cell_limit`` members later ones
+    are compared with one member of each component so far; their other cells compare the rest.
+
+    Texts without words are one component. Nulls, repeats and empty tables as in ``near_duplicates``."""
+
+    @F.pandas_udf("struct<class:long,w0:long,w1:long,w2:long,w3:long,cells:array<long>>")
+    def describe(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            words, cells, digest = _wide(text, shingle, n_keys)
+            rows.append((np.uint64(digest).view(np.int64), *words.view(np.int64), cells.view(np.int64)))
+        return pd.DataFrame(rows, columns=["class", "w0", "w1", "w2", "w3", "cells"])
+
+    own = docs.select(row_key().alias("row"), "doc_id", describe("text").alias("d")).select("row", "doc_id", "d.*")
+    own = stored(own)
+    classes = own.groupBy("class").agg(*(F.first(c).alias(c) for c in ("w0", "w1", "w2", "w3", "cells")), F.count("*").alias("n_same"))
+    dealt = classes.select("class", "w0", "w1", "w2", "w3", F.explode("cells").alias("cell")).repartition("cell").sortWithinPartitions("cell", "class")
+    found = dealt.mapInPandas(_link_copies(radius, cell_limit), "a long, b long").distinct()
+    labels = connected_components(found)
+    sizes = own.groupBy("class").agg(F.count("*").alias("n_same"))
+    named = checkpoint(labels.join(sizes, F.col("node") == F.col("class")).select("class", "root", "n_same"))
+    joined = join_counted(own.select("row", "doc_id", "class"), named, "class", "n_same", "left")
+    return joined.select("row", "doc_id", F.coalesce("root", "class").alias("component"))
+
+
+def keep_first(docs: DataFrame, radius: int = 52, shingle: int = 5) -> DataFrame:
+    """One row of each component of near copies of ``docs``, the one with the smallest doc_id (null
+    last; then by key), with all its columns. Repeated rows count once."""
+    found = near_copies(docs, radius, shingle)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"), F.count("*").alias("n"))
     first = checkpoint(first.select(F.col("first.row").alias("__row"), "n"))
     keyed = docs.withColumn("__row", row_key())
