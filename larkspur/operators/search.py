@@ -304,7 +304,9 @@ def fuzzy_rows(catalog: DataFrame, terms: DataFrame, threshold: int = 3, scope:
     """Products by the similarity of their name's words to the query's, over the first ``scope``
     products by id."""
     pool = catalog.orderBy("id_product").limit(scope)
-    near = pool.join(small(terms), F.abs(F.length("name") - F.length("name")) == 0)  # a thousand rows against the stated queries
+    # lengths further apart than the threshold can't be within it: most pairs go by this
+    near_length = F.exists("words", lambda w: F.exists(F.split(F.lower("name"), " "), lambda o: F.abs(F.length(w) - F.length(o)) <= threshold))
+    near = pool.join(small(terms), near_length)
     near = near.withColumn("fuzzy_score", fuzzy_similarity(F.col("words"), F.split(F.lower("name"), " "), threshold)).where("fuzzy_score > 0")
     return top(near, limit, F.desc("fuzzy_score"), "id_product")
 
