@@ -24,11 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Pieces whose ids a worker keeps; the table is emptied when full (memory only, not results).
 KEEP_PIECES = 250_000
-KEEP_PAIRS = 2_000_000
+KEEP_PAIRS = 200_000
 #: Characters of a text handled at once; cuts fall before white space.
 SLICE = 1 << 20
 _LAST = 0x1000  # added to a word's last symbol: with the word end it is a symbol of its own
@@ -78,7 +78,7 @@ class WordBpe:
                 word = self._closed(token)
                 self.automaton.add_word(word, (len(word), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, tuple[bytes, str]] = {}
 
     def _closed(self, token: str) -> str:
@@ -101,7 +101,8 @@ class WordBpe:
 
     def compatible(self, first: int, second: int) -> bool:
         """Whether the strings of two tokens, put together, encode to these tokens."""
-        known = self.pairs.get((first, second))
+        key = first << 20 | second
+        known = self.pairs.get(key)
         if known is None:
             a, b = self.text_of[first], self.text_of[second]
             core = b[: -len(self.end)] if b.endswith(self.end) and len(b) > len(self.end) else b
@@ -111,7 +112,7 @@ class WordBpe:
             known = self._merge(parts) == [a, b]
             if len(self.pairs) >= KEEP_PAIRS:
                 self.pairs.clear()
-            self.pairs[first, second] = known
+            self.pairs[key] = known
         return known
 
     def word(self, symbols: str) -> list[int]:
@@ -198,45 +199,51 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _encoded(bpe: WordBpe, text: str | None, keep_ids: bool) -> tuple:
+    """One row: number of ids, the two digests and, with ``keep_ids``, the ids. Parts of a long
+    text are digested as they come."""
+    ids_hash, text_hash, n, raw, sep = hashlib.sha256(), hashlib.sha256(), 0, [], ""
+    ids_buffer: list[bytes] = []
+    text_buffer: list[str] = []
+
+    def flush() -> None:
+        nonlocal n, sep
+        joined = b"".join(ids_buffer)
+        ids_hash.update(joined)
+        text_hash.update((sep + " ".join(text_buffer)).encode())
+        n, sep = n + len(joined) // 4, " "
+        if keep_ids:
+            raw.append(joined)
+        ids_buffer.clear()
+        text_buffer.clear()
+
+    for ids, tokens in bpe.encode(text):
+        if ids:
+            ids_buffer.append(ids)
+            text_buffer.append(tokens)
+            if len(ids_buffer) >= 65_536:
+                flush()
+    if ids_buffer:
+        flush()
+    row = (n, ids_hash.hexdigest(), text_hash.hexdigest())
+    return (*row, np.frombuffer(b"".join(raw), "<u4").astype(np.int32)) if keep_ids else row
+
+
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Adds to each row of ``docs``: n_tokens long, ids_sha256, decoded_sha256 and, with
     ``keep_ids``, token_ids (array of int). Whole texts; null or empty: no tokens. Repeated
     rows, ties and further columns pass through; columns of these names are replaced. ``path``:
     the vocabulary, readable on every machine."""
     path = path or default_vocabulary()
+    small_batches(docs.sparkSession)
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids
 
     @F.pandas_udf(f"struct<{fields.replace(' long', ':long').replace(' string', ':string').replace(' array', ':array')}>")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = tokenizer(path)
-        rows = []
-        for text in texts:
-            ids_hash, text_hash, n, raw, sep = hashlib.sha256(), hashlib.sha256(), 0, [], ""
-            ids_buffer, text_buffer = [], []
-            for ids, tokens in bpe.encode(text):
-                if not ids:
-                    continue
-                ids_buffer.append(ids)
-                text_buffer.append(tokens)
-                if len(ids_buffer) >= 65_536:
-                    joined = b"".join(ids_buffer)
-                    ids_hash.update(joined)
-                    text_hash.update((sep + " ".join(text_buffer)).encode())
-                    n, sep = n + len(joined) // 4, " "
-                    if keep_ids:
-                        raw.append(joined)
-                    ids_buffer, text_buffer = [], []
-            if ids_buffer:
-                joined = b"".join(ids_buffer)
-                ids_hash.update(joined)
-                text_hash.update((sep + " ".join(text_buffer)).encode())
-                n += len(joined) // 4
-                if keep_ids:
-                    raw.append(joined)
-            row = (n, ids_hash.hexdigest(), text_hash.hexdigest())
-            rows.append((*row, np.frombuffer(b"".join(raw), "<u4").astype(np.int32)) if keep_ids else row)
         names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * keep_ids
-        return pd.DataFrame(rows, columns=names)
+        for texts in batches:
+            yield pd.DataFrame([_encoded(bpe, t, keep_ids) for t in texts], columns=names)
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * keep_ids
     done = docs.drop(*names).withColumn("__bpe", run(F.col(text_col)))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, held_out, table
+from .common import checkpoint, held_out, small_batches, table
 
 THRESHOLD = 0.3
 LEVELS = 4
@@ -80,6 +80,8 @@ def cell_of(values: list[float]) -> int:
 
 
 def with_cell(docs: DataFrame, text_col: str = "text", to: str = "cell") -> DataFrame:
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("int")
     def cell(texts: pd.Series) -> pd.Series:
         return pd.Series([cell_of(surface(t)) for t in texts], dtype=np.int32)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, connected_components, join_counted, row_key, stored, table
+from .common import broadcast_if_small, checkpoint, connected_components, join_counted, row_key, small_batches, stored, table
 
 BLOCKS = 7
 RADIUS = 4
@@ -328,6 +328,7 @@ def near_copies(docs: DataFrame, radius: int = 52, shingle: int = 5, n_keys: int
             rows.append((np.uint64(digest).view(np.int64), *words.view(np.int64), cells.view(np.int64)))
         return pd.DataFrame(rows, columns=["class", "w0", "w1", "w2", "w3", "cells"])
 
+    small_batches(docs.sparkSession)
     own = docs.select(row_key().alias("row"), "doc_id", describe("text").alias("d")).select("row", "doc_id", "d.*")
     own = stored(own)
     classes = own.groupBy("class").agg(*(F.first(c).alias(c) for c in ("w0", "w1", "w2", "w3", "cells")), F.count("*").alias("n_same"))
