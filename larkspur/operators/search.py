@@ -56,7 +56,9 @@ def small(df: DataFrame, bound: int = QUERY_BOUND) -> DataFrame:
 
 def with_words(queries: DataFrame) -> DataFrame:
     """Adds words, spellings and terms (words with their variations) to (query_id, query); queries
-    under two characters are dropped."""
+    under two characters are dropped. Queries that have these columns already stay as they are."""
+    if "terms" in queries.columns:
+        return queries
     known = queries.where(F.length(F.trim("query")) >= 2).withColumn("query", F.lower(F.trim("query")))
     known = known.withColumn("words", query_words(F.col("query"))).where(F.size("words") > 0)
     return known.withColumn("spellings", spellings(F.col("words"))).withColumn("terms", expand_words(F.col("words")))
@@ -223,8 +225,8 @@ def search(
     """The whole storefront search: codes first; else candidates, filters, fuzzy rows where under
     five are left, boosts, injections, final order. ``catalog`` has a ``sold`` column."""
     filters = filters or Filters()
-    codes = exact_code(catalog, queries).withColumn("final", F.col("relevance")).withColumn("rank", F.lit(1)).withColumn("boost", F.lit(1.0)).withColumn("injected", F.lit(False))
-    open_queries = queries.join(codes.select("query_id"), "query_id", "left_anti")
+    codes = exact_code(catalog, queries).persist().withColumn("final", F.col("relevance")).withColumn("rank", F.lit(1)).withColumn("boost", F.lit(1.0)).withColumn("injected", F.lit(False))
+    open_queries = small(small(with_words(queries)).join(codes.select("query_id"), "query_id", "left_anti"))
     # at most 300 and 200 rows a query are kept: they are used several times below
     organic = apply_filters(scored(candidates(catalog, open_queries), as_of), filters, links).persist()
     counts = organic.groupBy("query_id").agg(F.count("*").alias("n"))
