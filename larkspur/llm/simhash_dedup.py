@@ -254,16 +254,15 @@ def _mix(x: np.ndarray, k: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _wide_components(words: np.ndarray, radius: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """(links that connect all links of the members, one member of each component). Pivot tables of
-    the first 64 bits discard pairs, all 256 bits decide."""
+def _wide_links(words: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that connect what all links of the members connect. Pivot tables of the first 64 bits
+    discard pairs, all 256 bits decide."""
     tables = np.bitwise_count(words[:, :1] ^ PIVOTS[None, :]).astype(np.int8)
     narrow = radius * 64 // 256 + 8  # the first 64 bits of a link vary around a quarter of its distance
-    left, links, first, queue = np.arange(len(words)), [], [], []
+    left, links, queue = np.arange(len(words)), [], []
     while queue or len(left):
         if not queue:
             queue, left = [int(left[0])], left[1:]
-            first.append(queue[0])
         i = queue.pop()
         near = left[np.abs(tables[left] - tables[i]).max(axis=1) <= narrow]
         near = near[np.bitwise_count(words[near] ^ words[i]).sum(axis=1) <= radius]
@@ -271,41 +270,54 @@ def _wide_components(words: np.ndarray, radius: int) -> tuple[list[tuple[int, in
             links += [(i, int(j)) for j in near]
             queue += near.tolist()
             left = left[~np.isin(left, near)]
-    return links, first
-
+    return links
 
-def _link_copies(radius: int, limit: int):
-    def frame(words: np.ndarray, ids: np.ndarray, found: list[tuple[int, int]]) -> pd.DataFrame:
-        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
 
+def _link_copies(radius: int):
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, words = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 4), np.uint64)
-        for batch in batches:
-            key = np.concatenate([key, batch["cell"].to_numpy(np.int64)])
-            ids = np.concatenate([ids, batch["class"].to_numpy(np.int64)])
-            words = np.concatenate([words, batch[["w0", "w1", "w2", "w3"]].to_numpy(np.int64).view(np.uint64)])
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            for begin, end in zip(starts[:-1], starts[1:], strict=True):
-                if end - begin > 1:
-                    found, _ = _wide_components(words[begin:end], radius)
-                    if found:
-                        yield frame(words, ids[begin:end], found)
-            key, ids, words = key[starts[-1] :], ids[starts[-1] :], words[starts[-1] :]
-            if len(key) > limit:
-                # a large cell: one member of each component goes on to meet the next ones
-                found, first = _wide_components(words, radius)
-                if found:
-                    yield frame(words, ids, found)
-                key, ids, words = key[first], ids[first], words[first]
-        if len(key) > 1:
-            found, _ = _wide_components(words, radius)
+        for held in _groups(batches, "cell"):
+            ids = held["class"].to_numpy(np.int64)
+            found = _wide_links(held[["w0", "w1", "w2", "w3"]].to_numpy(np.int64).view(np.uint64), radius)
             if found:
-                yield frame(words, ids, found)
+                pairs = np.array(found, dtype=np.int64)
+                yield pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
 
     return link
 
 
+def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """The rows of each value of ``key`` that has several, from batches sorted by it."""
+    parts: list[pd.DataFrame] = []
+
+    def held() -> Iterator[pd.DataFrame]:
+        if sum(map(len, parts)) > 1:
+            yield pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[key].to_numpy(np.int64)
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        for begin, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+            if parts and parts[0][key].iloc[0] != keys[begin]:
+                yield from held()
+                parts = []
+            parts.append(batch.iloc[begin:end])
+    yield from held()
+
+
+def _in_blocks(members: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """``members`` (class, ``key``, ...) where the keys of ``blocks`` (key, n_blocks) are cut into
+    blocks by the class, and each pair of blocks has a key of its own. So any two members of a key
+    still meet, in tasks of two blocks at most, and a member is repeated once for each block."""
+    cut = members.join(broadcast_if_small(blocks), key, "left")
+    own = F.pmod(F.xxhash64("class", F.lit(1)), F.col("n_blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1), lambda other: F.xxhash64(key, F.least(own, other), F.greatest(own, other)))
+    keys = F.when(F.col("n_blocks").isNull(), F.array(key)).otherwise(pairs)
+    rest = [c for c in members.columns if c != key]
+    return cut.select(*rest, F.explode(keys).alias(key)).repartition(key).sortWithinPartitions(key, "class")
+
+
 def near_copies(docs: DataFrame, radius: int = 52, shingle: int = 5, n_keys: int = 6, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): row, doc_id, component (long).
 
@@ -315,8 +327,9 @@ def near_copies(docs: DataFrame, radius: int = 52, shingle: int = 5, n_keys: int
     cells are the ``n_keys`` smallest shingle hashes of a text: two texts with a similarity of 0.8
     have none in common with a probability of about 0.2^6. In a cell the pivot tables discard,
     and the Hamming distance, at most ``radius``, decides. Texts with the same set of shingles
-    are one member, whatever their number. In a cell of over ``cell_limit`` members later ones
-    are compared with one member of each component so far; their other cells compare the rest.
+    are one member, whatever their number. A cell of over ``cell_limit`` members is compared in
+    blocks of about so many, each block with each, in tasks of their own: no pair is left out, and
+    the rows grow with the square of the cell's members over ``cell_limit``.
 
     Texts without words are one component. Nulls, repeats and empty tables as in ``near_duplicates``."""
 
@@ -332,8 +345,10 @@ def near_copies(docs: DataFrame, radius: int = 52, shingle: int = 5, n_keys: int
     own = docs.select(row_key().alias("row"), "doc_id", describe("text").alias("d")).select("row", "doc_id", "d.*")
     own = stored(own)
     classes = own.groupBy("class").agg(*(F.first(c).alias(c) for c in ("w0", "w1", "w2", "w3", "cells")), F.count("*").alias("n_same"))
-    dealt = classes.select("class", "w0", "w1", "w2", "w3", F.explode("cells").alias("cell")).repartition("cell").sortWithinPartitions("cell", "class")
-    found = dealt.mapInPandas(_link_copies(radius, cell_limit), "a long, b long").distinct()
+    members = classes.select("class", "w0", "w1", "w2", "w3", F.explode("cells").alias("cell"))
+    large = members.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_limit)
+    large = checkpoint(large.select("cell", F.ceil(F.col("n") / cell_limit).alias("n_blocks")))
+    found = _in_blocks(members, "cell", large).mapInPandas(_link_copies(radius), "a long, b long").distinct()
     labels = connected_components(found)
     sizes = own.groupBy("class").agg(F.count("*").alias("n_same"))
     named = checkpoint(labels.join(sizes, F.col("node") == F.col("class")).select("class", "root", "n_same"))

@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from texts import empty, odd, odd_rows, with_clashes
 
-from larkspur.llm.simhash_dedup import keep_first, links, near_duplicates, simhash
+from larkspur.llm.simhash_dedup import _wide, keep_first, links, near_copies, near_duplicates, simhash
 
 
 def plain(text, shingle=4):
@@ -89,3 +89,54 @@ def test_nulls_only(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e")], "doc_id long, text string")
     assert [r.component_id for r in near_duplicates(docs).collect()] == [None, None]
     assert keep_first(docs).count() == 1
+
+
+def grouped(pairs, nodes):
+    parent = {d: d for d in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    groups = {}
+    for d in nodes:
+        groups.setdefault(find(d), set()).add(d)
+    return {frozenset(g) for g in groups.values()}
+
+
+def edited_copies(n_copies=40, n_words=100, n_edits=2, seed=5):
+    """Edits of one original that stand two by two far apart, and the original, by id."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{rng.integers(10**6)}" for _ in range(n_words)]
+    texts = {n_copies: " ".join(base)}
+    for i in range(n_copies):
+        own = list(base)
+        for at in rng.choice(n_words, n_edits, replace=False):
+            own[at] = f"edit{i}x{at}"
+        texts[i] = " ".join(own)
+    return texts
+
+
+def components_of(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.component, set()).add(r.doc_id)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_large_cells_lose_nothing(spark):
+    """A cell over the limit, come in many batches, links what all pairs that share a cell link."""
+    texts = edited_copies(n_words=280, n_edits=8)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    try:
+        found = components_of(near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), cell_limit=3).collect())
+    finally:
+        spark.conf.set(name, before)
+    wide = {d: _wide(t, 5, 6) for d, t in texts.items()}
+    close = lambda a, b: np.bitwise_count(wide[a][0] ^ wide[b][0]).sum() <= 52 and set(wide[a][1]) & set(wide[b][1])
+    assert found == grouped([(a, b) for a in texts for b in texts if a < b and close(a, b)], texts)
