@@ -43,6 +43,11 @@ from .common import broadcast_if_small, checkpoint, connected_components, join_c
 BLOCKS = 7
 RADIUS = 4
 CELL_LIMIT = 4096
+#: Near copies by exact similarity: candidates within the radius (of 256 bits), links from the similarity on.
+WIDE_RADIUS = 76
+SIMILARITY = 0.8
+#: Groups of candidates with more shingles are compared in blocks of about so many.
+SHINGLES_HELD = 2_000_000
 _SLICE = 65_536
 #: First bit and width of each pivot family's block: 9 bits each, the last 10.
 _BLOCK_BITS = [(9 * i, 9 if i < BLOCKS - 1 else 10) for i in range(BLOCKS)]
@@ -231,8 +236,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 4, cel
 
 def _wide(text: str | None, shingle: int, n_keys: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(fingerprint of 4 x 64 bits, the n_keys smallest distinct shingle hashes, digest of the
-    set of shingles) of a whole text. Without words: zeros, and 0 as the only key."""
-    hashes = shingle_hashes(text, shingle)
+    set of shingles) of a whole text. All three are of the set, as the similarity is: repeated
+    shingles count once. Without words: zeros, and 0 as the only key."""
+    hashes = np.unique(shingle_hashes(text, shingle))
     if not len(hashes):
         return np.zeros(4, np.uint64), np.zeros(1, np.uint64), 0
     ones = np.zeros(256, dtype=np.int64)
@@ -241,8 +247,7 @@ def _wide(text: str | None, shingle: int, n_keys: int) -> tuple[np.ndarray, np.n
         mixed = np.stack([base, *(_mix(base, k) for k in (1, 2, 3))], axis=1)
         ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     words = np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
-    own = np.unique(hashes)
-    return words, own[:n_keys], xxhash.xxh3_64_intdigest(own.tobytes())
+    return words, hashes[:n_keys], xxhash.xxh3_64_intdigest(hashes.tobytes())
 
 
 def _mix(x: np.ndarray, k: int) -> np.ndarray:
@@ -285,6 +290,53 @@ def _link_copies(radius: int):
     return link
 
 
+def _alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what all pairs of sets with a Jaccard similarity of ``similarity`` or more
+    connect. Each test is exact: one member is marked, and the marks of all others are counted."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32).ravel()
+    ends = np.cumsum(sizes)
+    marks = np.zeros(int(flat.max()) + 1, bool)
+    left, links, queue = np.arange(len(sets)), [], []
+    while queue or len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        i = queue.pop()
+        n = sizes[i]
+        # sizes further apart cannot be so similar
+        close = left[np.minimum(sizes[left], n) >= similarity * np.maximum(sizes[left], n) - 1e-9]
+        if not len(close):
+            continue
+        own = flat[ends[i] - n : ends[i]]
+        marks[own] = True
+        lengths = sizes[close]
+        begins = np.cumsum(lengths) - lengths
+        at = np.arange(lengths.sum()) + np.repeat(ends[close] - lengths - begins, lengths)
+        common = np.add.reduceat(marks[flat[at]], begins, dtype=np.int64)
+        marks[own] = False
+        near = close[common >= similarity * (lengths + n - common) - 1e-9]
+        if len(near):
+            links += [(i, int(j)) for j in near]
+            queue += near.tolist()
+            left = left[~np.isin(left, near)]
+    return links
+
+
+def _link_alike(similarity: float):
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held in _groups(batches, "root"):
+            held = held.drop_duplicates("class")
+            if len(held) < 2:
+                continue
+            ids = held["class"].to_numpy(np.int64)
+            found = _alike([np.frombuffer(x, "<u8") for x in held["shingles"]], similarity)
+            if found:
+                pairs = np.array(found, dtype=np.int64)
+                yield pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
+
+    return link
+
+
 def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """The rows of each value of ``key`` that has several, from batches sorted by it."""
     parts: list[pd.DataFrame] = []
@@ -318,18 +370,21 @@ def _in_blocks(members: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
     return cut.select(*rest, F.explode(keys).alias(key)).repartition(key).sortWithinPartitions(key, "class")
 
 
-def near_copies(docs: DataFrame, radius: int = 52, shingle: int = 5, n_keys: int = 6, cell_limit: int = CELL_LIMIT) -> DataFrame:
+def near_copies(docs: DataFrame, radius: int = WIDE_RADIUS, shingle: int = 5, n_keys: int = 6, cell_limit: int = CELL_LIMIT, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): row, doc_id, component (long).
 
-    For texts whose shingles are alike to 0.8 or more, which differ in some 10 of 64 bits: more
-    than cells of equal bits can find. So the fingerprint has 256 bits, where a similarity of 0.8
-    gives a distance of 39 (standard deviation 6; 0.5 gives 68, unrelated texts 128), and the
-    cells are the ``n_keys`` smallest shingle hashes of a text: two texts with a similarity of 0.8
-    have none in common with a probability of about 0.2^6. In a cell the pivot tables discard,
-    and the Hamming distance, at most ``radius``, decides. Texts with the same set of shingles
-    are one member, whatever their number. A cell of over ``cell_limit`` members is compared in
-    blocks of about so many, each block with each, in tasks of their own: no pair is left out, and
-    the rows grow with the square of the cell's members over ``cell_limit``.
+    Two texts are linked when the Jaccard similarity of their sets of shingles is ``similarity`` or
+    more. Such texts differ in some 10 of 64 bits: more than cells of equal bits can find. So
+    candidates have a fingerprint of the set of 256 bits, where a similarity of 0.8 gives a
+    distance of 39 (standard deviation 6; at most 48 for very short texts; unrelated texts 128),
+    and the cells are the ``n_keys`` smallest shingle hashes of a text: two texts with a similarity
+    of 0.8 have none in common with a probability of about 0.2^6. In a cell the pivot tables
+    discard, and a Hamming distance of at most ``radius`` makes candidates. All members of a group
+    that candidates connect are then compared with their whole sets of shingles, and only an exact
+    similarity links. Texts with the same set of shingles are one member, whatever their number.
+    Cells and groups of over ``cell_limit`` members (groups also of over SHINGLES_HELD shingles)
+    are compared in blocks, each block with each, in tasks of their own: no pair is left out, and
+    the rows grow with the square of the members over the limit.
 
     Texts without words are one component. Nulls, repeats and empty tables as in ``near_duplicates``."""
 
@@ -341,14 +396,27 @@ def near_copies(docs: DataFrame, radius: int = 52, shingle: int = 5, n_keys: int
             rows.append((np.uint64(digest).view(np.int64), *words.view(np.int64), cells.view(np.int64)))
         return pd.DataFrame(rows, columns=["class", "w0", "w1", "w2", "w3", "cells"])
 
+    @F.pandas_udf("binary")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts])
+
     small_batches(docs.sparkSession)
     own = docs.select(row_key().alias("row"), "doc_id", describe("text").alias("d")).select("row", "doc_id", "d.*")
     own = stored(own)
-    classes = own.groupBy("class").agg(*(F.first(c).alias(c) for c in ("w0", "w1", "w2", "w3", "cells")), F.count("*").alias("n_same"))
+    classes = own.groupBy("class").agg(*(F.first(c).alias(c) for c in ("w0", "w1", "w2", "w3", "cells")))
     members = classes.select("class", "w0", "w1", "w2", "w3", F.explode("cells").alias("cell"))
     large = members.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_limit)
     large = checkpoint(large.select("cell", F.ceil(F.col("n") / cell_limit).alias("n_blocks")))
-    found = _in_blocks(members, "cell", large).mapInPandas(_link_copies(radius), "a long, b long").distinct()
+    candidates = _in_blocks(members, "cell", large).mapInPandas(_link_copies(radius), "a long, b long").distinct()
+    # the whole sets of one text of each class in a group of candidates
+    groups = connected_components(candidates)
+    one = own.groupBy("class").agg(F.min("row").alias("__row"))
+    one = checkpoint(groups.join(one, F.col("node") == F.col("class")).select("__row", "class", "root"))
+    texts = docs.select(row_key().alias("__row"), "text").join(broadcast_if_small(one), "__row")
+    sets = stored(texts.select("class", "root", shingles("text").alias("shingles")))
+    large = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("shingles") / 8).alias("size"))
+    large = large.select("root", F.ceil(F.greatest(F.col("n") / cell_limit, F.col("size") / SHINGLES_HELD)).alias("n_blocks")).where("n_blocks > 1")
+    found = _in_blocks(sets, "root", checkpoint(large)).mapInPandas(_link_alike(similarity), "a long, b long").distinct()
     labels = connected_components(found)
     sizes = own.groupBy("class").agg(F.count("*").alias("n_same"))
     named = checkpoint(labels.join(sizes, F.col("node") == F.col("class")).select("class", "root", "n_same"))
@@ -356,10 +424,10 @@ def near_copies(docs: DataFrame, radius: int = 52, shingle: int = 5, n_keys: int
     return joined.select("row", "doc_id", F.coalesce("root", "class").alias("component"))
 
 
-def keep_first(docs: DataFrame, radius: int = 52, shingle: int = 5) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = WIDE_RADIUS, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each component of near copies of ``docs``, the one with the smallest doc_id (null
     last; then by key), with all its columns. Repeated rows count once."""
-    found = near_copies(docs, radius, shingle)
+    found = near_copies(docs, radius, shingle, similarity=similarity)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"), F.count("*").alias("n"))
     first = checkpoint(first.select(F.col("first.row").alias("__row"), "n"))
     keyed = docs.withColumn("__row", row_key())

@@ -134,9 +134,20 @@ def test_large_cells_lose_nothing(spark):
     before = spark.conf.get(name)
     spark.conf.set(name, "4")
     try:
-        found = components_of(near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), cell_limit=3).collect())
+        found = components_of(near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 52, cell_limit=3, similarity=0.0).collect())
     finally:
         spark.conf.set(name, before)
     wide = {d: _wide(t, 5, 6) for d, t in texts.items()}
     close = lambda a, b: np.bitwise_count(wide[a][0] ^ wide[b][0]).sum() <= 52 and set(wide[a][1]) & set(wide[b][1])
     assert found == grouped([(a, b) for a in texts for b in texts if a < b and close(a, b)], texts)
+
+
+def test_links_by_exact_similarity(spark):
+    texts = {1000 * k + d: t for k, n in enumerate((1, 2, 4, 5)) for d, t in edited_copies(8, 100, n, seed=k).items()}
+    texts |= {9000: "x y " * 30 + "a b c d e f g h i j", 9001: "x y a b c d e f g h i j " + "i j " * 30, 9002: "p q r s t u v w", 9003: "p q r s t u v w z", 9004: "p q r s t u v z z"}
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in texts.items()}
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    expected = grouped([(a, b) for a in texts for b in texts if a < b and alike(a, b)], texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert components_of(near_copies(docs).collect()) == expected
+    assert components_of(near_copies(docs, cell_limit=3).collect()) == expected
