@@ -4,7 +4,7 @@ The tree has a fixed depth: the number of tokens, then the leading tokens. Token
 are variable from the start (``<*>``). In the leaves that enough documents reach, the other
 fields are generalised by vote: a token that fewer than ``min_docs`` documents have at its place
 is variable too, unless the line then keeps less than ``least_constant`` of its tokens, in which
-case it stays as it is. Lines with the same result share a template. A template in at least
+case it stays as it is, digits included: rows of a table recur only where their numbers do. Lines with the same result share a template. A template in at least
 ``min_docs`` documents recurs: its lines are dropped from every document but the first
 (smallest doc_id), so nothing is lost that the corpus holds only in copies.
 
@@ -30,12 +30,14 @@ def _lines(text: F.Column) -> F.Column:
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, at, tokens, leaf, line) of every line of enough tokens."""
+    """(row, doc_id, at, tokens, leaf, line, own) of every line of enough tokens. line is a hash of
+    the tokens, own one of the tokens before digits were masked (null without digits)."""
     cut = docs.select(row_key().alias("row"), "doc_id", F.posexplode(_lines(F.col("text"))).alias("at", "raw"))
     masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", r"\S*[0-9]\S*", ANY)).otherwise(F.col("raw"))
     tokens = cut.withColumn("tokens", F.split(F.trim(masked), r"\s+")).where(F.size("tokens") >= MIN_TOKENS)
     leaf = F.xxhash64(F.size("tokens"), *(F.get("tokens", F.lit(i)) for i in range(LEADING)))
-    return tokens.select("row", "doc_id", "at", "tokens", leaf.alias("leaf"), F.xxhash64("tokens").alias("line"))
+    own = F.when(F.col("raw").rlike("[0-9]"), F.xxhash64(F.split(F.trim("raw"), r"\s+")))
+    return tokens.select("row", "doc_id", "at", "tokens", leaf.alias("leaf"), F.xxhash64("tokens").alias("line"), own.alias("own"))
 
 
 def templates(docs: DataFrame, min_docs: int = MIN_DOCS, least_constant: float = LEAST_CONSTANT) -> tuple[DataFrame, DataFrame]:
@@ -59,14 +61,18 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, least_constant: float =
         F.avg(constant.cast("int")).alias("share"),
     )
     kept = F.when(F.col("share") >= least_constant, F.col("f.token")).otherwise(F.col("f.own"))
-    known = lines.select("leaf", "line", "n_rows").join(voted, ["leaf", "line"]).select(F.xxhash64("leaf", "line").alias("key"), "n_rows", kept.alias("pattern"))
-    known = checkpoint(known.withColumn("template", F.xxhash64("pattern")))
-    seen = within.select("row", "doc_id", "at", F.xxhash64("leaf", "line").alias("key"))
-    occurrences = checkpoint(join_counted(seen, known.select("key", "n_rows", "template"), "key", "n_rows").select("row", "doc_id", "at", "template"))
-    docs_of = occurrences.groupBy("template", "row").agg(F.first("doc_id").alias("doc_id"))
-    counted = docs_of.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
-    patterns = known.groupBy("template").agg(F.first("pattern").alias("tokens"), F.sum("n_rows").alias("n_rows"))
-    return occurrences, checkpoint(counted.join(patterns, "template"))
+    literal = (F.col("share") < least_constant) & F.array_contains("f.own", ANY)
+    known = lines.select("leaf", "line", "n_rows").join(voted, ["leaf", "line"]).select(F.xxhash64("leaf", "line").alias("key"), "n_rows", kept.alias("pattern"), literal.alias("literal"))
+    known = checkpoint(known.withColumn("masked", F.xxhash64("pattern")))
+    seen = within.select("row", "doc_id", "at", F.xxhash64("leaf", "line").alias("key"), "own")
+    # a line that keeps too little is a template of its own tokens, not of the masked ones
+    template = F.when(F.col("literal"), F.xxhash64("masked", "own")).otherwise(F.col("masked"))
+    joined = join_counted(seen, known.select("key", "n_rows", "masked", "literal"), "key", "n_rows")
+    occurrences = checkpoint(joined.select("row", "doc_id", "at", template.alias("template"), "masked"))
+    docs_of = occurrences.groupBy("template", "row").agg(F.first("doc_id").alias("doc_id"), F.first("masked").alias("masked"), F.count("*").alias("n"))
+    counted = docs_of.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.first("masked").alias("masked"), F.sum("n").alias("n_rows"))
+    patterns = known.groupBy("masked").agg(F.first("pattern").alias("tokens"))
+    return occurrences.drop("masked"), checkpoint(counted.where(F.col("n_docs") >= min_docs).join(patterns, "masked").drop("masked"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, least_constant: float = LEAST_CONSTANT) -> DataFrame:

@@ -32,3 +32,10 @@ def test_odd_rows(spark):
     assert len(rows) == len(odd_rows()) and [r for r in rows if r.doc_id == 1][0].text is None
     assert [r for r in rows if r.doc_id == 2][0].text == "" and [r for r in rows if r.doc_id == 10][0].text == "a\n\n\nb\n"
     assert drop_recurring_lines(empty(spark)).count() == 0
+
+
+def test_numeric_tables_stay(spark):
+    rows = [(i, f"{i} {i * 7} {i * 13}\nTotal: {i + 1} {i + 2} {i + 3}\n1 2 3 4\nprinted by user{i} on page {i} again") for i in range(8)]
+    kept = {r.doc_id: r.text.split("\n") for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept[0] == rows[0][1].split("\n")
+    assert all(kept[i] == rows[i][1].split("\n")[:2] for i in range(1, 8))
