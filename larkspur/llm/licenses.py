@@ -97,14 +97,16 @@ SPELLINGS: list[tuple[str, str]] = [
 ]
 #: Lines that name a holder and a year, or the rights reserved beside them, vary without meaning.
 COPYRIGHT_LINE = r"(?m)^[^\n]*(copyright *(\(c\)|©|[0-9]{4})|(\(c\)|©) *[0-9]{4})[^\n]*$"
-#: Every registry entry has one of these words; units without one are not digested.
-MARKERS = r"(?i)licen[cs]|permi(t|ssion)|redistribut|rights reserved|released under"
+#: Lower-case text without any of these is the same before and after the copyright lines and spellings.
+_VARIED = "|".join([r"copyright|\(c\)|©", *(pattern for pattern, _ in SPELLINGS)])
 
 
 def canonical(text: F.Column) -> F.Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    lower = F.lower(text)
+    out = F.regexp_replace(lower, COPYRIGHT_LINE, " ")
     for pattern, spelling in SPELLINGS:
         out = F.regexp_replace(out, pattern, spelling)
+    out = F.when(lower.rlike(_VARIED), out).otherwise(lower)
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
@@ -114,26 +116,26 @@ def registry(spark: SparkSession, licenses: list[tuple[str, str]] | None = None)
     return rows.select("license_id", F.md5(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None, markers: str = MARKERS) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Matches of ``docs`` (doc_id, text): doc_id, license_id, scope (document, paragraph or line),
     n_units (units of the text with that licence).
 
     The whole text is one unit, and so is each paragraph (between blank lines) and each line; a
-    text or paragraph that is one line only is counted as the larger unit. Null, empty and
-    unmarked texts match nothing. Rows of one doc_id are counted together. An empty table gives
-    no rows; further columns are ignored. ``known`` needs units with one of the ``markers``."""
+    text or paragraph that is one line only is counted as the larger unit. Every unit is digested,
+    whatever its words. Null and empty texts match nothing. Rows of one doc_id are counted
+    together. An empty table gives no rows; further columns are ignored."""
     known = registry(docs.sparkSession) if known is None else known
-    marked = docs.select("doc_id", "text").where(F.col("text").rlike(markers))
+    filled = docs.select("doc_id", "text").where("text <> ''")
     paragraphs = F.split("text", r"\n[ \t\r]*\n")
     lines = F.split("text", "\n")
-    as_units = lambda array, scope: F.transform(F.filter(array, lambda u: F.rlike(u, F.lit(markers))), lambda u: F.struct(F.lit(scope).alias("scope"), u.alias("unit")))
+    as_units = lambda array, scope: F.transform(array, lambda u: F.struct(F.lit(scope).alias("scope"), u.alias("unit")))
     none = F.array().cast("array<struct<scope:string,unit:string>>")
     units = F.concat(
         as_units(F.array("text"), "document"),
         F.when(F.size(paragraphs) > 1, as_units(paragraphs, "paragraph")).otherwise(none),
         F.when(F.size(lines) > 1, as_units(lines, "line")).otherwise(none),
     )
-    cut = marked.select("doc_id", F.inline(units)).withColumn("digest", F.md5(canonical(F.col("unit"))))
+    cut = filled.select("doc_id", F.inline(units)).withColumn("digest", F.md5(canonical(F.col("unit"))))
     found = cut.select("doc_id", "scope", "digest").join(broadcast_if_small(known), "digest")
     return found.groupBy("doc_id", "license_id", "scope").agg(F.count("*").alias("n_units"))
 

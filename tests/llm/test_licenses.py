@@ -1,7 +1,7 @@
 from compare import rows_of, rows_of_sql
 from texts import empty, odd, with_clashes
 
-from larkspur.llm.licenses import LICENSES, ORACLES, op2_license_scan, scan
+from larkspur.llm.licenses import LICENSES, ORACLES, op2_license_scan, registry, scan
 
 
 def test_matches_sql(spark, sf, duck):
@@ -25,3 +25,12 @@ def test_every_entry_finds_itself(spark):
 
 def test_odd_rows(spark):
     assert scan(with_clashes(odd(spark))).count() == 0 and scan(empty(spark)).count() == 0
+
+
+def test_no_word_is_needed(spark):
+    """Wrapped and spaced notices match, and entries of any words."""
+    rows = [(1, "All rights\nreserved."), (2, "All rights-reserved"), (3, "Released\nunder CC0 1.0."), (4, "x\n\nReleased  under\nCC0 1.0\n\ny")]
+    found = {(r.doc_id, r.license_id, r.scope) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(1, "all-rights-reserved", "document"), (2, "all-rights-reserved", "document"), (3, "CC0-1.0", "document"), (4, "CC0-1.0", "paragraph")}
+    own = registry(spark, [("WTFPL", "Do what you want to.")])
+    assert [r.license_id for r in scan(spark.createDataFrame([(1, "do what\nyou want to")], "doc_id long, text string"), own).collect()] == ["WTFPL"]
