@@ -59,11 +59,10 @@ def _fingerprints(counts: DataFrame, *by: str) -> DataFrame:
     rows = rows.withColumn("h", F.xxhash64("h", "no"))
     sums = [F.sum(F.col("c") * F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(32)]
     summed = rows.groupBy(*by, "no").agg(F.sum("c").alias("total"), *sums)
-    value = F.lit(0).cast("long")
-    for k in range(32):
-        low, high = F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"s{k}", 32)
-        for count, bit in ((low, k), (high, k + 32)):
-            value = value.bitwiseOR(F.shiftleft((count * 2 > F.col("total")).cast("long"), bit))
+    # bits k and k + 32 come from the sum k; a fold, since one expression of 64 bits makes a huge method
+    low = lambda s: (s.bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("total")).cast("long")
+    high = lambda s: (F.shiftrightunsigned(s, 32) * 2 > F.col("total")).cast("long")
+    value = F.aggregate(F.array(*(F.col(f"s{k}") for k in reversed(range(32)))), F.lit(0).cast("long"), lambda acc, s: F.shiftleft(acc, 1).bitwiseOR(low(s)).bitwiseOR(F.shiftleft(high(s), 32)))
     one = summed.select(*by, "total", "no", value.alias("value"))
     return one.groupBy(*by).agg(F.array(*(F.max(F.when(F.col("no") == k, F.col("value"))) for k in range(HASHES))).alias("prints"), F.max("total").alias("total"))
 
