@@ -3,6 +3,9 @@ skewed keys, and connected components. Nothing here collects rows to the driver.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -29,11 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. A local one is set only where
-    the session names none (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. A local one is set only where the
+    session names none and all of Spark is one process (tests); on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -43,14 +49,44 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of the tables that ``stored`` has written in this process.
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """As ``checkpoint``, but a Parquet table: for large tables that are read several times.
-    It stays in the shared folder until that is emptied."""
+    """As ``checkpoint``, but a Parquet table: for large tables that are read several times. It stays
+    until ``remove_stored``, or the end of the session."""
+    if not _STORED:
+        atexit.register(_at_exit, df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
+
+
+def stored_so_far() -> int:
+    """How many tables of ``stored`` there are."""
+    return len(_STORED)
+
+
+def remove_stored(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables of ``stored`` from a number of ``stored_so_far`` on: once the results that read
+    them are written."""
+    while len(_STORED) > since:
+        remove(spark, _STORED.pop())
+
+
+def _at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        remove_stored(spark)
+
+
 def held_out() -> F.Column:
     """True for the fifth of the documents whose labels are never learnt from (a null id counts as '')."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0

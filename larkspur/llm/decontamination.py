@@ -98,7 +98,7 @@ def kept_windows(docs: DataFrame, known: DataFrame, threshold: float = THRESHOLD
     """(row, n, start) of every window that shares enough shingles with the items of its size
     (``known``: n, h) to be similar to one."""
     own = docs.select(row_key().alias("row"), _words(F.col("text")).alias("w"))
-    own = own.select("row", F.size("w").alias("size"), F.posexplode(_hashes("w")).alias("at", "h"))
+    own = own.select("row", F.size("w").alias("size"), _hashes("w").alias("all")).select("row", "size", F.posexplode_outer("all").alias("at", "h"))  # the other form tests the size first, and makes the hashes twice
     marked = own.join(broadcast_if_small(known), "h").groupBy("row", "n").agg(F.first("size").alias("size"), F.sort_array(F.collect_set("at")).alias("at"))
     length = _shingles(F.least("n", "size"))
     need = F.ceil((_shingles(F.col("n")) + length) * threshold / (1 + threshold) - 1e-9).cast("int")
@@ -142,7 +142,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     again = again.select("row", "doc_id", F.size("w").alias("size"), "places", _hashes("w").alias("all"))
     windows = again.select("row", "doc_id", "size", "all", F.explode("places").alias("p"))
     own = F.slice("all", F.col("p.start") + 1, _shingles(F.least("p.n", "size")))
-    cells = windows.select("row", "doc_id", "p.n", "p.start", F.least("p.n", "size").alias("n_words"), F.explode(own).alias("h"))
+    cells = windows.select("row", "doc_id", "p.n", "p.start", F.least("p.n", "size").alias("n_words"), F.explode_outer(own).alias("h"))
     cells = checkpoint(cells.groupBy("row", "doc_id", "n", "start", "n_words", "h").agg(F.count("*").alias("c")))
     printed = checkpoint(_fingerprints(cells, "row", "doc_id", "n", "start", "n_words"))
     _, near = near_prints(printed.select("n", "prints").distinct(), items, radius)

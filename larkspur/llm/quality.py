@@ -2,16 +2,21 @@
 
 Trusted positives are the documents that the labels call good (training rows only); the
 unlabelled text is the whole corpus. No negative label is ever used. A document is described by
-eight counts of its surface, each cut at fixed bounds into four levels, so it falls into one of
-4^8 cells. Counting cells makes one pass over all documents and leaves at most 65,536 rows for
-the driver, whatever the corpus: the non-negative unbiased risk (Kiryo et al., 2017) over all
-documents is then minimised exactly on these counts, with an additive logistic model (one weight
-a level). The class prior is estimated from the same counts: the smallest ratio of the
-corpus's share to the positives' share over upper level sets of a first model, where the
-positives have enough rows to tell."""
+nine values: eight of its surface, and the share of its byte trigrams (hashed into buckets) that
+are rarer in the positives than in the corpus. Which buckets are rare is counted over all
+documents; each value is cut into four levels at quantiles of the positives. So a document falls
+into one of 4^9 cells. Counting cells takes one pass over all documents and leaves at most
+262,144 rows for the driver, whatever the corpus: the non-negative unbiased risk (Kiryo et al.,
+2017) over all documents is then minimised exactly on these counts, with an additive logistic
+model (one weight a level). The class prior is estimated from the same counts: the smallest
+ratio of the corpus's share to the positives' share over upper level sets of a first model,
+where the positives have enough rows to tell."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
@@ -19,21 +24,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, held_out, small_batches, table
+from .common import broadcast_if_small, checkpoint, held_out, small_batches, stored, table
 
 THRESHOLD = 0.3
+#: Trusted positives that quantiles and the positives' counts are taken from, at most (by hash of the id).
+MAX_LABELLED = 30_000
 LEVELS = 4
-#: (name, cuts): a document's level is the number of cuts that its value exceeds.
-FEATURES: list[tuple[str, tuple[float, float, float]]] = [
-    ("symbols_per_word", (0.15, 0.4, 1.0)),
-    ("upper_share", (0.12, 0.3, 0.6)),
-    ("bars_per_word", (0.05, 0.15, 0.35)),
-    ("exclaims_per_word", (0.1, 0.3, 0.8)),
-    ("repeated_neighbours", (0.05, 0.2, 0.5)),
-    ("repeated_words", (0.45, 0.7, 0.88)),
-    ("letters_missing", (0.3, 0.4, 0.55)),
-    ("few_words", (-20.5, -8.5, -2.5)),
-]
+#: Quantiles of the positives at which each value is cut: a level is the number of cuts exceeded.
+QUANTILES = (0.5, 0.95, 0.999)
+FEATURES = ("symbols_per_word", "upper_share", "bars_per_word", "exclaims_per_word", "repeated_neighbours", "repeated_words", "letters_missing", "few_words", "rare_trigrams")
+BUCKETS = 512
+#: A bucket is rare if its log share in the positives is lower by this than in the corpus.
+RARE = 0.5
 _SYMBOLS = b"*&%$#@^~<>{}[]=_\\+"
 
 
@@ -43,19 +45,19 @@ def _outside(keep: bytes) -> bytes:
 
 _UPPER, _SYMBOL = _outside(bytes(range(65, 91))), _outside(_SYMBOLS)
 _LETTER = _outside(bytes([*range(65, 91), *range(97, 123), *range(128, 256)]))
-#: A text is read in slices of so many characters; the counts of slices add up.
+#: A text is read in slices of about so many characters, which change no value.
 _SLICE = 1 << 20
+_GAP = re.compile(r"\s")
 
 
 def surface(text: str | None) -> list[float]:
-    """The eight values of a whole text; null counts as empty."""
+    """The first eight values of a whole text; null counts as empty."""
     text = text or ""
-    total = upper = symbol = letter = bars = bangs = words = neighbours = distinct = 0
-    at = 0
+    total = upper = symbol = letter = bars = bangs = words = neighbours = 0
+    seen, last, at = np.empty(0, np.int64), None, 0
     while at < len(text):
-        to = at + _SLICE
-        while to < len(text) and not text[to].isspace():
-            to += 1
+        gap = _GAP.search(text, at + _SLICE) if at + _SLICE < len(text) else None
+        to = gap.start() if gap else len(text)
         part, at = text[at:to], to
         raw = part.encode("utf-8", "surrogatepass")
         own = part.split()
@@ -66,27 +68,54 @@ def surface(text: str | None) -> list[float]:
         bars += raw.count(b"|")
         bangs += raw.count(b"!")
         words += len(own)
-        neighbours += sum(map(eq, own, own[1:]))
-        distinct += len(set(own))
+        if own:
+            neighbours += sum(map(eq, own, own[1:])) + (own[0] == last)
+            last = own[-1]
+            fresh = set(own)  # of a long text the hashes of its words are kept
+            seen = np.union1d(seen, np.fromiter(map(hash, fresh), np.int64, len(fresh))) if len(own) < words or at < len(text) else fresh
     n = max(words, 1)
-    return [symbol / n, upper / max(letter, 1), bars / n, bangs / n, neighbours / n, 1 - distinct / n, 1 - letter / max(total + words, 1), -words]
+    return [symbol / n, upper / max(letter, 1), bars / n, bangs / n, neighbours / n, 1 - len(seen) / n, 1 - letter / max(total + words, 1), -words]
+
+
+def trigrams(text: str | None) -> np.ndarray:
+    """How many byte trigrams of a whole text, A-Z lower-cased, fall into each bucket."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    out = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(raw) - 2, _SLICE):
+        b = np.frombuffer(raw[at : at + _SLICE + 2].lower(), np.uint8).astype(np.uint32)
+        h = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        out += np.bincount(h >> np.uint32(23), minlength=BUCKETS)
+    return out
+
+
+def describe(text: str | None, rare: np.ndarray) -> list[float]:
+    counts = trigrams(text)
+    return [*surface(text), float(counts[rare].sum() / max(counts.sum(), 1))]
 
 
-def cell_of(values: list[float]) -> int:
+def cell_of(values: list[float], cuts: np.ndarray) -> int:
     cell = 0
-    for (_, cuts), value in zip(FEATURES, values, strict=True):
-        cell = cell * LEVELS + sum(value > c for c in cuts)
+    for own, value in zip(cuts, values, strict=True):
+        cell = cell * LEVELS + int((value > own).sum())
     return cell
 
 
-def with_cell(docs: DataFrame, text_col: str = "text", to: str = "cell") -> DataFrame:
-    small_batches(docs.sparkSession)
+@dataclass(frozen=True)
+class Describer:
+    """What turns a text into a cell: the rare buckets and each value's cuts."""
+
+    rare: np.ndarray
+    cuts: np.ndarray
 
-    @F.pandas_udf("int")
-    def cell(texts: pd.Series) -> pd.Series:
-        return pd.Series([cell_of(surface(t)) for t in texts], dtype=np.int32)
+    def with_cell(self, docs: DataFrame, text_col: str = "text", to: str = "cell") -> DataFrame:
+        small_batches(docs.sparkSession)
 
-    return docs.withColumn(to, cell(F.col(text_col)))
+        @F.pandas_udf("int")
+        def cell(texts: pd.Series) -> pd.Series:
+            return pd.Series([cell_of(describe(t, self.rare), self.cuts) for t in texts], dtype=np.int32)
+
+        return docs.withColumn(to, cell(F.col(text_col)))
 
 
 def _one_hot(cells: np.ndarray) -> np.ndarray:
@@ -102,11 +131,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _descend(x: np.ndarray, gradient, rounds: int = 800, rate: float = 0.1) -> np.ndarray:
+def _descend(x: np.ndarray, gradient, ridge: float, rounds: int = 800, rate: float = 0.1) -> np.ndarray:
     """Adam from zero."""
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for t in range(1, rounds + 1):
-        g = gradient(w) + 1e-4 * w
+        g = gradient(w) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -126,7 +155,9 @@ def fit_non_negative(cells: np.ndarray, n_positive: np.ndarray, n_corpus: np.nda
     p, u = n_positive / max(n_positive.sum(), 1), n_corpus / max(n_corpus.sum(), 1)
     if not n_positive.sum():
         return np.zeros(x.shape[1]), 0.5
-    first = _descend(x, lambda w: x.T @ (u * _sigmoid(x @ w) - p * (1 - _sigmoid(x @ w))))
+    # few positives say little on levels that none of them has: a prior of three documents holds weights down
+    ridge = max(1e-4, 3 / n_positive.sum())
+    first = _descend(x, lambda w: x.T @ (u * _sigmoid(x @ w) - p * (1 - _sigmoid(x @ w))), ridge)
     prior = class_prior(x @ first, p, u)
 
     def gradient(w: np.ndarray) -> np.ndarray:
@@ -137,14 +168,54 @@ def fit_non_negative(cells: np.ndarray, n_positive: np.ndarray, n_corpus: np.nda
             return -negative
         return negative - prior * (x.T @ (p * (1 - s)))
 
-    return _descend(x, gradient), prior
+    return _descend(x, gradient, ridge), prior
+
 
+def _trusted(labels: DataFrame, max_labelled: int) -> DataFrame:
+    """(doc_id) of training rows that are called good: all, or a bounded sample by hash."""
+    good = labels.where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("good")).where("good = 1 and doc_id is not null").select("doc_id")
+    n = good.count()
+    return good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n)) if n > max_labelled else good
 
-def fit(described: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights and class prior from (doc_id, cell) of all documents and the labels of training
-    rows. At most 4^8 rows of counts reach the driver."""
-    good = labels.where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("good")).where("good = 1")
-    positive = described.join(good, "doc_id", "left_semi").groupBy("cell").agg(F.count("*").alias("n_positive"))
+
+def learn_describer(docs: DataFrame, good: DataFrame) -> Describer:
+    """Rare buckets from the trigrams of all documents and of the positives; cuts from the positives."""
+    small_batches(docs.sparkSession)
+    marked = docs.select("doc_id", "text").join(broadcast_if_small(good.withColumn("good", F.lit(True))), "doc_id", "left")
+
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every, own = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text, is_good in zip(batch["text"], batch["good"], strict=True):
+                counts = trigrams(text)
+                every += counts
+                if is_good is True:
+                    own += counts
+        yield pd.DataFrame({"bucket": np.arange(BUCKETS), "corpus": every, "positive": own})
+
+    counted = marked.select("text", "good").mapInPandas(totals, "bucket int, corpus long, positive long")
+    rows = counted.groupBy("bucket").agg(F.sum("corpus").cast("double"), F.sum("positive").cast("double")).collect()  # BUCKETS rows
+    share = np.ones((2, BUCKETS))
+    for bucket, corpus, positive in rows:
+        share[:, bucket] += corpus, positive
+    odds = np.log(share[1] / share[1].sum()) - np.log(share[0] / share[0].sum())
+    rare = odds < -RARE
+
+    @F.pandas_udf("array<double>")
+    def values(texts: pd.Series) -> pd.Series:
+        return pd.Series([describe(t, rare) for t in texts])
+
+    own = docs.select("doc_id", "text").join(broadcast_if_small(good), "doc_id", "left_semi").select("doc_id", values("text").alias("v"))
+    known = own.groupBy("doc_id").agg(F.min("v").alias("v")).collect()  # a row for each trusted document
+    if not known:
+        return Describer(rare, np.zeros((len(FEATURES), LEVELS - 1)))
+    return Describer(rare, np.quantile(np.array([r.v for r in known]), QUANTILES, axis=0).T)
+
+
+def fit(described: DataFrame, good: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights and class prior from (doc_id, cell) of all documents and the trusted positives.
+    At most 4^9 rows of counts reach the driver."""
+    positive = described.join(broadcast_if_small(good), "doc_id", "left_semi").groupBy("cell").agg(F.count("*").alias("n_positive"))
     counts = described.groupBy("cell").agg(F.count("*").alias("n_corpus"))
     rows = counts.join(positive, "cell", "left").select("cell", F.coalesce("n_positive", F.lit(0)), "n_corpus").collect()
     rows.sort()
@@ -164,26 +235,31 @@ def score_of(weights: np.ndarray) -> F.Column:
     return 1 / (1 + F.exp(-total))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, held_out boolean, score double (0
     to 1), predicted int (score >= threshold).
 
     Labels (doc_id, quality) of held-out documents are not read; null labels are none; a
-    document with several labels is positive if one is 1. Null and empty texts get the score of
-    their cell. Without positives every score is 0.5. Null ids count as '' for the fold. Repeated
-    rows stay; an empty table gives no rows; further columns are ignored."""
-    described = checkpoint(with_cell(docs.select("doc_id", "text")).select("doc_id", "cell"))
-    weights, _ = fit(described, labels)
+    document with several labels is positive if one is 1. Texts of any length are described as a
+    whole; null and empty texts get the score of their cell. Without positives every score is 0.5.
+    Null ids count as '' for the fold and are no positives. Repeated rows stay and equal texts have
+    equal scores; an empty table gives no rows; further columns are ignored."""
+    good = checkpoint(_trusted(labels, max_labelled))
+    described = checkpoint(learn_describer(docs, good).with_cell(docs.select("doc_id", "text")).select("doc_id", "cell"))
+    weights, _ = fit(described, good)
     scored = described.select("doc_id", held_out().alias("held_out"), score_of(weights).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` accepts, with all their columns."""
-    described = checkpoint(with_cell(docs.select("doc_id", "text")).select("doc_id", "cell"))
-    weights, _ = fit(described, labels)
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` accepts, with all their columns. Rows are stored with
+    their cells, so that no text is described again."""
+    good = checkpoint(_trusted(labels, max_labelled))
     names = [f"`{c}`" for c in docs.columns]
-    scored = with_cell(docs.select(F.struct(*names).alias("__doc"), "text")).select("__doc", score_of(weights).alias("__score"))
+    described = learn_describer(docs, good).with_cell(docs.select(F.struct(*names).alias("__doc"), "doc_id", "text"), to="__cell")
+    described = stored(described.select("__doc", "__cell"))
+    weights, _ = fit(described.select("__doc.doc_id", F.col("__cell").alias("cell")), good)
+    scored = described.select("__doc", F.col("__cell").alias("cell")).select("__doc", score_of(weights).alias("__score"))
     return scored.where(F.col("__score") >= threshold).select("__doc.*")
 
 
