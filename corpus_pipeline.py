@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.bpe import encode
-from larkspur.llm.common import shared_folder, table
+from larkspur.llm.common import remove, remove_stored, shared_folder, stored_so_far, table
 from larkspur.llm.decontamination import decontaminate
-from larkspur.llm.line_dedup import drop_recurring_lines
+from larkspur.llm.line_dedup import without_recurring_lines
 from larkspur.llm.quality import keep_good
 from larkspur.llm.simhash_dedup import keep_first
 
@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = drop_recurring_lines(docs)
+    cut = without_recurring_lines(docs)
     return cut.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -59,8 +59,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, last = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
+        before = stored_so_far()
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        # the stage is written: what it was made from can go; only the last output stays
+        remove_stored(spark, before)
+        if last:
+            remove(spark, f"{folder}/{last}")
+        last = name
     return docs
