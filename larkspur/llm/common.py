@@ -123,6 +123,11 @@ def row_key() -> F.Column:
     return F.xxhash64("doc_id", "text")
 
 
+def wide_row_key() -> F.Column:
+    """As ``row_key``, of 128 bits as hex digits: where a key decides which document stays."""
+    return F.concat(F.hex(F.xxhash64("doc_id", "text")), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), "text", "doc_id")))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) long pairs -> (node, root): every node of an edge with the smallest node that it
     reaches. Alternates large-star and small-star steps (Kiveris et al., 2014): the rounds

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, connected_components, join_counted, row_key, small_batches, stored, table
+from .common import broadcast_if_small, checkpoint, connected_components, join_counted, row_key, small_batches, stored, table, wide_row_key
 
 BLOCKS = 7
 RADIUS = 4
@@ -46,6 +46,8 @@ CELL_LIMIT = 4096
 #: Near copies by exact similarity: candidates within the radius (of 256 bits), links from the similarity on.
 WIDE_RADIUS = 76
 SIMILARITY = 0.8
+#: Members of a cell of candidates that serve as pivots, at most.
+WIDE_PIVOTS = 8
 #: Groups of candidates with more shingles are compared in blocks of about so many.
 SHINGLES_HELD = 2_000_000
 _SLICE = 65_536
@@ -189,13 +191,14 @@ def _link_cells(radius: int, limit: int):
 
 
 def _marked_links(marked: DataFrame, radius: int) -> DataFrame:
-    """Links between marked fingerprints through the words within half the radius of them."""
-    masks = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i, j in combinations(range(64), 2))]
-    if radius != 4:
-        raise ValueError("cells over the limit need a radius of 4")
-    signed = [m - 2**64 if m >= 2**63 else m for m in masks]
-    near = marked.select("a", F.explode(F.transform(F.array(*map(F.lit, signed)), lambda m: m.bitwiseXOR(F.col("a")))).alias("mid"))
-    low = near.groupBy("mid").agg(F.min("a").alias("b"), F.max("a").alias("top")).where("b < top").drop("top")
+    """Links between marked fingerprints through words close to them. Two fingerprints are within the
+    radius iff some word is within half the radius (rounded down) of one and the rest of the other;
+    so all fingerprints about a word are linked to the smallest that is within the lower half."""
+    inner, outer = radius // 2, radius - radius // 2
+    masks = [(sum(1 << b for b in bits), k <= inner) for k in range(outer + 1) for bits in combinations(range(64), k)]
+    signed = F.array(*(F.struct(F.lit(m - 2**64 if m >= 2**63 else m).cast("long").alias("mask"), F.lit(i).alias("inner")) for m, i in masks))
+    near = marked.select("a", F.explode(signed).alias("m")).select("a", F.col("m.mask").bitwiseXOR(F.col("a")).alias("mid"), "m.inner")
+    low = near.groupBy("mid").agg(F.min(F.when(F.col("inner"), F.col("a"))).alias("b"), F.min("a").alias("least"), F.max("a").alias("top")).where("b is not null and least < top").select("mid", "b")
     return near.join(low, "mid").where("a <> b").select("a", "b").distinct()
 
 
@@ -222,6 +225,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 4, cel
     come out as often as they came in. A null doc_id keeps its row and never names a component
     unless all ids of the component are null. An empty table gives no rows. Further columns of
     ``docs`` are ignored. Two fingerprints are linked at ``radius`` differing bits or fewer."""
+    small_batches(docs.sparkSession)
     own = checkpoint(with_fingerprint(docs.select("doc_id", "text", row_key().alias("row")), shingle).select("row", "doc_id", "fp"))
     fps = own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_same"))
     labels = connected_components(links(fps.select("fp"), radius, cell_limit))
@@ -260,16 +264,17 @@ def _mix(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def _wide_links(words: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect what all links of the members connect. Pivot tables of the first 64 bits
-    discard pairs, all 256 bits decide."""
-    tables = np.bitwise_count(words[:, :1] ^ PIVOTS[None, :]).astype(np.int8)
-    narrow = radius * 64 // 256 + 8  # the first 64 bits of a link vary around a quarter of its distance
+    """Links that connect what all links of the members connect. Pivots are some of the members: their
+    distances to all members are tabled, pairs whose tables differ by more than the radius are
+    discarded (no link can), and all 256 bits decide on the others."""
+    pivots = words[:: max(1, -(-len(words) // WIDE_PIVOTS))]
+    tables = np.stack([np.bitwise_count(words ^ p).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
     left, links, queue = np.arange(len(words)), [], []
     while queue or len(left):
         if not queue:
             queue, left = [int(left[0])], left[1:]
         i = queue.pop()
-        near = left[np.abs(tables[left] - tables[i]).max(axis=1) <= narrow]
+        near = left[np.abs(tables[left] - tables[i]).max(axis=1) <= radius]
         near = near[np.bitwise_count(words[near] ^ words[i]).sum(axis=1) <= radius]
         if len(near):
             links += [(i, int(j)) for j in near]
@@ -386,7 +391,8 @@ def near_copies(docs: DataFrame, radius: int = WIDE_RADIUS, shingle: int = 5, n_
     are compared in blocks, each block with each, in tasks of their own: no pair is left out, and
     the rows grow with the square of the members over the limit.
 
-    Texts without words are one component. Nulls, repeats and empty tables as in ``near_duplicates``."""
+    Texts without words are one component; whole texts of any length are hashed in a pass (8 bytes a
+    word are held). Nulls, repeats and empty tables as in ``near_duplicates``."""
 
     @F.pandas_udf("struct<class:long,w0:long,w1:long,w2:long,w3:long,cells:array<long>>")
     def describe(texts: pd.Series) -> pd.DataFrame:
@@ -401,7 +407,7 @@ def near_copies(docs: DataFrame, radius: int = WIDE_RADIUS, shingle: int = 5, n_
         return pd.Series([np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts])
 
     small_batches(docs.sparkSession)
-    own = docs.select(row_key().alias("row"), "doc_id", describe("text").alias("d")).select("row", "doc_id", "d.*")
+    own = docs.select(wide_row_key().alias("row"), "doc_id", describe("text").alias("d")).select("row", "doc_id", "d.*")
     own = stored(own)
     classes = own.groupBy("class").agg(*(F.first(c).alias(c) for c in ("w0", "w1", "w2", "w3", "cells")))
     members = classes.select("class", "w0", "w1", "w2", "w3", F.explode("cells").alias("cell"))
@@ -412,7 +418,7 @@ def near_copies(docs: DataFrame, radius: int = WIDE_RADIUS, shingle: int = 5, n_
     groups = connected_components(candidates)
     one = own.groupBy("class").agg(F.min("row").alias("__row"))
     one = checkpoint(groups.join(one, F.col("node") == F.col("class")).select("__row", "class", "root"))
-    texts = docs.select(row_key().alias("__row"), "text").join(broadcast_if_small(one), "__row")
+    texts = docs.select(wide_row_key().alias("__row"), "text").join(broadcast_if_small(one), "__row")
     sets = stored(texts.select("class", "root", shingles("text").alias("shingles")))
     large = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("shingles") / 8).alias("size"))
     large = large.select("root", F.ceil(F.greatest(F.col("n") / cell_limit, F.col("size") / SHINGLES_HELD)).alias("n_blocks")).where("n_blocks > 1")
@@ -427,13 +433,16 @@ def near_copies(docs: DataFrame, radius: int = WIDE_RADIUS, shingle: int = 5, n_
 def keep_first(docs: DataFrame, radius: int = WIDE_RADIUS, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each component of near copies of ``docs``, the one with the smallest doc_id (null
     last; then by key), with all its columns. Repeated rows count once."""
-    found = near_copies(docs, radius, shingle, similarity=similarity)
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"), F.count("*").alias("n"))
-    first = checkpoint(first.select(F.col("first.row").alias("__row"), "n"))
-    keyed = docs.withColumn("__row", row_key())
-    alone = keyed.join(broadcast_if_small(first.where("n = 1").select("__row")), "__row", "left_semi")
-    several = keyed.join(broadcast_if_small(first.where("n > 1").select("__row")), "__row", "left_semi").dropDuplicates(["__row"])
-    return alone.unionByName(several).select(*(f"`{c}`" for c in docs.columns))
+    found = checkpoint(near_copies(docs, radius, shingle, similarity=similarity))
+    by_component = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"), F.count("*").alias("n"))
+    first = checkpoint(by_component.select("component", F.col("first.row").alias("first"), "n").where("n > 1"))
+    gone = join_counted(found.select("component", "row"), first, "component", "n").where("row <> first").select(F.col("row").alias("__row")).distinct()
+    twice = checkpoint(found.groupBy(F.col("row").alias("__row")).agg(F.count("*").alias("n")).where("n > 1").select("__row"))
+    kept = docs.withColumn("__row", wide_row_key()).join(broadcast_if_small(checkpoint(gone)), "__row", "left_anti")
+    if not twice.isEmpty():
+        again = broadcast_if_small(twice)
+        kept = kept.join(again, "__row", "left_anti").unionByName(kept.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
+    return kept.select(*(f"`{c}`" for c in docs.columns))
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,17 @@ def test_links_lose_nothing(spark, limit):
     assert {frozenset(g) for g in groups.values()} == components(fps)
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4])
+def test_any_radius_in_large_cells(spark, radius):
+    rng = np.random.default_rng(9)
+    base = int(rng.integers(0, 2**62))
+    fps = {base ^ sum(1 << int(b) for b in rng.choice(12, rng.integers(0, 6), replace=False)) for _ in range(60)}
+    rows = links(spark.createDataFrame([(f,) for f in fps], "fp long"), radius, cell_limit=2).collect()
+    assert all((r.a ^ r.b).bit_count() <= radius for r in rows)
+    want = grouped([(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= radius], fps)
+    assert grouped([(r.a, r.b) for r in rows], fps) == want
+
+
 def test_odd_rows(spark):
     rows = near_duplicates(with_clashes(odd(spark))).collect()
     assert len(rows) == len(odd_rows())
