@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Bytes of one of the two tables of known pieces in a worker (memory only, not results).
-KEEP_BYTES = 48 << 20
+KEEP_BYTES = 40 << 20
 #: Slots of the table of known pairs; bytes that a known piece takes besides its characters and ids.
 PAIR_SLOTS, ENTRY = 1 << 20, 200
 #: Characters of a text handled at once; cuts fall before white space. Texts are put together up to it.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Longer words (in bytes) are encoded one by one.
 LONG = 250
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -453,7 +453,7 @@ def _row(parts: Iterable[tuple[int, bytes, str]], keep_ids: bool) -> tuple:
 
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Adds to each row of ``docs``: n_tokens long, ids_sha256, decoded_sha256 and, with
-    ``keep_ids``, token_ids (array of int). Whole texts of any length, read in slices of about a
+    ``keep_ids``, token_ids (array of int). Whole texts of any length, read in slices of half a
     million characters; null or empty: no tokens. Repeated rows, ties and further columns pass
     through; columns of these names are replaced; an empty table gives no rows. ``path``: the
     vocabulary, readable on every machine."""

@@ -70,16 +70,17 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
 
 
-def stored_so_far() -> int:
-    """How many tables of ``stored`` there are."""
-    return len(_STORED)
+def stored_tables() -> list[str]:
+    """Folders of the tables of ``stored`` that there are."""
+    return list(_STORED)
 
 
-def remove_stored(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables of ``stored`` from a number of ``stored_so_far`` on: once the results that read
-    them are written."""
-    while len(_STORED) > since:
-        remove(spark, _STORED.pop())
+def remove_stored(spark: SparkSession, tables: list[str] | None = None) -> None:
+    """Delete tables of ``stored`` (all, or those given): once the results that read them are written."""
+    for path in stored_tables() if tables is None else tables:
+        if path in _STORED:
+            _STORED.remove(path)
+            remove(spark, path)
 
 
 def _at_exit(spark: SparkSession) -> None:

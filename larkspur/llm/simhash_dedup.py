@@ -48,6 +48,8 @@ WIDE_RADIUS = 76
 SIMILARITY = 0.8
 #: Members of a cell of candidates that serve as pivots, at most.
 WIDE_PIVOTS = 8
+#: Cells of up to so many candidates need none.
+FEW = 12
 #: Groups of candidates with more shingles are compared in blocks of about so many.
 SHINGLES_HELD = 2_000_000
 _SLICE = 65_536
@@ -266,7 +268,10 @@ def _mix(x: np.ndarray, k: int) -> np.ndarray:
 def _wide_links(words: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that connect what all links of the members connect. Pivots are some of the members: their
     distances to all members are tabled, pairs whose tables differ by more than the radius are
-    discarded (no link can), and all 256 bits decide on the others."""
+    discarded (no link can), and all 256 bits decide on the others. Few members are compared at once."""
+    if len(words) <= FEW:
+        near = np.bitwise_count(words[:, None, :] ^ words[None, :, :]).sum(axis=2) <= radius
+        return [(int(i), int(j)) for i, j in np.argwhere(np.triu(near, 1))]
     pivots = words[:: max(1, -(-len(words) // WIDE_PIVOTS))]
     tables = np.stack([np.bitwise_count(words ^ p).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
     left, links, queue = np.arange(len(words)), [], []

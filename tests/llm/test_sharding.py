@@ -1,21 +1,56 @@
 import random
 import zlib
+from collections import Counter
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from texts import empty, odd, odd_rows, with_clashes
 
 from larkspur.llm.sharding import assign, schedule
 
 
-def test_schedule_is_longest_first():
-    rng = random.Random(3)
-    units = [(f"u{i}", rng.randint(1, 100)) for i in range(200)]
-    loads = [0] * 5
-    want = {}
-    for name, size in sorted(units, key=lambda u: (-u[1], u[0])):
-        k = min(range(5), key=lambda s: (loads[s], s))
+def plain_loads(sizes, shards):
+    """Longest first, one by one, to the least-loaded shard; units of each size in each shard."""
+    loads, given = [0] * shards, Counter()
+    for size in sorted(sizes, reverse=True):
+        k = min(range(shards), key=lambda s: (loads[s], s))
         loads[k] += size
-        want[name] = k
-    assert schedule(units, 5) == want and max(loads) - min(loads) <= min(s for _, s in units) + 5
+        given[size, k] += 1
+    return loads, given
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(1, 120)), max_size=12), st.integers(1, 9))
+def test_classes_are_as_one_by_one(classes, shards):
+    sizes = [s for s, c in dict(classes).items() for _ in range(c)]
+    _, given = plain_loads(sizes, shards)
+    found = schedule(list(dict(classes).items()), shards)
+    assert {(s, k): n for s, _, own in found for k, n in enumerate(own) if n} == given
+
+
+def test_large_classes():
+    (first, _), (second, _) = [(own, s) for s, _, own in schedule([(7, 10**12 + 3), (1000, 5)], 8)]
+    assert first == [1, 1, 1, 1, 1, 0, 0, 0] and sum(second) == 10**12 + 3
+    loads = [1000 * a + 7 * b for a, b in zip(first, second, strict=True)]
+    assert max(loads) - min(loads) <= 7
+
+
+def test_assign_against_plain_version(spark):
+    """Loads of all shards, over groups of equal texts, with classes cut into many parts."""
+    rng = random.Random(6)
+    texts = [rng.choice("abc") * rng.choice([1, 2, 5, 9, 40]) + str(rng.randrange(60)) for _ in range(500)] + ["x" * 3000] * 3 + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = Counter()
+    for t in texts:
+        sizes[t or ""] += len(t or "") + 1
+    want, _ = plain_loads(sizes.values(), 8)
+    for part_groups in (10_000, 3):
+        rows = assign(docs, part_groups=part_groups).collect()
+        loads = [0] * 8
+        for r in rows:
+            loads[r.shard] += r.size
+        assert loads == want and len(rows) == len(texts)
+        check(rows)
 
 
 def check(rows, shards=8):
