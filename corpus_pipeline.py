@@ -12,36 +12,63 @@ Rows that are equal in all columns count once from near_dedup on.
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.bpe import encode
-from larkspur.llm.common import remove, remove_stored, shared_folder, stored_so_far, table
+from larkspur.llm.common import remove, remove_stored, shared_folder, stored_tables, table
 from larkspur.llm.decontamination import decontaminate
 from larkspur.llm.line_dedup import without_recurring_lines
 from larkspur.llm.quality import keep_good
 from larkspur.llm.simhash_dedup import keep_first
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Tables that the latest stage has stored while it was put together.
+_LATEST: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    """A stage that first removes what the stage before it has stored: that one is written by now."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_stored(spark, _LATEST)
+        before = stored_tables()
+        out = f(spark, docs, sf_dir)
+        _LATEST[:] = [t for t in stored_tables() if t not in before]
+        return out
+
+    return run_stage
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = without_recurring_lines(docs)
     return cut.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_first(docs)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode(docs.select("doc_id", "text")).drop("text")
 
@@ -60,12 +87,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder, last = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
-    for name, stage in STAGES:
-        before = stored_so_far()
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+    for name, own in STAGES:
+        own(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-        # the stage is written: what it was made from can go; only the last output stays
-        remove_stored(spark, before)
+        # what the stage was made from can go; only the last output stays
         if last:
             remove(spark, f"{folder}/{last}")
         last = name
