@@ -42,3 +42,55 @@ def test_odd_rows(spark):
     found = {(r.doc_id, r.source_doc_id) for r in spans(docs).collect()}
     assert found == {(7, 6), (8, 6), (None, 6), (11, 6)}
     assert deduplicate(docs).count() == docs.count() and spans(empty(spark)).count() == 0
+
+
+def brute(rows, least=140):
+    """For each document the bytes that lie in a stretch of ``least`` bytes of an earlier one."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        raw = (text or "").encode()
+        own = [raw[k : k + least] for k in range(len(raw) - least + 1)]
+        bytes_of = set()
+        for k, piece in enumerate(own):
+            if piece in seen:
+                bytes_of.update(range(k, k + least))
+        out[i] = bytes_of
+        seen.update(own)
+    return out
+
+
+def check_against_brute(spark, rows, recall):
+    want, found = brute(rows), {i: set() for i, _ in rows}
+    for r in spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.end_byte - r.start_byte >= 140
+        found[r.doc_id].update(range(r.start_byte, r.end_byte))
+    assert all(found[i] <= want[i] for i in want)  # nothing is cut that doesn't repeat
+    total = sum(map(len, want.values()))
+    assert total and sum(map(len, found.values())) >= recall * total
+
+
+def test_against_brute_force(spark):
+    """Made-up documents: passages from 30 to 120 words with short and long words, nested and shared."""
+    rng = random.Random(7)
+    short = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 4))) for _ in range(n))
+    passages = [short(rng.randint(70, 120)) for _ in range(10)] + [words(rng, rng.randint(30, 90)) for _ in range(10)]
+    passages += [passages[3][20:] + " " + passages[12], "é漢🙂ü" * 40]
+    rows = [(i, f"{words(rng, rng.randint(0, 60))} {passages[i % 22]} {words(rng, rng.randint(0, 60))} {passages[(i * 7) % 22] if i % 3 else ''}") for i in range(120)]
+    check_against_brute(spark, rows, 0.98)
+
+
+def test_documents_against_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    check_against_brute(spark, rows, 0.97)
+
+
+def test_short_words(spark):
+    """51 words of some three letters: whole chunks alone cover too little of them."""
+    rng = random.Random(11)
+    short = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 5))) for _ in range(n))
+    passages = [short(51) for _ in range(100)]
+    rows = [(2 * k + j, f"{words(rng, 60)} {p} {words(rng, 60)}") for k, p in enumerate(passages) for j in range(2)]
+    found = {r.doc_id: r for r in spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(found) <= set(range(1, 200, 2)) and len(found) >= 98
+    text = dict(rows)
+    assert all(passages[i // 2] in text[i].encode()[r.start_byte : r.end_byte].decode() for i, r in found.items())
