@@ -4,7 +4,8 @@ A unit of text (the whole document, a paragraph or a line) is put into a canonic
 case, no copyright lines, equivalent spellings made one, punctuation and white space reduced to
 single blanks. Its MD5 is looked up, by a hash join, among the digests of the known licences in
 the same form: a unit matches when its entire text is a licence. The registry is a parameter; the
-built-in one has some twenty entries, so it is broadcast."""
+built-in one has the short licences as texts (also with their titles), the usual one-line notices and
+the digests of the long licences, some fifty entries, so it is broadcast."""
 
 from __future__ import annotations
 
@@ -78,6 +79,47 @@ LICENSES: list[tuple[str, str]] = [
     ("all-rights-reserved", "All rights reserved."),
 ]
 
+#: The Unlicense's own paragraphs.
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, "
+    "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+    "non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software "
+    "dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the "
+    "public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment "
+    "in perpetuity of all present and future rights to this software under copyright law.\n\n"
+    + _NO_WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")
+    + "\n\nFor more information, please refer to <https://unlicense.org/>"
+)
+LICENSES += [("Unlicense", _UNLICENSE)]
+
+#: What stands before the text in licence files, besides copyright lines.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "All rights reserved.", "BSD 2-Clause License\n\nAll rights reserved."],
+    "BSD-3-Clause": ["BSD 3-Clause License", "All rights reserved.", "BSD 3-Clause License\n\nAll rights reserved."],
+}
+LICENSES += [(k, f"{title}\n\n{text}") for k, text in LICENSES if "\n\n" in text for title in TITLES.get(k, [])]
+
+# MD5 of the canonical form of whole licence texts too long to be kept here.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "ba2aea5b00c3476955dcc645b7f4a341"),  # with the appendix on how to apply it
+    ("Apache-2.0", "115f337ac3e17753c432f6dfcdfa1b05"),  # up to the end of the terms
+    ("Artistic-1.0", "a8b0fb0c6e43a3b36bdc159e59dbfd1e"),
+    ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48"),
+    ("GFDL-1.2", "8d64296097632a6da16bb912a89806d5"),
+    ("GFDL-1.3", "540a05ef5d4a55c2aa4aa12d8e0ef925"),
+    ("GPL-1.0", "007696355fd297f36a437fcca97929da"),
+    ("GPL-2.0", "7952460f754ba446bb0d6f6e1dcb0e04"),
+    ("GPL-3.0", "8a31082f3fe03b961888bf630eff7d35"),
+    ("LGPL-2.0", "fd5c42bc693d3ad279cf7eb459c8d50b"),
+    ("LGPL-2.1", "3f554d01f627f29bdce11767a44fd410"),
+    ("LGPL-3.0", "148b473852f0e3b14ba500ebbd2e8f9c"),
+    ("MPL-1.1", "5b6b8dda539aa39fb69931742bec1b7f"),
+    ("MPL-2.0", "3e00e008c04aa92b30ad6a7ab2a46921"),
+]
+
 #: (pattern, one spelling) on lower-case text; valid in Java's and RE2's syntax.
 SPELLINGS: list[tuple[str, str]] = [
     (r"licen[cs]e", "license"),
@@ -111,9 +153,13 @@ def canonical(text: F.Column) -> F.Column:
 
 
 def registry(spark: SparkSession, licenses: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(license_id, digest) of known texts; equal digests keep the first id by name."""
+    """(license_id, digest) of known texts (by default the built-in ones and digests); equal digests
+    keep the first id by name."""
     rows = spark.createDataFrame(LICENSES if licenses is None else licenses, "license_id string, text string")
-    return rows.select("license_id", F.md5(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    rows = rows.select("license_id", F.md5(canonical(F.col("text"))).alias("digest"))
+    if licenses is None:
+        rows = rows.unionByName(spark.createDataFrame(DIGESTS, "license_id string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -122,8 +168,9 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     The whole text is one unit, and so is each paragraph (between blank lines) and each line; a
     text or paragraph that is one line only is counted as the larger unit. Every unit is digested,
-    whatever its words. Null and empty texts match nothing. Rows of one doc_id are counted
-    together. An empty table gives no rows; further columns are ignored."""
+    whatever its words and its length: a text is held three times over, as a whole, in paragraphs and in
+    lines. Null and empty texts match nothing. Equal and repeated rows count as often as they
+    come; rows of one doc_id are counted together. An empty table gives no rows; further columns are ignored."""
     known = registry(docs.sparkSession) if known is None else known
     filled = docs.select("doc_id", "text").where("text <> ''")
     paragraphs = F.split("text", r"\n[ \t\r]*\n")
@@ -135,7 +182,9 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         F.when(F.size(paragraphs) > 1, as_units(paragraphs, "paragraph")).otherwise(none),
         F.when(F.size(lines) > 1, as_units(lines, "line")).otherwise(none),
     )
-    cut = filled.select("doc_id", F.inline(units)).withColumn("digest", F.md5(canonical(F.col("unit"))))
+    # the outer form, and a digest that is never null: else both would be worked out twice, for filters below them
+    cut = filled.select("doc_id", units.alias("units")).select("doc_id", F.inline_outer("units"))
+    cut = cut.withColumn("digest", F.coalesce(F.md5(canonical(F.col("unit"))), F.lit("")))
     found = cut.select("doc_id", "scope", "digest").join(broadcast_if_small(known), "digest")
     return found.groupBy("doc_id", "license_id", "scope").agg(F.count("*").alias("n_units"))
 
@@ -151,9 +200,12 @@ def _sql() -> str:
         form = f"regexp_replace({form}, {quote(pattern)}, {quote(spelling.replace('$', chr(92)))}, 'g')"
     form = rf"trim(regexp_replace({form}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     entries = ", ".join(f"({quote(k)}, {quote(t)})" for k, t in LICENSES)
+    digests = ", ".join(f"({quote(k)}, {quote(d)})" for k, d in DIGESTS)
     return rf"""
 WITH known AS (
-  SELECT md5({form}) AS digest, min(license_id) AS license_id FROM (VALUES {entries}) AS v(license_id, unit) GROUP BY 1
+  SELECT digest, min(license_id) AS license_id FROM (
+    SELECT license_id, md5({form}) AS digest FROM (VALUES {entries}) AS v(license_id, unit)
+    UNION ALL SELECT * FROM (VALUES {digests}) AS v(license_id, digest)) GROUP BY 1
 ), units AS (
   SELECT doc_id, 'document' AS scope, text AS unit FROM documents
   UNION ALL

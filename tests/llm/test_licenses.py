@@ -34,3 +34,30 @@ def test_no_word_is_needed(spark):
     assert found == {(1, "all-rights-reserved", "document"), (2, "all-rights-reserved", "document"), (3, "CC0-1.0", "document"), (4, "CC0-1.0", "paragraph")}
     own = registry(spark, [("WTFPL", "Do what you want to.")])
     assert [r.license_id for r in scan(spark.createDataFrame([(1, "do what\nyou want to")], "doc_id long, text string"), own).collect()] == ["WTFPL"]
+
+
+def test_licence_files(spark):
+    """Files as they stand in packages: a title, a copyright line, the text."""
+    from larkspur.llm.licenses import TITLES
+
+    of = {}
+    for k, t in LICENSES:
+        of.setdefault(k, t)
+    rows = [(i, f"{title}\n\nCopyright (c) 2020-2024 Some One\n\n{of[k]}\n", k) for i, (k, title) in enumerate((k, t) for k, own in TITLES.items() for t in own)]
+    found = {(r.doc_id, r.license_id) for r in scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).where("scope = 'document'").collect()}
+    assert found == {(i, k) for i, _, k in rows}
+
+
+def test_long_licences(spark):
+    """The digests, against the texts that the system holds."""
+    import os
+
+    from larkspur.llm.licenses import DIGESTS
+
+    folder = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    assert set(files) <= {k for k, _ in DIGESTS}
+    rows = [(k, open(f"{folder}/{f}", encoding="utf-8").read()) for k, f in files.items() if os.path.exists(f"{folder}/{f}")]
+    docs = spark.createDataFrame([(i, t.replace("\n", "\r\n").replace("LICENSE", "Licence")) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {(r.doc_id, r.license_id) for r in scan(docs).where("scope = 'document'").collect()}
+    assert found == {(i, k) for i, (k, _) in enumerate(rows)}
