@@ -35,9 +35,11 @@ def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def correlation_stats(edges: DataFrame) -> DataFrame:
+    """Edges, products, average score and, where edges have a ``date_upd``, the latest."""
+    latest = [F.max("date_upd").alias("last_update")] if "date_upd" in edges.columns else []
     return edges.agg(
         F.count("*").alias("n_edges"), F.countDistinct("id_source").alias("n_products"),
-        F.round(F.avg("score").cast("decimal(20,10)"), 4).cast("double").alias("avg_score"),
+        F.round(F.avg("score").cast("decimal(20,10)"), 4).cast("double").alias("avg_score"), *latest,
     )
 
 
@@ -64,10 +66,23 @@ def for_cart(edges: DataFrame, catalog: DataFrame, sales: DataFrame, cart: list[
     """Summed scores over the cart; bestsellers (unsold products too) take the place of fewer than
     ``least`` products."""
     own = edges.where(F.col("id_source").isin(*cart) & ~F.col("id_target").isin(*cart))
+    best = catalog.where(~F.col("id_product").isin(*cart))
+    return _cart(own, best, catalog, sales, limit, least)
+
+
+def for_cart_rows(edges: DataFrame, catalog: DataFrame, sales: DataFrame, cart: DataFrame, limit: int = 8, least: int = 4) -> DataFrame:
+    """As ``for_cart`` for a cart (id_product) that is a table, a handful of rows."""
+    cart = F.broadcast(cart.select(F.col("id_product").alias("__in")))
+    own = edges.join(cart, F.col("id_source") == F.col("__in"), "left_semi").join(cart, F.col("id_target") == F.col("__in"), "left_anti")
+    best = catalog.join(cart, F.col("id_product") == F.col("__in"), "left_anti")
+    return _cart(own, best, catalog, sales, limit, least)
+
+
+def _cart(own: DataFrame, best: DataFrame, catalog: DataFrame, sales: DataFrame, limit: int, least: int) -> DataFrame:
     own = own.groupBy(F.col("id_target").alias("id_product")).agg(F.sum("score").cast("double").alias("score"), F.sum("n_orders").alias("n_orders"))
     own = _top(own.join(catalog.select("id_product", "name"), "id_product"), limit)
     few = own.agg((F.count("*") < least).alias("few"))
-    best = catalog.where(~F.col("id_product").isin(*cart)).join(sales, "id_product", "left")
+    best = best.join(sales, "id_product", "left")
     best = best.select("id_product", F.lit(0.0).alias("score"), F.coalesce("sold", F.lit(0)).alias("n_orders"), "name")
     best = best.orderBy(F.desc("n_orders"), "id_product").limit(limit)
     return own.join(F.broadcast(few), ~F.col("few")).drop("few").unionByName(best.join(F.broadcast(few), F.col("few")).drop("few"))

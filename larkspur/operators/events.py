@@ -69,17 +69,42 @@ def conversion_rows(events: DataFrame) -> DataFrame:
     return own.select("order_id", "shop_id", "session_id", "timestamp", query, F.inline_outer("products"))
 
 
-def last_searches(events: DataFrame, keep: int = 10) -> DataFrame:
-    return _last(events.where("kind = 'search' and results_count > 0"), keep)
-
-
-def last_clicks(events: DataFrame, keep: int = 20) -> DataFrame:
-    return _last(events.where("kind = 'click'"), keep)
-
-
-def _last(events: DataFrame, keep: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return events.withColumn("age", rank).where(F.col("age") <= keep)
+def with_sessions(visits: DataFrame, gap: str = "1 day") -> DataFrame:
+    """Adds session_id to (visitor, ts, event_id): a visitor keeps a session until a pause longer than
+    ``gap``; its id is made of the time it starts and the visitor."""
+    order = Window.partitionBy("visitor").orderBy("ts", "event_id")
+    fresh = F.coalesce(F.col("ts") > F.lag("ts").over(order) + F.expr(f"interval {gap}"), F.lit(True))
+    numbered = visits.withColumn("__n", F.sum(fresh.cast("int")).over(order))
+    start = F.min("ts").over(Window.partitionBy("visitor", "__n"))
+    own = F.concat(F.lit("ss_"), F.unix_millis(start.cast("timestamp")).cast("string"), F.lit("_"), F.substring(F.md5(F.col("visitor").cast("string")), 1, 9))
+    return numbered.withColumn("session_id", own).drop("__n")
+
+
+def last_searches(events: DataFrame, keep: int = 10, expiry_days: int | None = None, as_of: F.Column | None = None) -> DataFrame:
+    """The last searches with results of each session. A history lives ``expiry_days`` from its last
+    entry: after a longer pause it starts anew, and at ``as_of`` it may be gone."""
+    return _last(events.where("kind = 'search' and results_count > 0"), keep, expiry_days, as_of)
+
+
+def last_clicks(events: DataFrame, keep: int = 20, expiry_days: int | None = None, as_of: F.Column | None = None) -> DataFrame:
+    return _last(events.where("kind = 'click'"), keep, expiry_days, as_of)
+
+
+def _last(events: DataFrame, keep: int, expiry_days: int | None, as_of: F.Column | None) -> DataFrame:
+    newest = Window.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    if expiry_days is not None:
+        life = F.expr(f"interval {expiry_days} days")
+        ends = F.when(F.lag("ts").over(newest) > F.col("ts") + life, 1).otherwise(0)  # the next entry came too late
+        if as_of is not None:
+            ends = F.when(F.lag("ts").over(newest).isNull() & (F.col("ts") + life < as_of), 1).otherwise(ends)
+        events = events.withColumn("__ended", ends).withColumn("__ended", F.sum("__ended").over(newest)).where("__ended = 0").drop("__ended")
+    return events.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= keep)
+
+
+def without_query(recent: DataFrame, removed: DataFrame) -> DataFrame:
+    """Recent queries (session_id, query, place) without those that were removed; the others move up."""
+    left = recent.join(removed.select("session_id", "query"), ["session_id", "query"], "left_anti")
+    return left.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("place")))
 
 
 def recent_queries(events: DataFrame, keep: int = 5) -> DataFrame:

@@ -29,6 +29,13 @@ def main_tax_rate(rates: DataFrame, default: float = 22.0) -> DataFrame:
     return most.crossJoin(highest).select(F.coalesce("a", "b", F.lit(default)).alias("rate"))
 
 
+def tax_rates(taxes: DataFrame, rules: DataFrame, groups: DataFrame, country: int) -> DataFrame:
+    """(rate, rule_count, active) of every tax: how many rules of active groups apply it in a country."""
+    own = rules.where(F.col("id_country") == country).join(groups.where("active").select("id_group"), "id_group")
+    counts = own.groupBy("id_tax").agg(F.count("*").alias("rule_count"))
+    return taxes.join(counts, "id_tax", "left").select("rate", F.coalesce("rule_count", F.lit(0)).alias("rule_count"), "active")
+
+
 def matched(catalog: DataFrame, words: list[str]) -> DataFrame:
     """Products with any of the words (two characters or more) in the name."""
     test = F.lit(False)

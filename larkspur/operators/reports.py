@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 STAT_KEYS = ["query", "id_shop"]
 
 
-def query_stats(events: DataFrame) -> DataFrame:
-    """One row per query and shop from search and no_results events."""
+def query_stats(events: DataFrame, by_language: bool = False) -> DataFrame:
+    """One row per query and shop (and language) from search and no_results events."""
     own = events.where(F.col("kind").isin("search", "no_results"))
-    return own.groupBy(*STAT_KEYS).agg(
+    return own.groupBy(*STAT_KEYS, *["id_lang"] * by_language).agg(
         F.count("*").alias("search_count"), F.max_by("results_count", F.struct("ts", "event_id")).alias("results_count"),
         F.max("ts").alias("last_search"), F.min("ts").alias("date_add"),
     )

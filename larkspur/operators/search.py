@@ -1,9 +1,10 @@
 """Product search: retrieval, filters, fuzzy fallback, merge, boosts, paging.
 
-Works on a table of queries (query_id, query) at once. The queries are a stated, small set: they
-are broadcast after a count (beyond the bound the join is left to Spark) and the catalogue is
-read once for all of them; every cap applies per query through a rank window, with id_product as
-the last tie-breaker."""
+Works on a table of queries (query_id, query) at once. The queries are a stated, small set: what
+is derived for them, a row a query or word, is broadcast if the planner's own estimate of their
+size allows it (else the join is left to Spark). Everything is one lazy plan, and no job runs while
+it is put together. Every cap applies per query through a rank window, with id_product as the last
+tie-breaker."""
 
 from __future__ import annotations
 
@@ -13,10 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import fuzzy_similarity, linguistic, with_relevance
-from ..functions.text import consonants, expand_words, normalize, query_words, spellings, stem, without_stop_words
+from ..functions.text import consonants, expand_words, normalize, query_words, resembles, spellings, stem, without_stop_words
 
-CANDIDATES, FUZZY_CANDIDATES, RESULTS, FUZZY_BELOW = 300, 200, 200, 5
-QUERY_BOUND = 10_000
+CANDIDATES, FUZZY_CANDIDATES, RESULTS, FUZZY_BELOW, RECENT = 300, 200, 200, 5, 20
+#: Stated tables are broadcast up to this estimate of their size; where there is none, up to so many rows.
+STATED_BYTES, STATED_ROWS = 1 << 20, 10_000
 FIELDS = ("name", "short_desc", "description", "reference", "brand")
 
 
@@ -47,21 +49,41 @@ class Filters:
         return len(self.categories) + len(self.brands) + (self.price_min is not None or self.price_max is not None) + self.in_stock
 
 
-def small(df: DataFrame, bound: int = QUERY_BOUND) -> DataFrame:
-    """A stated, small table (queries, rules) as a local one, marked for broadcast, if it has at
-    most ``bound`` rows; beyond that as it is. What was derived for it is then computed once."""
-    rows = df.limit(bound + 1).collect()
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= bound else df
+def is_stated(df: DataFrame) -> bool:
+    """Whether a table is small: by the planner's estimate, which takes no job. Only rows that come
+    through an RDD have none; they are counted, up to the bound."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= STATED_BYTES or (size >= 1 << 62 and df.limit(STATED_ROWS + 1).count() <= STATED_ROWS)
 
 
-def with_words(queries: DataFrame) -> DataFrame:
+def hinted(df: DataFrame, stated: bool) -> DataFrame:
+    """``df`` (as many rows as a stated table, or a few for each) for broadcast, if that table is small."""
+    return F.broadcast(df) if stated else df
+
+
+def with_words(queries: DataFrame, brands: DataFrame | None = None, phonetic: bool = True) -> DataFrame:
     """Adds words, spellings and terms (words with their variations) to (query_id, query); queries
-    under two characters are dropped. Queries that have these columns already stay as they are."""
+    under two characters are dropped. With ``brands`` (name, lower case) the terms also hold the brands
+    that a word of four characters or more resembles. Queries that have these columns already stay."""
     if "terms" in queries.columns:
         return queries
     known = queries.where(F.length(F.trim("query")) >= 2).withColumn("query", F.lower(F.trim("query")))
     known = known.withColumn("words", query_words(F.col("query"))).where(F.size("words") > 0)
-    return known.withColumn("spellings", spellings(F.col("words"))).withColumn("terms", expand_words(F.col("words")))
+    known = known.withColumn("spellings", spellings(F.col("words"))).withColumn("terms", expand_words(F.col("words")))
+    if brands is None:
+        return known
+    stated = is_stated(queries)
+    words = known.select("query_id", F.explode(F.array_distinct("words")).alias("word")).where(F.length("word") >= 4)
+    found = brands.join(hinted(words, stated), resembles(F.col("word"), F.col("name"), phonetic))
+    found = found.groupBy("query_id").agg(F.sort_array(F.collect_set("name")).alias("__brands"))
+    both = known.join(hinted(found, stated), "query_id", "left")
+    none = F.array().cast("array<string>")
+    return both.withColumn("terms", F.array_distinct(F.concat("terms", F.coalesce("__brands", none)))).drop("__brands")
+
+
+def brand_names(catalog: DataFrame) -> DataFrame:
+    """The vocabulary of brand corrections: brands that have active products."""
+    return catalog.where("brand <> ''").select(F.lower("brand").alias("name")).distinct()
 
 
 def top(df: DataFrame, n: int, *order, by: str = "query_id") -> DataFrame:
@@ -87,9 +109,10 @@ def _any(tests: list[F.Column]) -> F.Column:
     return out
 
 
-def candidates(catalog: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+def candidates(catalog: DataFrame, queries: DataFrame, limit: int = CANDIDATES, stated: bool | None = None) -> DataFrame:
     """Products with a term in any of five fields, per query: more terms in the name first."""
-    found = folded(catalog, all=FIELDS, name=("name",)).join(small(with_words(queries)), any_in(F.col("terms"), "__all"))
+    asked = hinted(with_words(queries), is_stated(queries) if stated is None else stated)
+    found = folded(catalog, all=FIELDS, name=("name",)).join(asked, any_in(F.col("terms"), "__all"))
     found = found.withColumn("name_match_count", F.size(F.filter("terms", lambda w: F.contains(F.col("__name"), w)))).drop("__all", "__name")
     return top(found, limit, F.desc("name_match_count"), "name", "id_product")
 
@@ -101,23 +124,25 @@ def scored(found: DataFrame, as_of: F.Column, full: bool = True) -> DataFrame:
 def exact_words(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     """Products where every word is in some field."""
     every = F.forall("words", lambda w: F.contains(F.col("__all"), w))
-    return folded(catalog, all=FIELDS).join(small(with_words(queries)), every).drop("__all")
+    return folded(catalog, all=FIELDS).join(hinted(with_words(queries), is_stated(queries)), every).drop("__all")
 
 
 def exact_code(catalog: DataFrame, queries: DataFrame) -> DataFrame:
-    """First product whose code equals a query that looks like one: four characters or more of
-    letters, digits, - and _, and a digit, - or _ among them or all upper case."""
+    """First product whose reference, ean13 or upc equals a query that looks like a code: four characters or
+    more of letters, digits, - and _, and a digit, - or _ among them or all upper case. All columns of
+    the catalogue, and relevance."""
     code = F.regexp_replace("query", r"\s", "")
     gate = (F.length("code") >= 4) & F.col("code").rlike("^[A-Za-z0-9_-]+$") & (F.col("code").rlike("[0-9_-]") | (F.col("code") == F.upper("code")))
-    asked = queries.withColumn("code", code).where(gate)
-    codes = catalog.select("id_product", "name", "price", F.explode(F.array_distinct(F.array("reference", "ean13"))).alias("own"))
-    found = codes.join(small(asked), F.upper("own") == F.upper("code"))
-    return top(found, 1, "id_product").select("query_id", "id_product", "name", F.lit(150.0).alias("relevance"))
+    asked = queries.select("query_id", code.alias("code")).where(gate).select("query_id", F.upper("code").alias("__code"))
+    codes = catalog.withColumn("__code", F.explode(F.array_distinct(F.transform(F.array("reference", "ean13", "upc"), F.upper))))
+    found = codes.join(hinted(asked, is_stated(queries)), "__code").drop("__code")
+    return top(found, 1, "id_product").withColumn("relevance", F.lit(150.0))
 
 
-def fuzzy_candidates(catalog: DataFrame, queries: DataFrame, limit: int = FUZZY_CANDIDATES, phonetic: bool = True) -> DataFrame:
+def fuzzy_candidates(catalog: DataFrame, queries: DataFrame, limit: int = FUZZY_CANDIDATES, phonetic: bool = True, stated: bool | None = None) -> DataFrame:
     """Products that resemble a word of three characters or more: its sound, its letters in
     order, the word without its first or last letter, or its consonants in order."""
+    stated = is_stated(queries) if stated is None else stated
     asked = with_words(queries).withColumn("probe", F.explode(F.array_distinct(F.filter(F.split("query", " "), lambda w: F.length(w) >= 3))))
     letters = lambda word: F.filter(F.split(word, ""), lambda c: c != "")
     long = F.length("probe") > 3
@@ -135,7 +160,7 @@ def fuzzy_candidates(catalog: DataFrame, queries: DataFrame, limit: int = FUZZY_
     tests += [in_order(F.col("letters"), f) for f in (name, text, brand)]
     tests += [(F.size("skeleton") >= 3) & in_order(F.col("skeleton"), f) for f in (name, text, brand)]
     own = folded(catalog, name=("name",), text=("description",), brand=("brand",))
-    found = own.join(small(asked), _any(tests)).drop("probe", "letters", "skeleton", "head", "tail", "sound", "__s1", "__s2", "__name", "__text", "__brand")
+    found = own.join(hinted(asked, stated), _any(tests)).drop("probe", "letters", "skeleton", "head", "tail", "sound", "__s1", "__s2", "__name", "__text", "__brand")
     return top(found.dropDuplicates(["query_id", "id_product"]), limit, "name", "id_product")
 
 
@@ -150,24 +175,55 @@ def in_order(letters: F.Column, text: F.Column) -> F.Column:
     return F.aggregate(letters, F.lit(0), step) >= 0
 
 
-def apply_filters(found: DataFrame, filters: Filters, links: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
-    """Conjunction of the filters that are set; membership tests are semi-joins."""
+def in_stock(found: DataFrame, stock: DataFrame | None = None, how: str = "product", id_shop: int = 1) -> DataFrame:
+    """Products in stock by one of three readings: ``product``, the quantity of the product itself;
+    ``shop``, the sum over the stock rows (id_product, id_shop, quantity) of a shop; ``any``, some stock row."""
+    if how == "product":
+        return found.where("stock > 0")
+    if how == "shop":
+        own = stock.where(F.col("id_shop") == id_shop).groupBy("id_product").agg(F.sum("quantity").alias("q")).where("q > 0")
+    else:
+        own = stock.where("quantity > 0").select("id_product").distinct()
+    return found.join(own.select("id_product"), "id_product", "left_semi")
+
+
+def base_price(found: DataFrame, price_min: float | None = None, price_max: float | None = None) -> DataFrame:
+    """The linguistic profile's price filter: on the price without tax, where 0 is no bound."""
+    if price_min:
+        found = found.where(F.col("price") >= price_min)
+    return found.where(F.col("price") <= price_max) if price_max else found
+
+
+def searchable(catalog: DataFrame) -> DataFrame:
+    """Products that searches may show."""
+    return catalog.where(F.col("visibility").isin("both", "search"))
+
+
+def membership_filters(found: DataFrame, filters: Filters, links: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
+    """The filters that narrow the catalogue itself: categories, brands, stock, attributes."""
     if filters.categories and links is not None:
         found = found.join(links.where(F.col("id_category").isin(*filters.categories)).select("id_product").distinct(), "id_product", "left_semi")
     if filters.brands:
         found = found.where(F.col("id_brand").isin(*filters.brands))
-    if filters.price_min is not None:
-        found = found.where(F.col("price_incl") >= filters.price_min)
-    if filters.price_max is not None:
-        found = found.where(F.col("price_incl") <= filters.price_max)
     if filters.in_stock:
-        found = found.where("stock > 0")
+        found = in_stock(found)
     for group, values in filters.attributes.items():
         own = attributes.where((F.col("id_group") == group) & F.col("value").isin(*values)).select("id_product").distinct()
         found = found.join(own, "id_product", "left_semi")
     return found
 
 
+def price_filter(found: DataFrame, filters: Filters) -> DataFrame:
+    if filters.price_min is not None:
+        found = found.where(F.col("price_incl") >= filters.price_min)
+    return found.where(F.col("price_incl") <= filters.price_max) if filters.price_max is not None else found
+
+
+def apply_filters(found: DataFrame, filters: Filters, links: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
+    """Conjunction of the filters that are set; membership tests are semi-joins."""
+    return price_filter(membership_filters(found, filters, links, attributes), filters)
+
+
 def merge(primary: DataFrame, secondary: DataFrame, penalty: float = 0.7) -> DataFrame:
     """Primary rows, then secondary rows of other products with their score times the penalty."""
     fresh = secondary.join(primary.select("query_id", "id_product"), ["query_id", "id_product"], "left_anti")
@@ -191,25 +247,30 @@ def boost_rules(boosts: DataFrame, as_of: F.Column, respect_schedule: bool = Tru
 
 
 def fired(queries: DataFrame, rules: DataFrame) -> DataFrame:
-    """(query_id, query, words, id_product, boost): rules that a query fires."""
-    asked = small(with_words(queries).select("query_id", "query", "words", "spellings"))
+    """(query_id, query, words, spellings, id_product, boost): rules that a query fires."""
+    asked = with_words(queries).select("query_id", "query", "words", "spellings")
     own = rules.select("id_product", F.col("boost_value").cast("double").alias("boost"), "keywords")
-    return asked.join(small(own), keyword_fires(F.col("keywords"), F.col("words"))).drop("keywords")
+    return asked.join(hinted(own, is_stated(rules)), keyword_fires(F.col("keywords"), F.col("words"))).drop("keywords")
 
 
 def boosted(found: DataFrame, queries: DataFrame, rules: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """Adds boost (1 without a rule) and injected; with a catalogue, products of fired rules that
-    were not found come in with their score plus 50, for queries that found anything."""
-    hits = small(fired(queries, rules))
-    out = found.join(hits.select("query_id", "id_product", "boost"), ["query_id", "id_product"], "left")
-    out = out.withColumn("boost", F.coalesce("boost", F.lit(1.0))).withColumn("injected", F.lit(False))
+    were not found come in with their score plus 50, for queries that found anything. ``found`` is
+    read once: the rules' products are scored first and meet it in one outer join."""
+    hits = fired(queries, rules)
+    stated = is_stated(queries) and is_stated(rules)
     if catalog is None:
-        return out
-    missing = hits.join(found.select("query_id", "id_product"), ["query_id", "id_product"], "left_anti")
-    missing = missing.join(found.select("query_id").distinct(), "query_id", "left_semi")
-    extra = scored(catalog.join(small(missing), "id_product"), F.lit(None), full=False)
-    extra = extra.withColumn("relevance", F.col("relevance") + 50).withColumn("injected", F.lit(True))
-    return out.unionByName(extra, allowMissingColumns=True)
+        out = found.join(hinted(hits.select("query_id", "id_product", "boost"), stated), ["query_id", "id_product"], "left")
+        return out.withColumn("boost", F.coalesce("boost", F.lit(1.0))).withColumn("injected", F.lit(False))
+    extra = scored(catalog.join(hinted(hits, stated), "id_product"), F.lit(None), full=False)
+    own = [c for c in found.columns if c not in ("query_id", "id_product")]
+    extra = extra.select("query_id", "id_product", "boost", (F.col("relevance") + 50).alias("__relevance"), *(F.col(c).alias(f"__{c}") for c in own if c in extra.columns and c != "relevance"))
+    both = found.withColumn("__found", F.lit(1)).join(extra, ["query_id", "id_product"], "full_outer")
+    both = both.withColumn("injected", F.col("__found").isNull()).withColumn("__any", F.max("__found").over(Window.partitionBy("query_id")))
+    both = both.where("__any = 1")
+    added = set(extra.columns)
+    filled = [F.coalesce(c, f"__{c}").alias(c) if f"__{c}" in added else F.col(c) for c in own]
+    return both.select("query_id", "id_product", *filled, F.coalesce("boost", F.lit(1.0)).alias("boost"), "injected")
 
 
 def final_order(found: DataFrame, limit: int = RESULTS) -> DataFrame:
@@ -220,23 +281,41 @@ def final_order(found: DataFrame, limit: int = RESULTS) -> DataFrame:
 
 def search(
     catalog: DataFrame, queries: DataFrame, boosts: DataFrame, as_of: F.Column, filters: Filters | None = None,
-    links: DataFrame | None = None, phonetic: bool = True, inject: bool = True,
+    links: DataFrame | None = None, phonetic: bool = True, inject: bool = True, attributes: DataFrame | None = None,
 ) -> DataFrame:
-    """The whole storefront search: codes first; else candidates, filters, fuzzy rows where under
-    five are left, boosts, injections, final order. ``catalog`` has a ``sold`` column."""
+    """The whole storefront search as one lazy plan. A query that is a code of a product that passes the
+    filters gives just that one; ``*`` gives the newest products. Else candidates among the products that
+    pass the category, brand, stock and attribute filters, the price filter (with tax) on the best 300,
+    fuzzy rows where under five are left, boosts, injections, final order. ``catalog`` has a ``sold`` column."""
     filters = filters or Filters()
-    codes = exact_code(catalog, queries).persist().withColumn("final", F.col("relevance")).withColumn("rank", F.lit(1)).withColumn("boost", F.lit(1.0)).withColumn("injected", F.lit(False))
-    open_queries = small(small(with_words(queries)).join(codes.select("query_id"), "query_id", "left_anti"))
-    # at most 300 and 200 rows a query are kept: they are used several times below
-    organic = apply_filters(scored(candidates(catalog, open_queries), as_of), filters, links).persist()
-    counts = organic.groupBy("query_id").agg(F.count("*").alias("n"))
-    short = open_queries.join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < FUZZY_BELOW).drop("n")
-    fuzzy = apply_filters(scored(fuzzy_candidates(catalog, short, phonetic=phonetic), as_of, full=False), filters, links).persist()
+    stated = is_stated(queries)
+    narrowed = membership_filters(catalog, filters, links, attributes)
     keep = ["query_id", "id_product", "name", "relevance"]
-    both = merge(organic.select(*keep), fuzzy.select(*keep))
-    ranked = final_order(boosted(both, open_queries, boost_rules(boosts, as_of), catalog if inject else None))
+    codes = apply_filters(exact_code(catalog, queries), filters, links, attributes).select(*keep)
+    asked = with_words(queries, brand_names(catalog), phonetic).join(hinted(codes.select("query_id"), stated), "query_id", "left_anti")
+    organic = price_filter(scored(candidates(narrowed, asked, stated=stated), as_of), filters).select(*keep)
+    counts = organic.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = asked.join(hinted(counts, stated), "query_id", "left").where(F.coalesce("n", F.lit(0)) < FUZZY_BELOW).drop("n")
+    fuzzy = price_filter(scored(fuzzy_candidates(narrowed, short, phonetic=phonetic, stated=stated), as_of, full=False), filters).select(*keep)
+    both = organic.withColumn("__step", F.lit(1)).unionByName(fuzzy.withColumn("__step", F.lit(2)))
+    # as ``merge``, by a rank: organic rows first
+    first = F.row_number().over(Window.partitionBy("query_id", "id_product").orderBy("__step"))
+    both = both.withColumn("__first", first).where("__first = 1")
+    both = both.select("query_id", "id_product", "name", F.when(F.col("__step") == 1, F.col("relevance")).otherwise(F.col("relevance") * 0.7).alias("relevance"))
+    ranked = final_order(boosted(both, queries, boost_rules(boosts, as_of), catalog if inject else None))
     columns = [*keep, "boost", "injected", "final", "rank"]
-    return ranked.select(*columns).unionByName(codes.select(*columns))
+    newest = recent(catalog, queries, stated)
+    plain = codes.unionByName(newest.drop("rank")).withColumn("boost", F.lit(1.0)).withColumn("injected", F.lit(False)).withColumn("final", F.col("relevance"))
+    plain = plain.join(hinted(newest.select("query_id", "id_product", "rank"), stated), ["query_id", "id_product"], "left").withColumn("rank", F.coalesce("rank", F.lit(1)))
+    return ranked.select(*columns).unionByName(plain.select(*columns))
+
+
+def recent(catalog: DataFrame, queries: DataFrame, stated: bool, limit: int = RECENT) -> DataFrame:
+    """The newest products, for queries that are just ``*``."""
+    stars = queries.where(F.trim("query") == "*").select("query_id")
+    newest = catalog.select("id_product", "name", "date_add").orderBy(F.desc("date_add"), "id_product").limit(limit)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("date_add"), "id_product"))
+    return newest.join(hinted(stars, stated)).select("query_id", "id_product", "name", F.lit(0.0).alias("relevance"), rank.alias("rank"))
 
 
 def page(ranked: DataFrame, offset: int, limit: int = 24) -> DataFrame:
@@ -275,40 +354,42 @@ def linguistic_terms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def linguistic_search(catalog: DataFrame, queries: DataFrame, synonyms: DataFrame, boosts: DataFrame | None = None, as_of: F.Column | None = None, limit: int = 20, fuzzy: bool = True) -> DataFrame:
-    """The linguistic profile: words in six fields, stems in two, synonyms in two, additive
-    scores, fuzzy rows where under ``limit`` were found. ``catalog`` has sold and rating."""
-    terms = linguistic_terms(queries, synonyms)
+    """The linguistic profile over searchable products: words in six fields (name, short text, reference,
+    ean13, brand, tags), stems in two, synonyms in two, additive scores, fuzzy rows where under ``limit``
+    were found, boosts by exact keywords (a rule without any never fires). ``catalog`` has sold and rating."""
+    terms, stated = linguistic_terms(queries, synonyms), is_stated(queries)
+    catalog = searchable(catalog)
     hit = any_in(F.col("words"), "__all") | any_in(F.filter("stems", lambda s: F.length(s) >= 2), "__short") | any_in(F.transform("synonyms", lambda s: F.lower(s)), "__short")
-    own = folded(catalog, all=("name", "short_desc", "reference", "ean13", "brand"), short=("name", "short_desc"))
-    found = own.join(small(terms), hit).drop("__all", "__short")
+    own = folded(catalog, all=("name", "short_desc", "reference", "ean13", "brand", "tags"), short=("name", "short_desc"))
+    found = own.join(hinted(terms, stated), hit).drop("__all", "__short")
     raw = query_words(F.col("query"))
     found = found.withColumn("score", linguistic(F.col("query"), raw, F.col("sold"), F.col("rating")))
     found = top(found, limit * 3, F.desc("score"), "name", "id_product")
     if fuzzy:
         counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
         short = terms.join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < limit).drop("n")
-        near = fuzzy_rows(catalog, short)
+        near = fuzzy_rows(catalog, short, stated=stated)
         near = near.withColumn("score", linguistic(F.col("query"), query_words(F.col("query")), F.col("sold"), F.col("rating"), F.col("fuzzy_score")))
         fresh = near.join(found.select("query_id", "id_product"), ["query_id", "id_product"], "left_anti")
         found = found.unionByName(fresh.drop("fuzzy_score"), allowMissingColumns=True)
     found = found.withColumn("boost", F.lit(1.0))
     if boosts is not None:
         own = boost_rules(boosts, as_of).select("id_product", F.col("boost_value").cast("double").alias("b"), F.transform(F.split(F.lower(F.coalesce("keywords", F.lit(""))), ","), lambda k: F.trim(k)).alias("k"))
-        found = found.join(small(own), "id_product", "left")
-        fires = (F.array_join("k", "") == "") | F.arrays_overlap("k", "words")
+        found = found.join(hinted(own, is_stated(boosts)), "id_product", "left")
+        fires = F.arrays_overlap("k", "words")
         found = found.withColumn("boost", F.when(fires, F.col("b")).otherwise(1.0)).withColumn("boost", F.coalesce("boost", F.lit(1.0))).drop("b", "k")
     final = found.withColumn("final", F.col("score") * F.col("boost"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), "name", "id_product"))
     return final.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "id_product", "name", "score", "boost", "final", "rank")
 
 
-def fuzzy_rows(catalog: DataFrame, terms: DataFrame, threshold: int = 3, scope: int = 1000, limit: int = 200) -> DataFrame:
+def fuzzy_rows(catalog: DataFrame, terms: DataFrame, threshold: int = 3, scope: int = 1000, limit: int = 200, stated: bool | None = None) -> DataFrame:
     """Products by the similarity of their name's words to the query's, over the first ``scope``
     products by id."""
     pool = catalog.orderBy("id_product").limit(scope)
     # lengths further apart than the threshold can't be within it: most pairs go by this
     near_length = F.exists("words", lambda w: F.exists(F.split(F.lower("name"), " "), lambda o: F.abs(F.length(w) - F.length(o)) <= threshold))
-    near = pool.join(small(terms), near_length)
+    near = pool.join(hinted(terms, is_stated(terms) if stated is None else stated), near_length)
     near = near.withColumn("fuzzy_score", fuzzy_similarity(F.col("words"), F.split(F.lower("name"), " "), threshold)).where("fuzzy_score > 0")
     return top(near, limit, F.desc("fuzzy_score"), "id_product")
 
@@ -317,25 +398,35 @@ def category_search(categories: DataFrame, text: str, limit: int = 5) -> DataFra
     return categories.where((F.col("id_category") > 2) & F.contains(F.lower("category"), F.lit(text.lower()))).orderBy("category", "id_category").limit(limit)
 
 
-def admin_lookup(catalog: DataFrame, text: str, limit: int = 50) -> DataFrame:
-    """Products by part of name, reference or brand, or by id."""
+def admin_lookup(products: DataFrame, text: str, limit: int = 50) -> DataFrame:
+    """Products by part of name, reference or brand, or by id; inactive ones too, behind the active."""
     t = F.lit(text.lower())
     number = int(text) if text.isdigit() else 0
     hit = F.contains(F.lower("name"), t) | F.contains(F.lower("reference"), t) | F.contains(F.lower("brand"), t) | (F.col("id_product") == number)
     label = F.concat("name", F.lit(" ("), "reference", F.lit(")"))
-    return catalog.where(hit).orderBy("name", "id_product").limit(limit).select("id_product", label.alias("label"), "brand")
+    return products.where(hit).orderBy(F.desc("active"), "name", "id_product").limit(limit).select("id_product", label.alias("label"), "brand", "active")
 
 
-def formatted(rows: DataFrame, bestsellers: DataFrame) -> DataFrame:
-    """Display columns: prices, a short description without tags, stock and bestseller flags."""
+def formatted(rows: DataFrame, bestsellers: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Display columns: prices (the old one only where it is higher, with the discount), a short
+    description without tags, stock, sales, bestseller and variant flags, image, boost and injected
+    (where ``rows`` have them). Rows without a name or price are left out."""
     from ..functions.text import strip_tags
 
     best = bestsellers.select("id_product", F.lit(True).alias("is_bestseller"))
-    own = rows.join(best, "id_product", "left")
+    variants = attributes.select("id_product", F.lit(True).alias("has_attributes")).distinct()
+    own = rows.where("name is not null and price_incl is not null").join(best, "id_product", "left").join(variants, "id_product", "left")
+    money = lambda c: F.round(c.cast("decimal(20,6)"), 2).cast("double")
+    or_else = lambda c, default: F.coalesce(F.col(c), default) if c in rows.columns else default
+    percent, _ = discount(F.col("price_old_incl"), F.col("price_incl"))
+    lower = F.col("price_old_incl") > F.col("price_incl")
     return own.select(
-        "id_product", "name", "brand", "category", F.round(F.col("price_incl").cast("decimal(20,6)"), 2).cast("double").alias("price_shown"),
-        F.substring(strip_tags(F.col("description")), 1, 100).alias("excerpt"), (F.col("stock") > 0).alias("in_stock"),
-        F.coalesce("is_bestseller", F.lit(False)).alias("is_bestseller"),
+        "id_product", "name", "brand", "category", "reference", money(F.col("price_incl")).alias("price_shown"),
+        F.when(lower, money(F.col("price_old_incl"))).otherwise(0.0).alias("price_old"), percent.cast("int").alias("discount_percent"),
+        F.substring(strip_tags(F.col("description")), 1, 100).alias("excerpt"), (F.col("stock") > 0).alias("in_stock"), F.col("stock").alias("quantity"),
+        or_else("sold", F.lit(0).cast("bigint")).alias("total_sold"), F.coalesce("is_bestseller", F.lit(False)).alias("is_bestseller"),
+        F.coalesce("has_attributes", F.lit(False)).alias("has_attributes"), or_else("id_image", F.lit(0).cast("bigint")).alias("id_image"),
+        or_else("boost", F.lit(1.0)).alias("boost"), or_else("injected", F.lit(False)).alias("injected"),
     )
 
 

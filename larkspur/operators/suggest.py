@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,30 +33,27 @@ def brands(catalog: DataFrame, text: str, limit: int = 3) -> DataFrame:
 
 
 def staged(stats: DataFrame, catalog: DataFrame, text: str) -> DataFrame:
-    """Popular queries; related ones up to eight; product names up to five; brands where there are
-    under four. Each stage sees how many the stages before gave; one plan, no counts on the driver."""
-    first = popular(stats, text).select("query", F.lit("popular").alias("stage"), F.lit(1).alias("step"))
-    second = related(stats, text, 13).join(first.select("query"), "query", "left_anti").select("query", F.lit("related").alias("stage"), F.lit(2).alias("step"))
-    third = product_names(catalog, text).select("query", F.lit("product").alias("stage"), F.lit(3).alias("step"))
-    fourth = brands(catalog, text).select("query", F.lit("brand").alias("stage"), F.lit(4).alias("step"))
-
-    def fill(have: DataFrame, more: DataFrame, below: int, upto: int | None) -> DataFrame:
-        n = have.agg(F.count("*").alias("have"))
-        fresh = more.join(F.broadcast(n)).where(F.col("have") < below)
-        # at most 13 rows: their number is a stage's limit
-        place = F.row_number().over(_whole())
-        fresh = fresh.withColumn("place", place).where(F.col("place") <= (F.lit(upto) - F.col("have") if upto else F.lit(1 << 30)))
-        return have.unionByName(fresh.select("query", "stage", "step"))
-
-    out = fill(first, second, 8, 8)
-    out = fill(out, third, 5, 5)
-    return fill(out, fourth, 4, None)
-
-
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("step").orderBy("query")
+    """Suggestions of up to four stages, as (query, stage, step): popular queries that start with the
+    text (5); related ones that hold it, up to eight in all; names of products where there are under
+    five, up to five; brands (3) where there are under eight. No stage repeats a term, whatever its case.
+    Each stage sees how many the stages before gave; one plan, no counts on the driver."""
+    done = popular(stats, text).select("query", F.lit("popular").alias("stage"), F.lit(1).alias("step"))
+
+    def add(stage: str, step: int, pool: DataFrame, *order, below: int, upto: int | None, before: bool) -> DataFrame:
+        """``before``: whether repeats go before the stage's own limit or after it."""
+        n = done.agg(F.count("*").alias("have"))
+        known = done.select(F.lower("query").alias("__known"))
+        rest = lambda df: df.join(F.broadcast(known), F.lower("query") == F.col("__known"), "left_anti")  # noqa: E731  # at most eight rows
+        rows = (rest(pool) if before else pool).join(F.broadcast(n)).where(F.col("have") < below)
+        if upto:  # a pool has at most 13 rows
+            place = F.row_number().over(Window.partitionBy("have").orderBy(*order))
+            rows = rows.withColumn("place", place).where(F.col("place") <= F.lit(upto) - F.col("have"))
+        rows = (rows if before else rest(rows)).select("query", F.lit(stage).alias("stage"), F.lit(step).alias("step"))
+        return done.unionByName(rows)
+
+    done = add("related", 2, related(stats, text, 13), F.desc("n"), "query", below=8, upto=8, before=True)
+    done = add("product", 3, product_names(catalog, text), "query", below=5, upto=5, before=False)
+    return add("brand", 4, brands(catalog, text), below=8, upto=None, before=False)
 
 
 def did_you_mean_popular(stats: DataFrame, text: str, limit: int = 3, pool: int = 200, least: int = 3) -> DataFrame:

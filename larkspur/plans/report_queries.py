@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..operators import baskets, events, reports, suggest
@@ -42,6 +44,12 @@ def correlation_stats(spark, sf):
     return baskets.correlation_stats(edges(spark, sf))
 
 
+@query("correlation_stats_dated", with_views("SELECT count(*) AS n_edges, count(DISTINCT id_source) AS n_products, CAST(round(CAST(sum(score) AS DECIMAL(20, 10)) / count(*), 4) AS DOUBLE) AS avg_score, TIMESTAMP '2001-08-02' + to_days(CAST(max(id_source) AS INTEGER)) AS last_update FROM edges", "edges"))
+def correlation_stats_dated(spark, sf):
+    dated = edges(spark, sf).withColumn("date_upd", F.expr(f"timestamp_ntz'{shop.CATALOG_AS_OF}' + make_dt_interval(cast(id_source as int))"))
+    return baskets.correlation_stats(dated)
+
+
 @query("correlations_merged", with_views("SELECT count(*) AS n, CAST(sum(n_orders) AS BIGINT) AS orders FROM (SELECT n_orders FROM edges UNION ALL SELECT 7)", "edges"))
 def correlations_merged(spark, sf):
     new = edges(spark, sf)
@@ -70,9 +78,8 @@ def recs_fallback_category(spark, sf):
   JOIN catalog USING (id_product) GROUP BY id_product, name ORDER BY 2 DESC, 3 DESC, 1 LIMIT 8""", "edges", "catalog"))
 def recs_cart(spark, sf):
     own = edges(spark, sf)
-    top = own.groupBy("id_source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id_source").limit(3)
-    cart = [r.id_source for r in top.collect()]
-    return baskets.for_cart(own, shop.catalog(spark, sf), shop.sales(spark, sf), cart, least=1)
+    cart = own.groupBy("id_source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id_source").limit(3).select(F.col("id_source").alias("id_product"))
+    return baskets.for_cart_rows(own, shop.catalog(spark, sf), shop.sales(spark, sf), cart, least=1)
 
 
 @query("recs_fallback_bestseller", with_views("SELECT id_product, CAST(0 AS DOUBLE) AS score, coalesce(sold, 0) AS n_orders, name FROM catalog LEFT JOIN sales USING (id_product) WHERE id_product NOT IN (1, 2) ORDER BY 3 DESC, 1 LIMIT 8", "catalog", "sales"))
@@ -97,6 +104,11 @@ def conversions(spark, sf):
 query("query_stats", with_views("SELECT * FROM stats", "stats"))(stats)
 
 
+@query("query_stats_by_language", with_views("SELECT query, id_shop, id_lang, count(*) AS search_count, arg_max(results_count, (ts, event_id)) AS results_count, max(ts) AS last_search, min(ts) AS date_add FROM behaviour WHERE kind IN ('search', 'no_results') GROUP BY 1, 2, 3", "behaviour"))
+def query_stats_by_language(spark, sf):
+    return reports.query_stats(shop.behaviour(spark, sf), by_language=True)
+
+
 @query("query_stats_merged", with_views("SELECT query, id_shop, search_count, results_count, last_search, date_add FROM stats", "stats"))
 def query_stats_merged(spark, sf):
     ev = shop.behaviour(spark, sf)
@@ -199,10 +211,27 @@ def suggest_brand(spark, sf):
     return suggest.brands(shop.catalog(spark, sf), "brand#1")
 
 
-@query("suggest_staged", with_views("""SELECT query, 'product' AS stage FROM (SELECT DISTINCT name AS query FROM catalog WHERE starts_with(lower(name), 'bl') ORDER BY 1 LIMIT 5)
-  UNION ALL SELECT brand, 'brand' FROM (SELECT DISTINCT brand FROM catalog WHERE starts_with(lower(brand), 'bl'))""", "catalog"))
+def _staged_sql(text: str) -> str:
+    """All four stages: a term that is there already is not given again."""
+    lower = text.lower()
+    return f"""SELECT '{text}' AS text, * FROM (WITH pool AS (SELECT query, n FROM totals WHERE results > 0 AND n >= 2 AND contains(query, '{lower}')),
+    one AS (SELECT query, 'popular' AS stage FROM pool WHERE starts_with(query, '{lower}') ORDER BY n DESC, query LIMIT 5),
+    two AS (SELECT query, 'related' AS stage FROM (SELECT query, row_number() OVER (ORDER BY n DESC, query) AS r FROM pool WHERE query NOT IN (SELECT query FROM one)) WHERE r <= 8 - (SELECT count(*) FROM one)),
+    a AS (SELECT * FROM one UNION ALL SELECT * FROM two),
+    three AS (SELECT query, 'product' AS stage FROM (SELECT query, row_number() OVER (ORDER BY query) AS r FROM (SELECT DISTINCT array_to_string(string_split(name, ' ')[1:3], ' ') AS query FROM catalog WHERE starts_with(lower(name), '{lower}')))
+      WHERE r <= 5 - (SELECT count(*) FROM a) AND lower(query) NOT IN (SELECT lower(query) FROM a)),
+    b AS (SELECT * FROM a UNION ALL SELECT * FROM three),
+    four AS (SELECT query, 'brand' AS stage FROM (SELECT DISTINCT brand AS query FROM catalog WHERE starts_with(lower(brand), '{lower}') ORDER BY 1 LIMIT 3) WHERE (SELECT count(*) FROM b) < 8 AND lower(query) NOT IN (SELECT lower(query) FROM b))
+    SELECT * FROM b UNION ALL SELECT * FROM four)"""
+
+
+STARTS = ["bl", "q1", "q98", "7", "Brand#1", "co"]
+
+
+@query("suggest_staged", with_views(" UNION ALL ".join(f"SELECT * FROM ({_staged_sql(t)})" for t in STARTS), "totals", "catalog"))
 def suggest_staged(spark, sf):
-    return suggest.staged(stats(spark, sf), shop.catalog(spark, sf), "bl").select("query", "stage")
+    parts = [suggest.staged(stats(spark, sf), shop.catalog(spark, sf), t).select(F.lit(t).alias("text"), "query", "stage") for t in STARTS]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 _LIKE = "levenshtein(query, 'q101')"
@@ -224,9 +253,28 @@ def dym_brand(spark, sf):
     return suggest.did_you_mean_brand(shop.catalog(spark, sf), "brnd#13")
 
 
-@query("did_you_mean")
+def _dym_sql(text: str) -> str:
+    """Popular queries, names and brands, each term once, without the text itself."""
+    d = f"levenshtein(query, '{text}')"
+    words = [w for w in text.split(" ") if len(w) >= 3]
+    names = " OR ".join(f"contains(lower(name), '{w}')" for w in words) or "false"
+    return f"""SELECT '{text}' AS text, query, CAST(min(step) AS INTEGER) AS step FROM (
+    SELECT query, 1 AS step FROM (SELECT query, greatest(CASE WHEN {d} > 0 AND {d} <= ceil(0.3 * greatest(length(query), {len(text)})) THEN n - 10 * {d} END, CASE WHEN query <> '{text}' AND (contains(query, '{text}') OR contains('{text}', query)) THEN n END) AS score
+      FROM (SELECT * FROM totals WHERE results > 0 AND n >= 3 ORDER BY n DESC, query LIMIT 200) WHERE score IS NOT NULL ORDER BY score DESC, query LIMIT 3)
+    UNION ALL SELECT query, 2 FROM (SELECT DISTINCT lower(array_to_string(string_split(name, ' ')[1:3], ' ')) AS query FROM catalog WHERE ({names})) WHERE length(query) >= 4 AND query <> '{text}' AND query IN (SELECT DISTINCT lower(array_to_string(string_split(name, ' ')[1:3], ' ')) AS q FROM catalog WHERE ({names}) AND length(name) >= 4 AND lower(array_to_string(string_split(name, ' ')[1:3], ' ')) <> '{text}' ORDER BY q LIMIT 2)
+    UNION ALL SELECT lower(query), 3 FROM (SELECT query, d FROM (SELECT brand AS query, 0 AS d FROM (SELECT DISTINCT brand FROM catalog) WHERE contains(lower(brand), '{text}') AND lower(brand) <> '{text}'
+      UNION ALL SELECT brand, levenshtein(lower(brand), '{text}') FROM (SELECT DISTINCT brand FROM catalog) WHERE levenshtein(lower(brand), '{text}') BETWEEN 1 AND 2
+        AND NOT EXISTS (SELECT 1 FROM catalog WHERE contains(lower(brand), '{text}') AND lower(brand) <> '{text}')) ORDER BY d, query LIMIT 2)
+  ) WHERE query <> '{text}' GROUP BY query ORDER BY 3, 2 LIMIT 5"""
+
+
+MEANT = ["q101", "cold ring set", "brnd#13", "brand#1"]
+
+
+@query("did_you_mean", with_views(" UNION ALL ".join(f"SELECT * FROM ({_dym_sql(t)})" for t in MEANT), "totals", "catalog"))
 def did_you_mean(spark, sf):
-    return suggest.did_you_mean(stats(spark, sf), shop.catalog(spark, sf), "q101")
+    parts = [suggest.did_you_mean(stats(spark, sf), shop.catalog(spark, sf), t).select(F.lit(t).alias("text"), "query", "step") for t in MEANT]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("spelled_alike", with_views("SELECT query, CAST(levenshtein(query, 'q9x') AS INTEGER) AS d, n FROM totals WHERE n > 5 AND levenshtein(query, 'q9x') BETWEEN 1 AND ceil(greatest(length(query), 3) / 4.0) ORDER BY 2, 3 DESC, 1 LIMIT 3", "totals"))
@@ -277,6 +325,39 @@ def recent_searches_5(spark, sf):
     return events.recent_queries(shop.behaviour(spark, sf))
 
 
+def _life_sql(rows: str, keep: int) -> str:
+    """The last entries of the histories that are alive at the end of January."""
+    return f"""SELECT session_id, event_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS age FROM (
+    SELECT *, sum(CASE WHEN coalesce(later, TIMESTAMP '2024-01-31') > ts + INTERVAL 7 DAYS THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS ended
+    FROM (SELECT *, lag(ts) OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS later FROM {rows})) WHERE ended = 0 QUALIFY age <= {keep}"""
+
+
+@query("search_history_alive", with_views(_life_sql("(SELECT * FROM behaviour WHERE kind = 'search' AND results_count > 0)", 10), "behaviour"))
+def search_history_alive(spark, sf):
+    return events.last_searches(shop.behaviour(spark, sf), 10, 7, shop.ntz(NOW)).select("session_id", "event_id", "age")
+
+
+@query("click_history_alive", with_views(_life_sql("clicks", 20), "clicks"))
+def click_history_alive(spark, sf):
+    return events.last_clicks(shop.behaviour(spark, sf), 20, 7, shop.ntz(NOW)).select("session_id", "event_id", "age")
+
+
+@query("recent_searches_removed", with_views("""SELECT session_id, query, CAST(row_number() OVER (PARTITION BY session_id ORDER BY place) AS INTEGER) AS place FROM (
+  SELECT session_id, query, row_number() OVER (PARTITION BY session_id ORDER BY t DESC, e DESC) AS place FROM (SELECT session_id, query, max(ts) AS t, arg_max(event_id, (ts, event_id)) AS e FROM behaviour WHERE kind IN ('search', 'no_results') GROUP BY 1, 2) QUALIFY place <= 5
+  ) WHERE query NOT LIKE '%3'""", "behaviour"))
+def recent_searches_removed(spark, sf):
+    recent = events.recent_queries(shop.behaviour(spark, sf))
+    return events.without_query(recent, recent.where("query like '%3'"))
+
+
+@query("sessions", """SELECT event_id, 'ss_' || (epoch_us(min(ts) OVER (PARTITION BY user_id, n)) // 1000) || '_' || left(md5(CAST(user_id AS VARCHAR)), 9) AS session_id FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (
+    SELECT *, CASE WHEN coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 DAY, true) THEN 1 ELSE 0 END AS fresh FROM events))""")
+def sessions(spark, sf):
+    visits = shop.table(spark, sf, "events").select(F.col("user_id").alias("visitor"), "ts", "event_id")
+    return events.with_sessions(visits).select("event_id", "session_id")
+
+
 _FIRST = """SELECT c.event_id, c.session_id, c.id_product, c.amount, h.query AS source_query, h.position AS source_position, h.event_id IS NOT NULL AS attributed FROM conv c LEFT JOIN
   (SELECT * FROM (SELECT * FROM clicks QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) <= 20) QUALIFY row_number() OVER (PARTITION BY session_id, id_product ORDER BY ts, event_id) = 1) h
   ON h.session_id = c.session_id AND h.id_product = c.id_product"""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import baskets, envelope, facets, merch, search, suggest
 from ..sources import shop
-from .views import score_sql, with_views
+from .views import any_sql, score_sql, soundex_sql, with_views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,19 +45,98 @@ def boosts(spark):
     return df.select("id", "id_product", F.col("boost_value").cast("decimal(5,2)").alias("boost_value"), "keywords", "active", F.col("s").cast("timestamp_ntz").alias("date_start"), F.col("e").cast("timestamp_ntz").alias("date_end"))
 
 
-_TERMS = {  # a query's words and all their variations, written out
-    "cold widget": (["cold", "widget"], ["cold", "widget"]),
-    "red gear": (["red", "gear"], ["red", "gear"]),
-    "widget cold small": (["widget", "cold", "small"], ["widget", "cold", "small"]),
-}
+# A second version of the word forms, for the oracles.
+_ENDINGS = [("i", "oe"), ("e", "ao"), ("he", ["a", "ia"]), ("ie", ["ia"]), ("chi", ["co"]), ("ghi", ["go"]), ("ni", ["ne", "no"]), ("zi", ["za", "zo"]), ("o", "i"), ("a", "e"), ("ia", ["ie"]), ("ca", ["che"]), ("ga", ["ghe"]), ("e", "i"), ("co", ["chi"]), ("go", ["ghi"])]
+_UNIT_SETS = [({"g", "gr"}, "g gr"), ({"l"}, "l lt"), ({"caps", "cps"}, "caps cps"), ({"tab", "tabs"}, "tab tabs")]
+
+
+def _unit_forms(word: str) -> list[str]:
+    number, unit = re.fullmatch(r"([0-9]*)(.*)", word).groups()
+    if not number or unit not in {"", *"g gr kg mg ml l cl oz lb caps cps tab tabs compresse bustine porzioni".split()}:
+        return []
+    if not unit:
+        return [number]
+    others = next((f.split() for units, f in _UNIT_SETS if unit in units), [])
+    more = {"caps": [" capsule"], "cps": [" capsule"], "tab": [" compresse"], "tabs": [" compresse"]}.get(unit, [])
+    return [number + form for u in [unit, *others] for form in (u, " " + u)] + [number + m for m in more]
+
+
+def _terms(words: list[str]) -> list[str]:
+    out = []
+    for w in words:
+        out += [w, *(w[: -len(e)] + o for e, others in _ENDINGS if len(w) >= 3 and w.endswith(e) for o in others), *_unit_forms(w)]
+    return list(dict.fromkeys(out))
+
 
+_FIELDS = ("name", "short_desc", "description", "reference", "brand")
+_VOWELS = "[aeiouàèéìòù]"
 
-def _candidates_sql(q: str) -> str:
-    words, terms = _TERMS[q]
+
+def _resembles_sql(word: str, name: str, phonetic: bool) -> str:
+    """Whether a name (an expression) may be what the word means."""
+    d, ln, bare = f"levenshtein({name}, '{word}')", f"length({name})", re.sub(_VOWELS, "", word)
+    longest = f"greatest({ln}, {len(word)})"
+    same = f"({len(bare)} >= 4 AND regexp_replace({name}, '{_VOWELS}', '', 'g') = '{bare}')"
+    inside = f"({len(word)} >= 5 AND {ln} >= 5 AND (contains({name}, '{word}') OR contains('{word}', {name})))"
+    affix = f"least(4, least({ln}, {len(word)}) - 1)"
+    ends = f"({affix} >= 3 AND (left({name}, {affix}) = left('{word}', {affix}) OR right({name}, {affix}) = right('{word}', {affix})) AND {d} <= {longest} * 0.4)"
+    sound = f" OR {soundex_sql(name)} = {soundex_sql(chr(39) + word + chr(39))}" if phonetic and len(word) >= 4 else ""
+    return f"(abs({ln} - {len(word)}) <= {longest} * 0.5 AND {name} <> '{word}' AND ({d} BETWEEN 1 AND {3 if len(word) >= 8 else 2 if len(word) >= 5 else 1} OR {same} OR {inside} OR {ends}{sound}))"
+
+
+def _candidates_sql(q: str, where: str = "true", corrected: bool = False, phonetic: bool = True) -> str:
+    """The best 300 products with a term in some field; with ``corrected`` also the brands that words resemble."""
+    words = [w for w in q.split(" ") if len(w) >= 2]
+    terms = _terms(words)
+    long = [w for w in words if len(w) >= 4] if corrected else []
     name_hits = " + ".join(f"CAST(contains(lower(name), '{t}') AS INTEGER)" for t in terms)
-    hit = " OR ".join(f"contains(lower({f}), '{t}')" for t in terms for f in ("name", "short_desc", "description", "reference", "brand"))
-    return f"""SELECT c.*, s.sold, {name_hits} AS name_match_count, {score_sql(q, words)} AS relevance FROM catalog c LEFT JOIN sales s USING (id_product)
-  WHERE {hit} ORDER BY name_match_count DESC, name, id_product LIMIT 300"""
+    hit = " OR ".join(any_sql(f"lower({f})", terms) for f in _FIELDS)
+    if long:
+        brands = f"SELECT DISTINCT lower(brand) AS b FROM catalog WHERE lower(brand) NOT IN ({', '.join(repr(t) for t in terms)}) AND ({' OR '.join(_resembles_sql(w, 'lower(brand)', phonetic) for w in long)})"
+        name_hits += f" + (SELECT count(*) FROM ({brands}) WHERE contains(lower(c.name), b))"
+        hit += f" OR EXISTS (SELECT 1 FROM ({brands}) WHERE " + " OR ".join(f"contains(lower(c.{f}), b)" for f in _FIELDS) + ")"
+    forms = [[w, *_unit_forms(w)] for w in words]
+    return f"""SELECT c.*, s.sold, {name_hits} AS name_match_count, {score_sql(q, words, spellings=forms)} AS relevance FROM catalog c LEFT JOIN sales s USING (id_product)
+  WHERE ({hit}) AND {where} ORDER BY name_match_count DESC, name, id_product LIMIT 300"""
+
+
+def _fuzzy_sql(q: str, phonetic: bool = True, where: str = "true") -> str:
+    """The first 200 products by name that resemble a word of three characters or more."""
+    tests = []
+    for w in dict.fromkeys(x for x in q.split(" ") if len(x) >= 3):
+        like = lambda letters: [f"lower({f}) LIKE '%{'%'.join(letters)}%'" for f in ("name", "description", "brand")]
+        if len(w) > 3:
+            tests += [f"contains(lower({f}), '{w[1:]}')" for f in ("name", "description", "brand")] + [f"contains(lower({f}), '{w[:-1]}')" for f in ("name", "brand")]
+        tests += like(w)
+        if len(re.sub(_VOWELS, "", w)) >= 3:
+            tests += like(re.sub(_VOWELS, "", w))
+        if phonetic:
+            tests += [f"{soundex_sql(f)} = {soundex_sql(chr(39) + w + chr(39))}" for f in ("name", "brand")]
+    return f"SELECT * FROM catalog WHERE ({' OR '.join(tests) or 'false'}) AND {where} ORDER BY name, id_product LIMIT 200"
+
+
+def _search_sql(k: int, text: str, where: str = "true", price: str = "true", code_where: str | None = None) -> str:
+    """The whole search for one query: narrowing filters, the price filter, and both for codes."""
+    code, q = re.sub(r"\s", "", text), text.strip().lower()
+    words = [w for w in q.split(" ") if len(w) >= 2]
+    columns = "id_product, name, relevance, boost, injected, final, CAST(row_number() OVER (ORDER BY final DESC, name, id_product) AS INTEGER) AS rank"
+    is_code = len(code) >= 4 and re.fullmatch("[A-Za-z0-9_-]+", code) and (re.search("[0-9_-]", code) or code == code.upper())
+    found = f"SELECT * FROM (SELECT * FROM catalog WHERE upper('{code}') IN (upper(reference), upper(ean13), upper(upc)) ORDER BY id_product LIMIT 1) WHERE {where} AND {price}" if is_code else "SELECT * FROM catalog WHERE false"
+    one = f"SELECT {k} AS query_id, id_product, name, CAST(150 AS DOUBLE) AS relevance, CAST(1 AS DOUBLE) AS boost, false AS injected, CAST(150 AS DOUBLE) AS final, CAST(1 AS INTEGER) AS rank FROM ({found})"
+    if text.strip() == "*":
+        return f"SELECT {k} AS query_id, id_product, name, CAST(0 AS DOUBLE) AS relevance, CAST(1 AS DOUBLE) AS boost, false AS injected, CAST(0 AS DOUBLE) AS final, CAST(row_number() OVER (ORDER BY date_add DESC, id_product) AS INTEGER) AS rank FROM catalog ORDER BY date_add DESC, id_product LIMIT 20"
+    if len(q) < 2 or not words:
+        return one
+    hits = [(5, 2.0)] + [(12, 1.5)] * any(a in b or b in a for a in ("widget", "gear") for b in words)
+    rules = ", ".join(f"(CAST({p} AS BIGINT), CAST({b} AS DOUBLE))" for p, b in hits)
+    forms = [[w, *_unit_forms(w)] for w in words]
+    return f"""SELECT * FROM (WITH organic AS (SELECT id_product, name, relevance FROM ({_candidates_sql(q, where, True)}) WHERE {price}),
+    fuzzy AS (SELECT id_product, name, {score_sql(q, words, False, forms)} * CAST(0.7 AS DOUBLE) AS relevance FROM ({_fuzzy_sql(q, True, where)})
+      WHERE {price} AND (SELECT count(*) FROM organic) < 5 AND id_product NOT IN (SELECT id_product FROM organic)),
+    found AS (SELECT * FROM organic UNION ALL SELECT * FROM fuzzy), rules AS (SELECT * FROM (VALUES {rules}) AS r(id_product, boost)),
+    ranked AS (SELECT f.*, coalesce(boost, 1) AS boost, false AS injected FROM found f LEFT JOIN rules USING (id_product)
+      UNION ALL SELECT c.id_product, c.name, {score_sql(q, words, False, forms)} + 50, boost, true FROM rules JOIN catalog c USING (id_product) WHERE id_product NOT IN (SELECT id_product FROM found) AND (SELECT count(*) FROM found) > 0)
+    SELECT {k} AS query_id, {columns} FROM (SELECT *, relevance * boost AS final FROM ranked) QUALIFY rank <= 200) WHERE NOT EXISTS ({found}) UNION ALL {one}"""
 
 
 def _scored(spark, sf, *texts):
@@ -101,17 +182,12 @@ def boost_rules_ignoring_schedule(spark, sf):
     return search.boost_rules(boosts(spark), shop.ntz(AS_OF), respect_schedule=False).select("id")
 
 
-_SEQ = " OR ".join(f"lower({f}) LIKE '{p}'" for p in ("%c%o%l%d%e%", "%w%i%d%g%i%t%", "%w%d%g%t%") for f in ("name", "description", "brand")) + "".join(
-    f" OR contains(lower({f}), '{t}')" for f, t in [("name", "olde"), ("name", "cold"), ("description", "olde"), ("brand", "olde"), ("brand", "cold"), ("name", "idgit"), ("name", "widgi"), ("description", "idgit"), ("brand", "idgit"), ("brand", "widgi")]
-) + "".join(f" OR lower({f}) LIKE '%c%l%d%'" for f in ("name", "description", "brand"))
-
-
-@query("fuzzy_candidates", with_views(f"SELECT id_product, name FROM catalog WHERE {_SEQ} ORDER BY name, id_product LIMIT 200", "catalog"))
+@query("fuzzy_candidates", with_views(f"SELECT id_product, name FROM ({_fuzzy_sql('colde widgit', False)})", "catalog"))
 def fuzzy_candidates(spark, sf):
     return search.fuzzy_candidates(shop.catalog(spark, sf), asked(spark, "colde widgit"), phonetic=False).select("id_product", "name")
 
 
-@query("fuzzy_phonetic")
+@query("fuzzy_phonetic", with_views(f"SELECT CAST(1 AS BIGINT) AS query_id, id_product, name FROM ({_fuzzy_sql('kold wijet')})", "catalog"))
 def fuzzy_phonetic(spark, sf):
     return search.fuzzy_candidates(shop.catalog(spark, sf), asked(spark, "kold wijet"), phonetic=True).select("query_id", "id_product", "name")
 
@@ -128,16 +204,44 @@ def exact_words(spark, sf):
     return search.exact_words(shop.catalog(spark, sf), asked(spark, "cold widget promo")).select("id_product")
 
 
-@query("exact_code", with_views("SELECT CAST(1 AS BIGINT) AS query_id, id_product, name, CAST(150.0 AS DOUBLE) AS relevance FROM catalog WHERE reference = 'REF-000042' UNION ALL SELECT 4, id_product, name, 150.0 FROM catalog WHERE ean13 = '0000000000007'", "catalog"))
+@query("exact_code", with_views("SELECT CAST(1 AS BIGINT) AS query_id, id_product, name, CAST(150.0 AS DOUBLE) AS relevance FROM catalog WHERE reference = 'REF-000042' UNION ALL SELECT 4, id_product, name, 150.0 FROM catalog WHERE ean13 = '0000000000007' UNION ALL SELECT 5, id_product, name, 150.0 FROM catalog WHERE upc = '700000000011'", "catalog"))
 def exact_code(spark, sf):
-    return search.exact_code(shop.catalog(spark, sf), asked(spark, "REF-000042", "cold widget", "abc", "0000000000007"))
+    found = search.exact_code(shop.catalog(spark, sf), asked(spark, "REF-000042", "cold widget", "abc", "0000000000007", "7000 0000 0011", "REF-000097"))
+    return found.select("query_id", "id_product", "name", "relevance")
 
 
-@query("full_search")
+SEARCHES = ["cold widget", "small", "widget cold", "colde widgit", "Brand#13", "REF-000042", "zzzz", "a", "red", "brnd#1 ring", "*", "cold 350g", "widgete"]
+
+
+def _union(parts: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
+
+
+@query("full_search", with_views(_union([_search_sql(k + 1, t) for k, t in enumerate(SEARCHES)]), "catalog", "sales"))
 def full_search(spark, sf):
     """The flagship: all branches of the storefront search for a table of queries."""
-    texts = ["cold widget", "small", "widget cold", "colde widgit", "Brand#13", "REF-000042", "zzzz", "a", "red", "brand#1 ring"]
-    return search.search(sold_catalog(spark, sf), asked(spark, *texts), boosts(spark), shop.ntz(AS_OF), links=shop.category_links(spark, sf))
+    found = search.search(sold_catalog(spark, sf), asked(spark, *SEARCHES), boosts(spark), shop.ntz(AS_OF), links=shop.category_links(spark, sf))
+    return found.withColumn("query_id", F.col("query_id").cast("int"))
+
+
+FILTERED = ["cold widget", "REF-000042", "REF-000043", "red", "colde"]
+_NARROW = "id_brand IN (1, 13, 21) AND stock > 0 AND id_product IN (SELECT id_product FROM links WHERE id_category IN (3, 5, 7)) AND id_product IN (SELECT id_product FROM attrs WHERE id_group = 2 AND value IN ('cold', 'red', 'hot'))"
+
+
+@query("full_search_filtered", with_views(_union([_search_sql(k + 1, t, _NARROW, "price_incl BETWEEN 1100 AND 1900") for k, t in enumerate(FILTERED)]), "catalog", "sales", "links", "attrs"))
+def full_search_filtered(spark, sf):
+    """Filters stand before the cap of 300, the price filter behind it; a code that they drop is searched as words."""
+    filters = search.Filters((3, 5, 7), (1, 13, 21), 1100, 1900, True, {2: ("cold", "red", "hot")})
+    found = search.search(sold_catalog(spark, sf), asked(spark, *FILTERED), boosts(spark), shop.ntz(AS_OF), filters, shop.category_links(spark, sf), attributes=shop.attributes(spark, sf))
+    return found.withColumn("query_id", F.col("query_id").cast("int"))
+
+
+@query("search_corrected", with_views(f"SELECT id_product, name, CAST(name_match_count AS INTEGER) AS name_match_count, relevance FROM ({_candidates_sql('brnd#21 ring', corrected=True)})", "catalog", "sales"))
+def search_corrected(spark, sf):
+    """A misspelt brand finds the brands that it resembles."""
+    cat = sold_catalog(spark, sf)
+    words = search.with_words(asked(spark, "brnd#21 ring"), search.brand_names(cat))
+    return search.scored(search.candidates(cat, words), shop.ntz(AS_OF)).select("id_product", "name", "name_match_count", "relevance")
 
 
 def _filter(name: str, condition: str, filters: search.Filters, *views: str):
@@ -159,6 +263,35 @@ _filter(
 _filter("filter_all", "id_brand = 1 AND stock > 0 AND price_incl <= 1500 AND id_product IN (SELECT id_product FROM links WHERE id_category = 4)", search.Filters.parse({"category": "4,x", "brand": "1", "price_max": "1500", "price_min": "no", "in_stock": "1"}), "links")
 
 
+@query("filter_base_price", with_views("SELECT id_product FROM catalog WHERE price <= 950.5", "catalog"))
+def filter_base_price(spark, sf):
+    return search.base_price(shop.catalog(spark, sf), 0, 950.5).select("id_product")
+
+
+@query("filter_stock_variants", with_views("""SELECT 'product' AS how, id_product FROM catalog WHERE stock > 0
+  UNION ALL SELECT 'shop', id_product FROM catalog WHERE id_product IN (SELECT id_product FROM stock WHERE id_shop = 2 GROUP BY 1 HAVING sum(quantity) > 0)
+  UNION ALL SELECT 'any', id_product FROM catalog WHERE EXISTS (SELECT 1 FROM stock WHERE stock.id_product = catalog.id_product AND quantity > 0)""", "catalog", "stock"))
+def filter_stock_variants(spark, sf):
+    cat, rows = shop.catalog(spark, sf), shop.stock_rows(spark, sf)
+    parts = [search.in_stock(cat, rows, how, 2).select(F.lit(how).alias("how"), "id_product") for how in ("product", "shop", "any")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("filter_visibility", with_views("SELECT id_product FROM catalog WHERE visibility IN ('both', 'search')", "catalog"))
+def filter_visibility(spark, sf):
+    return search.searchable(shop.catalog(spark, sf)).select("id_product")
+
+
+@query("catalog_scoped", with_views("SELECT id_product, upper(name) AS name, brand, price FROM products WHERE active AND id_product % 2 = 0", "products"))
+def catalog_scoped(spark, sf):
+    return shop.catalog(spark, sf, id_lang=2, id_shop=2).select("id_product", "name", "brand", "price")
+
+
+@query("cover_images", with_views("SELECT id_product, id_image FROM catalog LEFT JOIN (SELECT id_product, min(id_image) AS id_image FROM images WHERE cover GROUP BY 1) USING (id_product)", "catalog", "images"))
+def cover_images(spark, sf):
+    return shop.with_cover(shop.catalog(spark, sf), shop.images(spark, sf)).select("id_product", "id_image")
+
+
 @query("filter_default_category", with_views("SELECT id_product FROM catalog WHERE id_category IN (5, 6)", "catalog"))
 def filter_default_category(spark, sf):
     return shop.catalog(spark, sf).where(F.col("id_category").isin(5, 6)).select("id_product")
@@ -183,26 +316,31 @@ def category_search(spark, sf):
     return search.category_search(shop.catalog(spark, sf).select("id_category", "category").distinct(), "M")
 
 
-@query("admin_lookup", with_views("SELECT id_product, name || ' (' || reference || ')' AS label, brand FROM catalog WHERE contains(lower(name), '42') OR contains(lower(reference), '42') OR contains(lower(brand), '42') OR id_product = 42 ORDER BY name, id_product LIMIT 50", "catalog"))
+@query("admin_lookup", with_views("SELECT id_product, name || ' (' || reference || ')' AS label, brand, active FROM products WHERE contains(lower(name), '97') OR contains(lower(reference), '97') OR contains(lower(brand), '97') OR id_product = 97 ORDER BY active DESC, name, id_product LIMIT 50", "products"))
 def admin_lookup(spark, sf):
-    return search.admin_lookup(shop.catalog(spark, sf), "42")
+    return search.admin_lookup(shop.products(spark, sf), "97")
 
 
-@query("formatted", with_views("""SELECT id_product, name, brand, category, CAST(round(CAST(price_incl AS DECIMAL(20, 6)), 2) AS DOUBLE) AS price_shown, substr(description, 1, 100) AS excerpt, stock > 0 AS in_stock,
-  id_product IN (SELECT id_product FROM catalog JOIN sales USING (id_product) WHERE sold > 0 ORDER BY sold DESC, name, id_product LIMIT 12) AS is_bestseller FROM catalog""", "catalog", "sales"))
+@query("formatted", with_views("""SELECT id_product, name, brand, category, reference, CAST(round(CAST(price_incl AS DECIMAL(20, 6)), 2) AS DOUBLE) AS price_shown,
+  CASE WHEN price_old_incl > price_incl THEN CAST(round(CAST(price_old_incl AS DECIMAL(20, 6)), 2) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS price_old,
+  CAST(CASE WHEN price_old_incl > price_incl THEN 20 ELSE 0 END AS INTEGER) AS discount_percent, substr(description, 1, 100) AS excerpt, stock > 0 AS in_stock, stock AS quantity, coalesce(sold, 0) AS total_sold,
+  id_product IN (SELECT id_product FROM catalog JOIN sales USING (id_product) WHERE sold > 0 ORDER BY sold DESC, name, id_product LIMIT 20) AS is_bestseller,
+  id_product IN (SELECT id_product FROM attrs WHERE value = '11') AS has_attributes, coalesce(id_image, 0) AS id_image, CASE WHEN id_product = 5 THEN CAST(2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS boost, false AS injected
+  FROM catalog LEFT JOIN sales USING (id_product) LEFT JOIN (SELECT id_product, min(id_image) AS id_image FROM images WHERE cover GROUP BY 1) USING (id_product)""", "catalog", "sales", "images", "attrs"))
 def formatted(spark, sf):
-    cat = shop.catalog(spark, sf)
-    return search.formatted(cat, facets.bestsellers(cat, shop.sales(spark, sf)))
+    cat = shop.with_cover(sold_catalog(spark, sf), shop.images(spark, sf)).withColumn("boost", F.when(F.col("id_product") == 5, 2.0).otherwise(1.0))
+    variants = shop.attributes(spark, sf).where("value = '11'")
+    return search.formatted(cat, facets.bestsellers(shop.catalog(spark, sf), shop.sales(spark, sf), 20), variants)
 
 
-@query("discounts", "SELECT p_partkey AS id_product, CAST(CASE WHEN p_partkey % 4 = 0 THEN 25 ELSE 0 END AS INTEGER) AS percent, CASE WHEN p_partkey % 4 = 0 THEN CAST(round(CAST(p_retailprice AS DECIMAL(20, 6)) - CAST(p_retailprice * CAST(0.75 AS DOUBLE) AS DECIMAL(20, 6)), 2) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS savings FROM part")
+@query("discounts", with_views("SELECT id_product, CAST(CASE WHEN id_product % 4 = 0 THEN 25 ELSE 0 END AS INTEGER) AS percent, CASE WHEN id_product % 4 = 0 THEN CAST(round(CAST(price AS DECIMAL(20, 6)) - CAST(price * CAST(0.75 AS DOUBLE) AS DECIMAL(20, 6)), 2) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS savings FROM catalog", "catalog"))
 def discounts(spark, sf):
     now = F.when(F.col("id_product") % 4 == 0, F.col("price") * 0.75).otherwise(F.col("price"))
     percent, savings = search.discount(F.col("price"), now)
     return shop.catalog(spark, sf).select("id_product", percent.cast("int").alias("percent"), savings.alias("savings"))
 
 
-@query("highlighted", "SELECT DISTINCT p_name AS name, regexp_replace(regexp_replace(p_name, '(cold)', '<mark>\\1</mark>', 'gi'), '(ring)', '<mark>\\1</mark>', 'gi') AS html FROM part")
+@query("highlighted", with_views("SELECT DISTINCT name, regexp_replace(regexp_replace(name, '(cold)', '<mark>\\1</mark>', 'gi'), '(ring)', '<mark>\\1</mark>', 'gi') AS html FROM catalog", "catalog"))
 def highlighted(spark, sf):
     names = shop.catalog(spark, sf).select("name").distinct()
     return names.select("name", X.highlight(F.col("name"), ["cold", "x", "ring"]).alias("html"))
@@ -224,7 +362,7 @@ def _list(values: list[str]) -> str:
 
 def _variations_sql() -> str:
     cases = ["word"]
-    for ending, others in [("i", "oe"), ("e", "ao"), ("he", ["a", "ia"]), ("ie", ["ia"]), ("chi", ["co"]), ("ghi", ["go"]), ("ni", ["ne", "no"]), ("zi", ["za", "zo"]), ("o", "i"), ("a", "e"), ("ia", ["ie"]), ("ca", ["che"]), ("ga", ["ghe"]), ("e", "i"), ("co", ["chi"]), ("go", ["ghi"])]:
+    for ending, others in _ENDINGS:
         cases += [f"CASE WHEN length(word) >= 3 AND word LIKE '%{ending}' THEN left(word, length(word) - {len(ending)}) || '{o}' END" for o in others]
     return "SELECT DISTINCT word, form FROM (SELECT word, unnest([" + ", ".join(cases) + f"]) AS form FROM {_list(WORDS)}) WHERE form IS NOT NULL"
 
@@ -263,7 +401,7 @@ def normalized(spark, sf):
     return shop.table(spark, sf, "documents").select("doc_id", X.normalize(F.col("text")).alias("clean"))
 
 
-@query("consonants", "SELECT DISTINCT p_name AS name, regexp_replace(lower(p_name), '[aeiouàèéìòù]', '', 'g') AS skeleton FROM part")
+@query("consonants", with_views("SELECT DISTINCT name, regexp_replace(lower(name), '[aeiouàèéìòù]', '', 'g') AS skeleton FROM catalog", "catalog"))
 def consonants(spark, sf):
     return shop.catalog(spark, sf).select("name", X.consonants(F.col("name")).alias("skeleton")).distinct()
 
@@ -289,6 +427,12 @@ def expand_words(spark, sf):
     return spark.range(1).select(F.explode(X.expand_words(X.query_words(F.lit("Barretta 350g x")))).alias("term"))
 
 
+@query("phonetic_sounds", with_views(f"SELECT DISTINCT word, {soundex_sql('word')} AS sound FROM (SELECT unnest(string_split(name || ' ' || brand, ' ')) AS word FROM catalog)", "catalog"))
+def phonetic_sounds(spark, sf):
+    words = shop.catalog(spark, sf).select(F.explode(F.split(F.concat_ws(" ", "name", "brand"), " ")).alias("word")).distinct()
+    return words.select("word", F.soundex("word").alias("sound"))
+
+
 @query("phonetic_keys")
 def phonetic_keys(spark, sf):
     names = shop.catalog(spark, sf).select(F.explode(F.split("name", " ")).alias("word")).distinct()
@@ -306,14 +450,23 @@ def category_facet(spark, sf):
     return facets.category_facet(shop.catalog(spark, sf), shop.category_links(spark, sf))
 
 
-@query("price_range", "SELECT CAST(floor(min(p_retailprice)) AS BIGINT) AS price_min, CAST(trunc(ceil(max(p_retailprice)) * (1 + CAST(22.0 AS DOUBLE) / 100)) AS BIGINT) AS price_max FROM part")
+@query("price_range", with_views("SELECT CAST(floor(min(price)) AS BIGINT) AS price_min, CAST(trunc(ceil(max(price)) * (1 + CAST(22.0 AS DOUBLE) / 100)) AS BIGINT) AS price_max FROM catalog", "catalog"))
 def price_range(spark, sf):
     return facets.price_range(shop.catalog(spark, sf))
 
 
-@query("main_tax_rate", "SELECT CAST(22.0 AS DOUBLE) AS rate")
+_RATES = "CASE r_regionkey WHEN 0 THEN 4 WHEN 1 THEN 22 WHEN 2 THEN 10 WHEN 3 THEN 5 ELSE 20 END"
+
+
+@query("main_tax_rate", f"""SELECT CAST(rate AS DOUBLE) AS rate FROM (SELECT r_regionkey, {_RATES} AS rate FROM region WHERE r_regionkey <> 3)
+  JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 1 AND n_nationkey % 3 <> 2 GROUP BY r_regionkey, rate ORDER BY count(*) DESC, rate DESC LIMIT 1""")
 def main_tax_rate(spark, sf):
-    return facets.main_tax_rate(shop.literal(spark, [(22.0, 3, True), (10.0, 2, True), (4.0, 9, False)], "rate double, rule_count bigint, active boolean"))
+    return facets.main_tax_rate(facets.tax_rates(*shop.taxes(spark, sf), country=1))
+
+
+@query("tax_rates", f"SELECT CAST({_RATES} AS DOUBLE) AS rate, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey % 2 = 0 AND n_nationkey % 3 <> 2) AS rule_count, r_regionkey <> 3 AS active FROM region")
+def tax_rates(spark, sf):
+    return facets.tax_rates(*shop.taxes(spark, sf), country=0)
 
 
 @query("query_brand_facet", with_views("SELECT id_brand, brand, count(*) AS n_products FROM catalog WHERE contains(lower(name), 'cold') OR contains(lower(name), 'ring') GROUP BY 1, 2 ORDER BY 3 DESC, 2 LIMIT 10", "catalog"))
@@ -373,28 +526,46 @@ def synonym_terms(spark, sf):
     return found.select("query_id", F.explode("synonyms").alias("other"))
 
 
-_LING = """CASE WHEN contains(lower(name), 'cold widget') THEN 100 + CASE WHEN starts_with(lower(name), 'cold widget') THEN 50 ELSE 0 END ELSE 0 END
-  + 20 * CAST(contains(lower(name), 'cold') AS INTEGER) + 10 * CAST(starts_with(lower(name), 'cold') AS INTEGER) + 30 * CAST(contains(lower(reference), 'cold') AS INTEGER) + 15 * CAST(contains(lower(brand), 'cold') AS INTEGER)
-  + 20 * CAST(contains(lower(name), 'widget') AS INTEGER) + 10 * CAST(starts_with(lower(name), 'widget') AS INTEGER) + 30 * CAST(contains(lower(reference), 'widget') AS INTEGER) + 15 * CAST(contains(lower(brand), 'widget') AS INTEGER)
-  + least(CAST(20 AS DOUBLE), coalesce(sold, 0) / CAST(10 AS DOUBLE)) + CASE WHEN rating >= 4 THEN 10 ELSE 0 END"""
+_VISIBLE = "SELECT * FROM catalog LEFT JOIN sales USING (id_product) LEFT JOIN (SELECT id_product, avg(grade) AS rating FROM reviews WHERE validated GROUP BY 1) USING (id_product) WHERE visibility IN ('both', 'search')"
+
+
+def _ling_score_sql(q: str) -> str:
+    nm, rf, br = "lower(name)", "lower(reference)", "lower(brand)"
+    parts = [f"CASE WHEN contains({nm}, '{q}') THEN 100 + CASE WHEN starts_with({nm}, '{q}') THEN 50 ELSE 0 END ELSE 0 END"]
+    for w in (x for x in q.split(" ") if len(x) >= 2):
+        parts.append(f"20 * CAST(contains({nm}, '{w}') AS INTEGER) + 10 * CAST(starts_with({nm}, '{w}') AS INTEGER) + 30 * CAST(contains({rf}, '{w}') AS INTEGER) + 15 * CAST(contains({br}, '{w}') AS INTEGER)")
+    return " + ".join(parts) + " + least(CAST(20 AS DOUBLE), coalesce(sold, 0) / CAST(10 AS DOUBLE)) + CASE WHEN rating >= 4 THEN 10 ELSE 0 END"
+
+
+def _ling_sql(k: int, q: str, words: list[str], stems: list[str], synonyms: list[str], boost: float = 1.0) -> str:
+    """One query of the linguistic profile; its words, stems and synonyms are written out. ``boost``: of product 12."""
+    hit = " OR ".join([any_sql(f"lower({f})", words) for f in ("name", "short_desc", "reference", "ean13", "brand", "tags")] + [any_sql(f"lower({f})", stems + synonyms) for f in ("name", "short_desc")])
+    near = " + ".join(f"CASE WHEN length('{w}') >= 3 AND length(o) >= 3 AND levenshtein('{w}', o) <= least(3, floor(greatest({len(w)}, length(o)) / 3)) THEN (1 - levenshtein('{w}', o) / CAST(greatest({len(w)}, length(o)) AS DOUBLE)) * 10 ELSE 0 END" for w in words)
+    pool = f"SELECT id_product, name, unnest(string_split(lower(name), ' ')) AS o FROM (SELECT * FROM ({_VISIBLE}) ORDER BY id_product LIMIT 1000)"
+    return f"""SELECT * FROM (WITH visible AS ({_VISIBLE}), found AS (SELECT id_product, name, CAST({_ling_score_sql(q)} AS DOUBLE) AS score FROM visible WHERE {hit} ORDER BY score DESC, name, id_product LIMIT 60),
+    near AS (SELECT id_product, sum({near}) AS f FROM ({pool}) GROUP BY 1 HAVING sum({near}) > 0 ORDER BY 2 DESC, 1 LIMIT 200),
+    merged AS (SELECT * FROM found UNION ALL SELECT id_product, name, CAST({_ling_score_sql(q)} AS DOUBLE) + f FROM visible JOIN near USING (id_product) WHERE id_product NOT IN (SELECT id_product FROM found) AND (SELECT count(*) FROM found) < 20)
+    SELECT {k} AS query_id, id_product, name, score, CASE WHEN id_product = 12 THEN CAST({boost} AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS boost, score * CASE WHEN id_product = 12 THEN CAST({boost} AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS final,
+      CAST(row_number() OVER (ORDER BY score * CASE WHEN id_product = 12 THEN CAST({boost} AS DOUBLE) ELSE CAST(1 AS DOUBLE) END DESC, name, id_product) AS INTEGER) AS rank FROM merged QUALIFY rank <= 20)"""
 
 
 def rated_catalog(spark, sf):
     return sold_catalog(spark, sf).join(facets.ratings(shop.reviews(spark, sf)), "id_product", "left")
 
 
-@query("linguistic_search", with_views(f"""SELECT id_product, CAST({_LING} AS DOUBLE) AS score FROM catalog LEFT JOIN sales USING (id_product)
-  LEFT JOIN (SELECT id_product, avg(grade) AS rating FROM reviews WHERE validated GROUP BY 1) USING (id_product)
-  WHERE contains(lower(name), 'cold') OR contains(lower(name), 'widget') OR contains(lower(name), 'widg') OR contains(lower(name), 'gear') OR contains(lower(name), 'ring') OR contains(lower(name), 'bolt')
-  ORDER BY score DESC, name, id_product LIMIT 20""", "catalog", "sales", "reviews"))
+@query("linguistic_search", with_views(f"SELECT id_product, score FROM ({_ling_sql(1, 'cold widget', ['cold', 'widget'], ['cold', 'widg'], ['gear', 'ring', 'bolt'])})", "catalog", "sales", "reviews"))
 def linguistic_search(spark, sf):
     return search.linguistic_search(rated_catalog(spark, sf), asked(spark, "cold widget"), synonyms(spark)).select("id_product", "score")
 
 
-@query("linguistic_full")
+@query("linguistic_full", with_views(_union([
+    _ling_sql(1, "cold widget", ["cold", "widget"], ["cold", "widg"], ["gear", "ring", "bolt"], 1.5), _ling_sql(2, "the widgit", ["widgit"], ["widgit"], []),
+    _ling_sql(3, "bolt", ["bolt"], ["bolt"], ["screw", "widget"]), _ling_sql(4, "zzzz", ["zzzz"], ["zzzz"], []), _ling_sql(5, "outlet gift", ["outlet", "gift"], ["outlet", "gift"], []),
+]), "catalog", "sales", "reviews"))
 def linguistic_full(spark, sf):
-    texts = asked(spark, "cold widget", "the widgit", "bolt", "zzzz")
-    return search.linguistic_search(rated_catalog(spark, sf), texts, synonyms(spark), boosts(spark), shop.ntz(AS_OF))
+    texts = asked(spark, "cold widget", "the widgit", "bolt", "zzzz", "outlet gift")
+    found = search.linguistic_search(rated_catalog(spark, sf), texts, synonyms(spark), boosts(spark), shop.ntz(AS_OF))
+    return found.withColumn("query_id", F.col("query_id").cast("int"))
 
 
 @query("fuzzy_similarity", with_views("""SELECT id_product, sum(CASE WHEN levenshtein(w, o) <= least(3, floor(greatest(length(w), length(o)) / 3)) AND length(o) >= 3 THEN (1 - levenshtein(w, o) / CAST(greatest(length(w), length(o)) AS DOUBLE)) * 10 ELSE 0 END) AS fuzzy_score

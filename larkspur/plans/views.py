@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 VIEWS: dict[str, tuple[list[str], str]] = {
-    "catalog": (
+    "products": (
         [],
         """SELECT p_partkey AS id_product, p_name AS name, p_brand AS brand, CAST(substr(p_brand, 7) AS BIGINT) AS id_brand, p_type AS category,
   CAST(CASE p_type WHEN 'ECONOMY' THEN 3 WHEN 'LARGE' THEN 4 WHEN 'MEDIUM' THEN 5 WHEN 'PROMO' THEN 6 WHEN 'SMALL' THEN 7 WHEN 'STANDARD' THEN 8 END AS BIGINT) AS id_category,
-  'REF-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS reference, lpad(CAST(p_partkey AS VARCHAR), 13, '0') AS ean13,
+  'REF-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS reference, lpad(CAST(p_partkey AS VARCHAR), 13, '0') AS ean13, '7' || lpad(CAST(p_partkey AS VARCHAR), 11, '0') AS upc,
   lower(p_type) AS short_desc, lower(p_type) || ' size ' || p_size || ' ' || p_name AS description, CAST(p_size AS BIGINT) AS size,
-  p_retailprice AS price, p_retailprice * CAST(1.22 AS DOUBLE) AS price_incl, p_partkey % 7 AS stock,
+  CASE WHEN p_partkey % 50 = 0 THEN 'seasonal,gift' WHEN p_partkey % 75 = 0 THEN 'outlet' ELSE '' END AS tags,
+  p_retailprice AS price, p_retailprice * CAST(1.22 AS DOUBLE) AS price_incl, p_retailprice * CAST(1.22 AS DOUBLE) * CASE WHEN p_partkey % 4 = 0 THEN CAST(1.25 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS price_old_incl,
+  p_partkey % 7 AS stock, CASE WHEN p_partkey % 11 = 0 THEN 'catalog' WHEN p_partkey % 11 = 1 THEN 'search' ELSE 'both' END AS visibility, p_partkey % 97 <> 0 AS active,
   TIMESTAMP '2001-08-02 00:00:00' - to_days(CAST(p_partkey % 60 AS INTEGER)) AS date_add FROM part""",
     ),
+    "catalog": (["products"], "SELECT * FROM products WHERE active"),
+    "images": ([], "SELECT p_partkey AS id_product, p_partkey * 10 + k AS id_image, k = 2 AS cover FROM part, unnest([1, 2, 3]) AS u(k) WHERE p_partkey % 3 > 0"),
+    "stock": ([], "SELECT p_partkey AS id_product, k AS id_shop, CASE WHEN k = 1 THEN p_partkey % 7 - 2 ELSE p_partkey % 5 - 3 END AS quantity FROM part, unnest([1, 2]) AS u(k)"),
     "links": (
         ["catalog"],
         "SELECT id_product, id_category FROM catalog UNION ALL SELECT id_product, (id_category - 2) % 6 + 3 FROM catalog WHERE id_product % 3 = 0",
@@ -29,7 +34,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "behaviour": (
         [],
         """SELECT event_id, CASE event_type WHEN 'view' THEN 'search' WHEN 'error' THEN 'no_results' WHEN 'click' THEN 'click' ELSE 'conversion' END AS kind,
-  'q' || json_extract_string(props, '$.k') AS query, 'ss_' || user_id AS session_id, user_id % 3 + 1 AS id_shop,
+  'q' || json_extract_string(props, '$.k') AS query, 'ss_' || user_id AS session_id, user_id % 3 + 1 AS id_shop, user_id % 2 + 1 AS id_lang,
   CASE WHEN event_type = 'view' THEN CAST(floor(value) AS BIGINT) % 50 ELSE 0 END AS results_count, event_id % 200 AS id_product, event_id % 24 AS position,
   CAST(value AS DECIMAL(10, 2)) AS amount, ts FROM events WHERE event_type IN ('view', 'error', 'click', 'purchase')""",
     ),
@@ -72,20 +77,35 @@ def with_views(body: str, *names: str) -> str:
     return "WITH " + ",\n".join(heads) + "\n" + body if heads else body
 
 
-def score_sql(query: str, words: list[str], full: bool = True) -> str:
-    """The tiered relevance of the columns of ``catalog`` (and sold) for a lower-case query whose
-    words have no unit."""
-    found = lambda text: " + ".join(f"CAST(contains({text}, '{w}') AS INTEGER)" for w in words)
+def any_sql(text: str, forms: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{f}')" for f in forms) + ")" if forms else "false"
+
+
+def soundex_sql(text: str) -> str:
+    """Soundex: H and W are passed over, vowels and other characters separate equal digits."""
+    first = f"upper(substr({text}, 1, 1))"
+    digits = f"translate({first}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202') || translate(regexp_replace(upper(substr({text}, 2)), '[^A-Z]', 'A', 'g'), 'ABCDEFGIJKLMNOPQRSTUVXYZHW', '012301202245501262301202')"
+    for d in "123456":
+        digits = f"regexp_replace({digits}, '{d}+', '{d}', 'g')"
+    return f"CASE WHEN regexp_matches({first}, '^[A-Z]') THEN {first} || rpad(substr(replace(substr({digits}, 2), '0', ''), 1, 3), 3, '0') ELSE {text} END"
+
+
+def score_sql(query: str, words: list[str], full: bool = True, spellings: list[list[str]] | None = None) -> str:
+    """The tiered relevance of the columns of ``catalog`` (and sold) for a lower-case query. Name, brand
+    and reference count the ``spellings`` of each word (by default the word), the texts the word."""
+    forms = spellings or [[w] for w in words]
+    plain = lambda text: " + ".join(f"CAST(contains({text}, '{w}') AS INTEGER)" for w in words)
+    found = lambda text: " + ".join(f"CAST({any_sql(text, f)} AS INTEGER)" for f in forms)
     nm, br, rf, sh, ds = (f"lower({c})" for c in ("name", "brand", "reference", "short_desc", "description"))
     n = len(words)
     prefix = f"CASE WHEN starts_with({nm}, '{query}') THEN 100 ELSE 0 END"
     hits, brand_hits, ref_hits = f"({found(nm)})", f"({found(br)})", f"({found(rf)})"
     low = "0.3" if n > 1 else "1.0"
     base = f"""CASE WHEN {hits} = {n} THEN 1000 + CASE WHEN contains({nm}, '{query}') THEN 300 + {prefix} ELSE 0 END + 10 * {brand_hits} + 10 * {ref_hits}
-    WHEN contains({br}, '{query}') THEN 700 WHEN contains({rf}, '{query}') THEN 750
-    ELSE (40 * {hits} + 30 * {brand_hits} + 35 * {ref_hits} + CASE WHEN {hits} >= 0.75 * {n} THEN 100 WHEN {hits} >= 0.5 * {n} THEN 50 ELSE 0 END + 5 * ({found(sh)}))
+    WHEN contains({nm}, '{query}') THEN 800 + {prefix} WHEN contains({br}, '{query}') THEN 700 WHEN contains({rf}, '{query}') THEN 750
+    ELSE (40 * {hits} + 30 * {brand_hits} + 35 * {ref_hits} + CASE WHEN {hits} >= 0.75 * {n} THEN 100 WHEN {hits} >= 0.5 * {n} THEN 50 ELSE 0 END + 5 * ({plain(sh)}))
       * CASE WHEN {hits} < 0.5 * {n} THEN CAST({low} AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END END"""
     if full:
-        base = f"""({base}) + 3 * ({found(ds)}) + CASE WHEN coalesce(sold, 0) > 100 THEN 20 WHEN coalesce(sold, 0) > 50 THEN 15 WHEN coalesce(sold, 0) > 10 THEN 10 WHEN coalesce(sold, 0) > 0 THEN 5 ELSE 0 END
+        base = f"""({base}) + 3 * ({plain(ds)}) + CASE WHEN coalesce(sold, 0) > 100 THEN 20 WHEN coalesce(sold, 0) > 50 THEN 15 WHEN coalesce(sold, 0) > 10 THEN 10 WHEN coalesce(sold, 0) > 0 THEN 5 ELSE 0 END
     + CASE WHEN id_product % 60 <= 7 THEN 15 WHEN id_product % 60 <= 30 THEN 10 ELSE 0 END"""
     return f"CAST(CASE WHEN stock <= 0 THEN round(CAST(({base}) * CAST(0.7 AS DOUBLE) AS DECIMAL(20, 6)), 0) ELSE ({base}) END AS DOUBLE)"

@@ -22,7 +22,8 @@ def source(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> Da
 
 
 def route(events: DataFrame, write: Callable[[DataFrame, str], None], checkpoint: str, **trigger):
-    """Each micro-batch is read once and appended to its three tables through ``write``."""
+    """Each micro-batch is read once and handed to ``write`` for its three tables. After a failure a batch
+    may come twice: use ``route_to``, or a ``write`` that stands that."""
 
     def each(batch: DataFrame, _: int) -> None:
         batch = routed(batch).persist()
@@ -35,6 +36,21 @@ def route(events: DataFrame, write: Callable[[DataFrame, str], None], checkpoint
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def route_to(events: DataFrame, folder: str, checkpoint: str, **trigger):
+    """As ``route`` into Parquet tables below ``folder``, once: a batch writes its own folder anew, so one
+    that is replayed after a failure doesn't count twice."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, folder, batch_id)
+
+    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def write_batch(batch: DataFrame, folder: str, batch_id: int) -> None:
+    """Writes a batch under its number, each target a folder of its own."""
+    routed(batch).withColumn("batch", F.lit(batch_id)).write.partitionBy("target", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(folder)
+
+
 def daily(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Searches a day and shop; a day is final once the watermark passes it."""
     own = events.where(F.col("event_type").isin("search", "no_results")).withWatermark("ts", delay)
@@ -49,21 +65,24 @@ def stats(events: DataFrame) -> DataFrame:
 
 
 def histories(events: DataFrame, keep: int = 10, kind: str = "search") -> DataFrame:
-    """The last ``keep`` queries of each session, held in state for seven days of silence."""
+    """The last ``keep`` queries of each session. A session's state goes once the watermark, seven days
+    behind the newest event, has passed its last entry by seven days; events behind it are dropped."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         queries, times = (list(x) for x in state.get) if state.exists else ([], [])
-        fresh = sorted((t, q) for b in batches for t, q in zip(b["ts"], b["query"], strict=True))
-        queries = [*queries, *(q for _, q in fresh)][-keep:]
-        times = [*times, *(int(t.timestamp() * 1000) for t, _ in fresh)][-keep:]
+        fresh = [(int(t.timestamp() * 1000), q) for b in batches for t, q in zip(b["ts"], b["query"], strict=True)]
+        # by time, so that late events take their place; a pause longer than a history lives starts it anew
+        entries = sorted([*zip(times, queries, strict=True), *fresh], key=lambda e: e[0])
+        begin = max((k for k in range(1, len(entries)) if entries[k][0] - entries[k - 1][0] > HISTORY_MS), default=0)
+        times, queries = map(list, zip(*entries[begin:][-keep:], strict=True))
         state.update((queries, times))
-        state.setTimeoutDuration(HISTORY_MS)
+        state.setTimeoutTimestamp(times[-1] + HISTORY_MS)
         yield pd.DataFrame({"session_id": [key[0]], "queries": [queries]})
 
-    own = events.where((F.col("event_type") == kind) & F.col("query").isNotNull()).select("session_id", "query", "ts")
+    own = events.where((F.col("event_type") == kind) & F.col("query").isNotNull() & F.col("ts").isNotNull()).select("session_id", "query", "ts").withWatermark("ts", "7 days")
     return own.groupBy("session_id").applyInPandasWithState(
-        update, "session_id string, queries array<string>", "queries array<string>, times array<bigint>", "update", GroupStateTimeout.ProcessingTimeTimeout
+        update, "session_id string, queries array<string>", "queries array<string>, times array<bigint>", "update", GroupStateTimeout.EventTimeTimeout
     )

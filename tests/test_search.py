@@ -90,3 +90,26 @@ def test_keyword_fires(spark):
     fire = lambda k, w, n=2: spark.range(1).select(search.keyword_fires(F.lit(k).cast("string"), F.array(*[F.lit(x) for x in w]), n).alias("x")).first().x
     assert fire(None, ["a"]) and fire("", ["zz"]) and fire("cold, ice", ["colder"]) and fire("colder", ["cold"])
     assert not fire("cold", ["c"]) and fire("cold", ["c"], 1) and not fire("cold", ["warm"])
+
+
+def test_no_job_while_the_plan_is_built(spark, sf):
+    """Stated queries and rules are local relations: their size is known without a job."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "a search is put together")
+    before = len(tracker.getJobIdsForGroup("building"))
+    frame = Q.full_search(spark, sf)
+    jobs = len(tracker.getJobIdsForGroup("building")) - before
+    reads = 6  # each spark.read.parquet looks up a schema in a job of its own
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= reads and frame.columns[0] == "query_id"
+
+
+def test_filters_stand_before_the_cap(spark, sf):
+    """A narrow filter still fills the result although the best 300 of all products don't pass it."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"cold thing {i:04d}", "Acme", 1 if i >= 1000 else 2, "x", "", "d", f"R-{i}", "", "", 1, 10.0, 10) for i in range(1100)]
+    cat = spark.createDataFrame(rows, "id_product int, name string, brand string, id_brand int, category string, short_desc string, description string, reference string, ean13 string, upc string, stock int, price_incl double, sold int").withColumn("date_add", shop.ntz(Q.AS_OF))
+    asked = shop.literal(spark, [(1, "cold")], "query_id bigint, query string")
+    found = search.search(cat, asked, Q.boosts(spark), shop.ntz(Q.AS_OF), search.Filters(brands=(1,)), inject=False)
+    assert {r.id_product for r in found.where(~F.col("injected")).collect()} == set(range(1000, 1100))

@@ -55,6 +55,39 @@ def test_history_state(spark, tmp_path):
         assert queries == own[-3:]
 
 
+def test_late_events_take_their_place(spark, tmp_path):
+    """A file that comes later brings an older search, and one after a pause of over a week."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    row = lambda q, day: {"event_type": "search", "shop_id": "1", "session_id": "s", "query": q, "results_count": 3, "timestamp": f"2024-01-{day:02d}T00:00:00"}
+    (folder / "a.json").write_text("\n".join(json.dumps(row(q, d)) for q, d in [("one", 1), ("three", 3)]))
+    out = []
+
+    def go():
+        query = S.histories(S.source(spark, str(folder)), keep=3).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c"))
+        query = query.foreachBatch(lambda df, _: out.extend(r.queries for r in df.collect())).trigger(availableNow=True).start()
+        assert query.awaitTermination(100)
+
+    go()
+    (folder / "b.json").write_text(json.dumps(row("two", 2)))
+    go()
+    assert out[-1] == ["one", "two", "three"]
+    (folder / "c.json").write_text(json.dumps(row("new", 20)))
+    go()
+    assert out[-1] == ["new"]
+
+
+def test_replayed_batches_count_once(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    write(folder, some_events())
+    S.route_to(S.source(spark, str(folder)), str(out), str(tmp_path / "c")).awaitTermination(120)
+    n = spark.read.parquet(str(out)).groupBy("target").count().collect()
+    again = E.classified(spark.read.schema(E.EVENT).json(str(folder))).withColumn("ts", F.to_timestamp("timestamp"))
+    S.write_batch(again, str(out), 0)
+    assert sorted(n) == sorted(spark.read.parquet(str(out)).groupBy("target").count().collect())
+
+
 def test_parse_and_clean(spark):
     raw = spark.createDataFrame([("null",), ("[1]",), ("{}",), ("not json",), (json.dumps({"event_type": "click", "query": "<b>x</b>" + "y" * 2000}),)], "value string")
     rows = E.sanitize(E.parse(raw)).collect()
