@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, join_counted, row_key, table
+from .common import broadcast_if_small, checkpoint, join_counted, row_key, stored, table
 
 MIN_DOCS = 5
 MIN_TOKENS = 3
@@ -50,7 +50,7 @@ def _tree(docs: DataFrame, min_docs: int, least_constant: float, min_tokens: int
     """(occurrences, recurring, known). Occurrences: row, doc_id, at, template of every line in a
     leaf that recurs. Recurring: template, n_docs, first_doc, n_rows, masked. Known: for each
     line of these leaves masked (hash of its pattern), constant (which tokens are) and a place of it."""
-    parsed = checkpoint(_parsed(docs, min_tokens))
+    parsed = stored(_parsed(docs, min_tokens))  # as Parquet: smaller than a checkpoint
     reached = parsed.select("row", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     leaves = broadcast_if_small(checkpoint(reached.select("leaf")))
     within = parsed.join(leaves, "leaf", "left_semi")
@@ -77,7 +77,7 @@ def _tree(docs: DataFrame, min_docs: int, least_constant: float, min_tokens: int
     seen = within.select("row", "doc_id", "at", F.xxhash64("leaf", "line").alias("key"), "own")
     template = F.when(F.col("literal"), F.xxhash64("masked", "own")).otherwise(F.col("masked"))
     joined = join_counted(seen, known.select("key", "n_rows", "masked", "literal"), "key", "n_rows")
-    occurrences = checkpoint(joined.select("row", "doc_id", "at", template.alias("template"), "masked"))
+    occurrences = stored(joined.select("row", "doc_id", "at", template.alias("template"), "masked"))
     docs_of = occurrences.groupBy("template", "row").agg(F.min("doc_id").alias("doc_id"), F.min("masked").alias("masked"), F.count("*").alias("n"))
     by_template = docs_of.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.min("masked").alias("masked"), F.sum("n").alias("n_rows"))
     return occurrences.drop("masked"), checkpoint(by_template.where(F.col("n_docs") >= min_docs)), known
