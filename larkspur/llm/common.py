@@ -88,6 +88,14 @@ def _at_exit(spark: SparkSession) -> None:
         remove_stored(spark)
 
 
+def free_name(df: DataFrame, base: str = "__own") -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def held_out() -> F.Column:
     """True for the fifth of the documents whose labels are never learnt from (a null id counts as '')."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0

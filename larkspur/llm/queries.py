@@ -4,6 +4,7 @@ from . import (
     bpe,
     chunk_dedup,
     decontamination,
+    fill_in_middle,
     licenses,
     line_dedup,
     piecewise_hash,
@@ -13,6 +14,6 @@ from . import (
     toxicity,
 )
 
-_MODULES = (simhash_dedup, licenses, toxicity, line_dedup, chunk_dedup, bpe, sharding, quality, piecewise_hash, decontamination)
+_MODULES = (simhash_dedup, licenses, toxicity, line_dedup, chunk_dedup, bpe, sharding, quality, piecewise_hash, decontamination, fill_in_middle)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
