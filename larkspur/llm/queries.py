@@ -12,8 +12,9 @@ from . import (
     sharding,
     simhash_dedup,
     toxicity,
+    whitening,
 )
 
-_MODULES = (simhash_dedup, licenses, toxicity, line_dedup, chunk_dedup, bpe, sharding, quality, piecewise_hash, decontamination, fill_in_middle)
+_MODULES = (simhash_dedup, licenses, toxicity, line_dedup, chunk_dedup, bpe, sharding, quality, piecewise_hash, decontamination, whitening, fill_in_middle)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
