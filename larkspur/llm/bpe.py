@@ -319,7 +319,8 @@ class WordBpe:
             new = [p for p, c in zip(new, codes, strict=True) if c is None]
         if not new:
             return
-        parts = list(map(self.pattern.findall, new))
+        words_of = self.pattern.findall
+        parts = [[p] if p.isalpha() else words_of(p) for p in new]
         flat = list(itertools.chain.from_iterable(parts))
         words = list(dict.fromkeys(flat))
         ids, sizes = self._encoded(words)
