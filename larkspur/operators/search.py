@@ -1,10 +1,11 @@
 """Product search: retrieval, filters, fuzzy fallback, merge, boosts, paging.
 
-Works on a table of queries (query_id, query) at once. The queries are a stated, small set: what
-is derived for them, a row a query or word, is broadcast if the planner's own estimate of their
-size allows it (else the join is left to Spark). Everything is one lazy plan, and no job runs while
-it is put together. Every cap applies per query through a rank window, with id_product as the last
-tie-breaker."""
+Works on a table of queries (query_id, query) at once, a few or many. Products are found by keys
+of their texts (``postings``): an equi-join with posting lists, or one scan for a few queries; what
+comes back is verified. What is derived for stated queries, a row a query or word, is broadcast if the
+planner's own estimate of their size allows it (else the join is left to Spark). Everything is one
+lazy plan, and no job runs while it is put together. Every cap applies per query through a rank
+window, with id_product as the last tie-breaker."""
 
 from __future__ import annotations
 
@@ -14,11 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import fuzzy_similarity, linguistic, with_relevance
-from ..functions.text import consonants, expand_words, normalize, query_words, resembles, spellings, stem, without_stop_words
+from ..functions.text import consonants, expand_words, normalize, query_words, spellings, stem, without_stop_words
+from .postings import Index, matching, misspelt, ordered_keys, scan, sound_key, term_keys, text_keys, with_deletions, with_ordered_keys, within
 
 CANDIDATES, FUZZY_CANDIDATES, RESULTS, FUZZY_BELOW, RECENT = 300, 200, 200, 5, 20
 #: Stated tables are broadcast up to this estimate of their size; where there is none, up to so many rows.
 STATED_BYTES, STATED_ROWS = 1 << 20, 10_000
+#: Up to this estimate of the queries' size the catalogue is scanned once for all their keys.
+FEW_BYTES, FEW_ROWS = 1 << 13, 200
 FIELDS = ("name", "short_desc", "description", "reference", "brand")
 
 
@@ -49,11 +53,15 @@ class Filters:
         return len(self.categories) + len(self.brands) + (self.price_min is not None or self.price_max is not None) + self.in_stock
 
 
-def is_stated(df: DataFrame) -> bool:
+def is_stated(df: DataFrame, most: int = STATED_BYTES, rows: int = STATED_ROWS) -> bool:
     """Whether a table is small: by the planner's estimate, which takes no job. Only rows that come
     through an RDD have none; they are counted, up to the bound."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size <= STATED_BYTES or (size >= 1 << 62 and df.limit(STATED_ROWS + 1).count() <= STATED_ROWS)
+    return size <= most or (size >= 1 << 62 and df.limit(rows + 1).count() <= rows)
+
+
+def is_few(df: DataFrame) -> bool:
+    return is_stated(df, FEW_BYTES, FEW_ROWS)
 
 
 def hinted(df: DataFrame, stated: bool) -> DataFrame:
@@ -61,7 +69,7 @@ def hinted(df: DataFrame, stated: bool) -> DataFrame:
     return F.broadcast(df) if stated else df
 
 
-def with_words(queries: DataFrame, brands: DataFrame | None = None, phonetic: bool = True) -> DataFrame:
+def with_words(queries: DataFrame, brands: DataFrame | None = None, phonetic: bool = True, few: bool | None = None) -> DataFrame:
     """Adds words, spellings and terms (words with their variations) to (query_id, query); queries
     under two characters are dropped. With ``brands`` (name, lower case) the terms also hold the brands
     that a word of four characters or more resembles. Queries that have these columns already stay."""
@@ -74,7 +82,7 @@ def with_words(queries: DataFrame, brands: DataFrame | None = None, phonetic: bo
         return known
     stated = is_stated(queries)
     words = known.select("query_id", F.explode(F.array_distinct("words")).alias("word")).where(F.length("word") >= 4)
-    found = brands.join(hinted(words, stated), resembles(F.col("word"), F.col("name"), phonetic))
+    found = misspelt(words, brands, phonetic, is_few(queries) if few is None else few)
     found = found.groupBy("query_id").agg(F.sort_array(F.collect_set("name")).alias("__brands"))
     both = known.join(hinted(found, stated), "query_id", "left")
     none = F.array().cast("array<string>")
@@ -109,10 +117,21 @@ def _any(tests: list[F.Column]) -> F.Column:
     return out
 
 
-def candidates(catalog: DataFrame, queries: DataFrame, limit: int = CANDIDATES, stated: bool | None = None) -> DataFrame:
-    """Products with a term in any of five fields, per query: more terms in the name first."""
-    asked = hinted(with_words(queries), is_stated(queries) if stated is None else stated)
-    found = folded(catalog, all=FIELDS, name=("name",)).join(asked, any_in(F.col("terms"), "__all"))
+def _keyed(own: DataFrame) -> DataFrame:
+    return own.withColumn("__keys", text_keys(F.col("__all")))
+
+
+def search_index(catalog: DataFrame) -> Index:
+    """The index for ``candidates`` and ``exact_words``; ``write`` it to look queries up again and again."""
+    return Index.build(_keyed(folded(catalog, all=FIELDS)))
+
+
+def candidates(catalog: DataFrame, queries: DataFrame, limit: int = CANDIDATES, few: bool | None = None, index: Index | None = None) -> DataFrame:
+    """Products with a term in any of five fields, per query: more terms in the name first. ``index``: of
+    the catalogue or of more products."""
+    asked = with_words(queries)
+    own = folded(catalog, all=FIELDS, name=("name",))
+    found = matching(own, asked, lambda q: any_in(q["terms"], "__all"), F.transform("terms", term_keys), _keyed, is_few(queries) if few is None else few, index)
     found = found.withColumn("name_match_count", F.size(F.filter("terms", lambda w: F.contains(F.col("__name"), w)))).drop("__all", "__name")
     return top(found, limit, F.desc("name_match_count"), "name", "id_product")
 
@@ -121,10 +140,12 @@ def scored(found: DataFrame, as_of: F.Column, full: bool = True) -> DataFrame:
     return with_relevance(found, as_of, full)
 
 
-def exact_words(catalog: DataFrame, queries: DataFrame) -> DataFrame:
+def exact_words(catalog: DataFrame, queries: DataFrame, index: Index | None = None) -> DataFrame:
     """Products where every word is in some field."""
-    every = F.forall("words", lambda w: F.contains(F.col("__all"), w))
-    return folded(catalog, all=FIELDS).join(hinted(with_words(queries), is_stated(queries)), every).drop("__all")
+    asked = with_words(queries)
+    every = lambda q: F.forall(q["words"], lambda w: F.contains(F.col("__all"), w))
+    needs = F.array(F.flatten(F.transform("words", term_keys)))
+    return matching(folded(catalog, all=FIELDS), asked, every, needs, _keyed, is_few(queries), index).drop("__all")
 
 
 def exact_code(catalog: DataFrame, queries: DataFrame) -> DataFrame:
@@ -139,29 +160,60 @@ def exact_code(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     return top(found, 1, "id_product").withColumn("relevance", F.lit(150.0))
 
 
-def fuzzy_candidates(catalog: DataFrame, queries: DataFrame, limit: int = FUZZY_CANDIDATES, phonetic: bool = True, stated: bool | None = None) -> DataFrame:
+def _fuzzy_texts(catalog: DataFrame, phonetic: bool) -> DataFrame:
+    own = folded(catalog, name=("name",), text=("description",), brand=("brand",))
+    return own.withColumn("__s1", F.soundex("name")).withColumn("__s2", F.soundex("brand")) if phonetic else own
+
+
+def _fuzzy_keyed(own: DataFrame) -> DataFrame:
+    """Adds __keys: of parts, ordered letters and, where there are any, sounds."""
+    sounds = [c for c in ("__s1", "__s2") if c in own.columns]
+    own = with_ordered_keys(own, ["__name", "__text", "__brand"], "__ordered")
+    keys = [text_keys(F.concat_ws("\n", "__name", "__text", "__brand")), F.col("__ordered"), *([F.transform(F.array(*sounds), sound_key)] * bool(sounds))]
+    return own.withColumn("__keys", F.array_distinct(F.concat(*keys))).drop("__ordered")
+
+
+def fuzzy_index(catalog: DataFrame) -> Index:
+    """The index for ``fuzzy_candidates``."""
+    return Index.build(_fuzzy_keyed(_fuzzy_texts(catalog, True)))
+
+
+def fuzzy_candidates(
+    catalog: DataFrame, queries: DataFrame, limit: int = FUZZY_CANDIDATES, phonetic: bool = True, few: bool | None = None, index: Index | None = None,
+) -> DataFrame:
     """Products that resemble a word of three characters or more: its sound, its letters in
-    order, the word without its first or last letter, or its consonants in order."""
-    stated = is_stated(queries) if stated is None else stated
-    asked = with_words(queries).withColumn("probe", F.explode(F.array_distinct(F.filter(F.split("query", " "), lambda w: F.length(w) >= 3))))
+    order, the word without its first or last letter, or its consonants in order. With an index, letters are
+    walked only in products that have the rarest ordered pair of them."""
     letters = lambda word: F.filter(F.split(word, ""), lambda c: c != "")
-    long = F.length("probe") > 3
-    asked = asked.withColumn("letters", letters(F.col("probe"))).withColumn("skeleton", letters(consonants(F.col("probe"))))
-    asked = asked.withColumn("head", F.when(long, F.substring("probe", F.lit(1), F.length("probe") - 1)))
-    asked = asked.withColumn("tail", F.when(long, F.substring("probe", F.lit(2), F.length("probe"))))
-    if phonetic:
-        asked = asked.withColumn("sound", F.soundex("probe"))
-        catalog = catalog.withColumn("__s1", F.soundex("name")).withColumn("__s2", F.soundex("brand"))
+    long = lambda w, part: F.when(F.length(w) > 3, part)
+
+    def probe(w: F.Column) -> F.Column:
+        head, tail = F.substring(w, F.lit(1), F.length(w) - 1), F.substring(w, F.lit(2), F.length(w))
+        sound = F.soundex(w) if phonetic else F.lit(None).cast("string")
+        parts = {"letters": letters(w), "skeleton": letters(consonants(w)), "head": long(w, head), "tail": long(w, tail), "sound": sound}
+        return F.struct(*(c.alias(name) for name, c in parts.items()))
+
+    words = F.array_distinct(F.filter(F.split("query", " "), lambda w: F.length(w) >= 3))
+    asked = with_words(queries).withColumn("probes", F.transform(words, probe))
     name, text, brand = F.col("__name"), F.col("__text"), F.col("__brand")
-    part = _any([F.contains(f, F.col("tail")) for f in (name, text, brand)] + [F.contains(f, F.col("head")) for f in (name, brand)])
-    tests = [F.coalesce(part, F.lit(False))]
-    if phonetic:
-        tests.append((F.col("__s1") == F.col("sound")) | (F.col("__s2") == F.col("sound")))
-    tests += [in_order(F.col("letters"), f) for f in (name, text, brand)]
-    tests += [(F.size("skeleton") >= 3) & in_order(F.col("skeleton"), f) for f in (name, text, brand)]
-    own = folded(catalog, name=("name",), text=("description",), brand=("brand",))
-    found = own.join(hinted(asked, stated), _any(tests)).drop("probe", "letters", "skeleton", "head", "tail", "sound", "__s1", "__s2", "__name", "__text", "__brand")
-    return top(found.dropDuplicates(["query_id", "id_product"]), limit, "name", "id_product")
+
+    def alike(p: F.Column) -> F.Column:
+        part = _any([F.contains(f, p["tail"]) for f in (name, text, brand)] + [F.contains(f, p["head"]) for f in (name, brand)])
+        tests = [F.coalesce(part, F.lit(False))]
+        if phonetic:
+            tests.append((F.col("__s1") == p["sound"]) | (F.col("__s2") == p["sound"]))
+        tests += [in_order(p["letters"], f) for f in (name, text, brand)]
+        return _any(tests + [(F.size(p["skeleton"]) >= 3) & in_order(p["skeleton"], f) for f in (name, text, brand)])
+
+    def keys(p: F.Column) -> F.Column:
+        order = F.when(F.size(p["skeleton"]) >= 3, p["skeleton"]).otherwise(p["letters"])  # the skeleton's order is part of the letters'
+        return F.array(term_keys(p["head"]), term_keys(p["tail"]), ordered_keys(order), *([F.array(sound_key(p["sound"]))] * phonetic))
+
+    found = matching(
+        _fuzzy_texts(catalog, phonetic), asked, lambda q: F.exists(q["probes"], alike), F.flatten(F.transform("probes", keys)), _fuzzy_keyed,
+        is_few(queries) if few is None else few, index,
+    )
+    return top(found.drop("probes", "__s1", "__s2", "__name", "__text", "__brand"), limit, "name", "id_product")
 
 
 def in_order(letters: F.Column, text: F.Column) -> F.Column:
@@ -282,22 +334,24 @@ def final_order(found: DataFrame, limit: int = RESULTS) -> DataFrame:
 def search(
     catalog: DataFrame, queries: DataFrame, boosts: DataFrame, as_of: F.Column, filters: Filters | None = None,
     links: DataFrame | None = None, phonetic: bool = True, inject: bool = True, attributes: DataFrame | None = None,
+    index: Index | None = None, fuzzy: Index | None = None,
 ) -> DataFrame:
     """The whole storefront search as one lazy plan. A query that is a code of a product that passes the
     filters gives just that one; ``*`` gives the newest products. Else candidates among the products that
     pass the category, brand, stock and attribute filters, the price filter (with tax) on the best 300,
-    fuzzy rows where under five are left, boosts, injections, final order. ``catalog`` has a ``sold`` column."""
+    fuzzy rows where under five are left, boosts, injections, final order. ``catalog`` has a ``sold`` column;
+    ``index`` and ``fuzzy``: stored indexes of it (``search_index``, ``fuzzy_index``)."""
     filters = filters or Filters()
-    stated = is_stated(queries)
+    stated, few = is_stated(queries), is_few(queries)
     narrowed = membership_filters(catalog, filters, links, attributes)
     keep = ["query_id", "id_product", "name", "relevance"]
     codes = apply_filters(exact_code(catalog, queries), filters, links, attributes).select(*keep)
-    asked = with_words(queries, brand_names(catalog), phonetic).join(hinted(codes.select("query_id"), stated), "query_id", "left_anti")
-    organic = price_filter(scored(candidates(narrowed, asked, stated=stated), as_of), filters).select(*keep)
+    asked = with_words(queries, brand_names(catalog), phonetic, few).join(hinted(codes.select("query_id"), stated), "query_id", "left_anti")
+    organic = price_filter(scored(candidates(narrowed, asked, few=few, index=index), as_of), filters).select(*keep)
     counts = organic.groupBy("query_id").agg(F.count("*").alias("n"))
     short = asked.join(hinted(counts, stated), "query_id", "left").where(F.coalesce("n", F.lit(0)) < FUZZY_BELOW).drop("n")
-    fuzzy = price_filter(scored(fuzzy_candidates(narrowed, short, phonetic=phonetic, stated=stated), as_of, full=False), filters).select(*keep)
-    both = organic.withColumn("__step", F.lit(1)).unionByName(fuzzy.withColumn("__step", F.lit(2)))
+    near = price_filter(scored(fuzzy_candidates(narrowed, short, phonetic=phonetic, few=few, index=fuzzy), as_of, full=False), filters).select(*keep)
+    both = organic.withColumn("__step", F.lit(1)).unionByName(near.withColumn("__step", F.lit(2)))
     # as ``merge``, by a rank: organic rows first
     first = F.row_number().over(Window.partitionBy("query_id", "id_product").orderBy("__step"))
     both = both.withColumn("__first", first).where("__first = 1")
@@ -348,7 +402,7 @@ def linguistic_terms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     pairs = synonyms.where("active").select(F.lower("word").alias("word"), F.explode(F.transform(F.split("synonyms", ","), lambda s: F.trim(s))).alias("other"))
     both = pairs.unionByName(pairs.select(F.lower("other").alias("word"), F.col("word").alias("other"))).distinct()
     hits = base.select("query_id", F.explode(F.array_distinct("words")).alias("word")).join(both, "word")
-    found = hits.groupBy("query_id").agg(F.sort_array(F.collect_set("other")).alias("synonyms"))
+    found = hits.where("other <> ''").groupBy("query_id").agg(F.sort_array(F.collect_set("other")).alias("synonyms"))
     none = F.array().cast("array<string>")
     return base.join(found, "query_id", "left").withColumn("synonyms", F.coalesce("synonyms", none))
 
@@ -357,18 +411,21 @@ def linguistic_search(catalog: DataFrame, queries: DataFrame, synonyms: DataFram
     """The linguistic profile over searchable products: words in six fields (name, short text, reference,
     ean13, brand, tags), stems in two, synonyms in two, additive scores, fuzzy rows where under ``limit``
     were found, boosts by exact keywords (a rule without any never fires). ``catalog`` has sold and rating."""
-    terms, stated = linguistic_terms(queries, synonyms), is_stated(queries)
+    terms, stated, few = linguistic_terms(queries, synonyms), is_stated(queries), is_few(queries)
     catalog = searchable(catalog)
-    hit = any_in(F.col("words"), "__all") | any_in(F.filter("stems", lambda s: F.length(s) >= 2), "__short") | any_in(F.transform("synonyms", lambda s: F.lower(s)), "__short")
+    stems = lambda q: F.filter(q["stems"], lambda s: F.length(s) >= 2)
+    others = lambda q: F.transform(q["synonyms"], lambda s: F.lower(s))
+    hit = lambda q: any_in(q["words"], "__all") | any_in(stems(q), "__short") | any_in(others(q), "__short")
     own = folded(catalog, all=("name", "short_desc", "reference", "ean13", "brand", "tags"), short=("name", "short_desc"))
-    found = own.join(hinted(terms, stated), hit).drop("__all", "__short")
+    needs = F.transform(F.concat("words", stems({"stems": F.col("stems")}), others({"synonyms": F.col("synonyms")})), term_keys)
+    found = matching(own, terms, hit, needs, _keyed, few).drop("__all", "__short")
     raw = query_words(F.col("query"))
     found = found.withColumn("score", linguistic(F.col("query"), raw, F.col("sold"), F.col("rating")))
     found = top(found, limit * 3, F.desc("score"), "name", "id_product")
     if fuzzy:
         counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
         short = terms.join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < limit).drop("n")
-        near = fuzzy_rows(catalog, short, stated=stated)
+        near = fuzzy_rows(catalog, short, few=few)
         near = near.withColumn("score", linguistic(F.col("query"), query_words(F.col("query")), F.col("sold"), F.col("rating"), F.col("fuzzy_score")))
         fresh = near.join(found.select("query_id", "id_product"), ["query_id", "id_product"], "left_anti")
         found = found.unionByName(fresh.drop("fuzzy_score"), allowMissingColumns=True)
@@ -383,13 +440,22 @@ def linguistic_search(catalog: DataFrame, queries: DataFrame, synonyms: DataFram
     return final.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "id_product", "name", "score", "boost", "final", "rank")
 
 
-def fuzzy_rows(catalog: DataFrame, terms: DataFrame, threshold: int = 3, scope: int = 1000, limit: int = 200, stated: bool | None = None) -> DataFrame:
+def fuzzy_rows(catalog: DataFrame, terms: DataFrame, threshold: int = 3, scope: int = 1000, limit: int = 200, few: bool | None = None) -> DataFrame:
     """Products by the similarity of their name's words to the query's, over the first ``scope``
-    products by id."""
+    products by id. Words are compared up to a distance of three."""
+    if threshold > 3:
+        raise ValueError("a threshold of three at most")
     pool = catalog.orderBy("id_product").limit(scope)
-    # lengths further apart than the threshold can't be within it: most pairs go by this
-    near_length = F.exists("words", lambda w: F.exists(F.split(F.lower("name"), " "), lambda o: F.abs(F.length(w) - F.length(o)) <= threshold))
-    near = pool.join(hinted(terms, is_stated(terms) if stated is None else stated), near_length)
+    names = F.split(F.lower("name"), " ")
+    if is_few(terms) if few is None else few:
+        # lengths further apart than the threshold can't be within it: most pairs go by this
+        near = scan(pool, terms, lambda q: F.exists(q["words"], lambda w: F.exists(names, lambda o: F.abs(F.length(w) - F.length(o)) <= threshold)))
+    else:  # words meet by what is left of both after deletions
+        most = F.least(F.lit(threshold), F.floor((F.length("word") + threshold) / 3).cast("int"))
+        long = lambda words: F.explode(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3))).alias("word")
+        keyed = lambda df: with_deletions(df, "word", most, "__keys").drop("word")
+        pairs = within(keyed(terms.select("query_id", long(F.col("words")))), keyed(pool.select("id_product", long(names))))
+        near = pool.join(pairs, "id_product").join(terms, "query_id")
     near = near.withColumn("fuzzy_score", fuzzy_similarity(F.col("words"), F.split(F.lower("name"), " "), threshold)).where("fuzzy_score > 0")
     return top(near, limit, F.desc("fuzzy_score"), "id_product")
 

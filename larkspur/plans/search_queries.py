@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import baskets, envelope, facets, merch, search, suggest
+from ..operators import baskets, envelope, facets, merch, postings, search, suggest
 from ..sources import shop
 from .views import any_sql, score_sql, soundex_sql, with_views
 
@@ -244,6 +244,41 @@ def search_corrected(spark, sf):
     return search.scored(search.candidates(cat, words), shop.ntz(AS_OF)).select("id_product", "name", "name_match_count", "relevance")
 
 
+_CODES = "SELECT DISTINCT substr(reference, 7) AS query FROM catalog"
+
+
+@query("search_many", with_views(f"""SELECT query, id_product FROM (SELECT q.query, c.id_product, row_number() OVER (PARTITION BY q.query ORDER BY CAST(contains(lower(c.name), q.query) AS INTEGER) DESC, c.name, c.id_product) AS place
+  FROM ({_CODES}) q JOIN catalog c ON contains(lower(c.name), q.query) OR contains(lower(c.short_desc), q.query) OR contains(lower(c.description), q.query) OR contains(lower(c.reference), q.query) OR contains(lower(c.brand), q.query)) WHERE place <= 300""", "catalog"))
+def search_many(spark, sf):
+    """A query for each product, the end of its reference, all at once: by the index."""
+    cat = shop.catalog(spark, sf)
+    codes = cat.select(F.substring("reference", 7, 10).alias("query")).distinct().withColumn("query_id", F.col("query"))
+    return search.candidates(cat, codes, few=False).select("query", "id_product")
+
+
+_TYPED = "SELECT DISTINCT lower(substr(brand, 1, CAST(id_product % 7 AS INTEGER)) || substr(brand, CAST(id_product % 7 AS INTEGER) + 2)) AS word FROM catalog"
+
+
+def _resembles_columns(word: str, name: str) -> str:
+    """``_resembles_sql`` for words that are a column."""
+    bare = lambda t: f"regexp_replace({t}, '{_VOWELS}', '', 'g')"
+    lw, ln, d = f"length({word})", f"length({name})", f"levenshtein({word}, {name})"
+    affix = f"least(4, least({lw}, {ln}) - 1)"
+    return f"""abs({lw} - {ln}) <= greatest({lw}, {ln}) * 0.5 AND {word} <> {name} AND ({d} BETWEEN 1 AND CASE WHEN {lw} >= 8 THEN 3 WHEN {lw} >= 5 THEN 2 ELSE 1 END
+    OR ({bare(word)} = {bare(name)} AND length({bare(word)}) >= 4) OR ({lw} >= 5 AND {ln} >= 5 AND (contains({word}, {name}) OR contains({name}, {word})))
+    OR ({affix} >= 3 AND (left({word}, {affix}) = left({name}, {affix}) OR right({word}, {affix}) = right({name}, {affix})) AND {d} <= greatest({lw}, {ln}) * 0.4)
+    OR ({lw} >= 4 AND {soundex_sql(word)} = {soundex_sql(name)}))"""
+
+
+@query("brand_corrections_many", with_views(f"SELECT word, name FROM ({_TYPED}) w JOIN (SELECT DISTINCT lower(brand) AS name FROM catalog) n ON {_resembles_columns('word', 'name')}", "catalog"))
+def brand_corrections_many(spark, sf):
+    """Every brand with a letter left out, one place after another: by deletion neighbourhoods."""
+    cat = shop.catalog(spark, sf)
+    at = (F.col("id_product") % 7).cast("int")
+    typed = cat.select(F.lower(F.concat(F.left("brand", at), F.substring(F.col("brand"), at + 2, F.length("brand")))).alias("word")).distinct()
+    return postings.misspelt(typed.select(F.lit(1).alias("query_id"), "word"), search.brand_names(cat)).select("word", "name")
+
+
 def _filter(name: str, condition: str, filters: search.Filters, *views: str):
     @query(name, with_views(f"SELECT id_product FROM catalog WHERE {condition}", "catalog", *views))
     def run(spark, sf):
