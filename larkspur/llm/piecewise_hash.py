@@ -1,11 +1,16 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A rolling hash of the last seven bytes marks boundaries wherever its low bits are all one; the
-block size (a power of two, about 1/64 to 1/32 of the text's bytes) says how many bits. Each
-piece between boundaries becomes one of 64 characters of its hash. A fingerprint is
-``block:signature:signature at twice the block``, each signature of at most 64 characters (the
-last piece takes the rest). Fingerprints are compared by the edit distance of the signatures
-that were made at the same block size; without such a pair the likeness is 0."""
+block size (a power of two) says how many bits. Each piece between boundaries becomes one of 64
+characters of its hash. A text's own block size is the one that cuts its bytes into 32 to 64
+pieces or so. A fingerprint is ``block:signature:signature:...``: signatures of at most 64
+characters (the last piece takes the rest) at twice the block size, at the block size, and at half
+the size before down to LEAST_BLOCK.
+
+Fingerprints are compared by the edit distance of signatures made at one block size: the largest
+that both have at which both are at least half full. A text that repeats itself may have no
+boundary at all at its own block size; halving finds one. Texts whose block sizes differ by more
+than a factor of two are not alike."""
 
 from __future__ import annotations
 
@@ -27,21 +32,24 @@ _BYTE = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
 _POWER = [np.uint32(pow(0x9E3779B1, k, 2**32)) for k in range(WINDOW)]
 
 
-def _boundaries(raw: bytes, block: int) -> tuple[list[int], list[int]]:
-    """Ends of pieces at the block size and at twice the block size."""
-    single: list[np.ndarray] = []
-    double: list[np.ndarray] = []
+def _boundaries(raw: bytes, sizes: list[int]) -> list[list[int]]:
+    """The first ends of pieces at each of these falling block sizes."""
+    found: list[list[int]] = [[] for _ in sizes]
     for at in range(0, len(raw), _SLICE):
+        least = max((k for k, ends in enumerate(found) if len(ends) < LENGTH - 1), default=-1)
+        if least < 0:
+            break
         begin = max(0, at - WINDOW + 1)
         values = _BYTE[np.frombuffer(raw, np.uint8, min(len(raw), at + _SLICE) - begin, begin)]
         rolled = values.copy()
         for k in range(1, min(WINDOW, len(values))):
             rolled[k:] += values[:-k] * _POWER[k]
         rolled = rolled[at - begin :] >> np.uint32(9)
-        hit = np.flatnonzero((rolled & np.uint32(block - 1)) == block - 1)
-        single.append(hit + at + 1)
-        double.append(hit[(rolled[hit] & np.uint32(2 * block - 1)) == 2 * block - 1] + at + 1)
-    return tuple(np.concatenate(x)[: LENGTH - 1].tolist() if x else [] for x in (single, double))  # type: ignore[return-value]
+        hit = np.arange(len(rolled))
+        for k in range(least, -1, -1):  # a boundary of a larger block is one of each smaller block
+            hit = hit[(rolled[hit] & np.uint32(sizes[k] - 1)) == sizes[k] - 1]
+            found[k] += (hit[: LENGTH - 1 - len(found[k])] + at + 1).tolist()
+    return found
 
 
 def _signature(raw: bytes, ends: list[int]) -> str:
@@ -56,8 +64,8 @@ def fingerprint(text: str | None) -> str:
     block = LEAST_BLOCK
     while block * LENGTH < len(raw):
         block *= 2
-    single, double = _boundaries(raw, block)
-    return f"{block}:{_signature(raw, single)}:{_signature(raw, double)}"
+    sizes = [2 * block >> k for k in range((2 * block // LEAST_BLOCK).bit_length())]
+    return ":".join([str(block), *(_signature(raw, ends) for ends in _boundaries(raw, sizes))])
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", to: str = "fingerprint") -> DataFrame:
@@ -74,18 +82,16 @@ def likeness(a: str, b: str) -> F.Column:
     """0 to 1: of two fingerprint columns. Equal fingerprints: 1."""
     x, y = F.split(a, ":"), F.split(b, ":")
     block_x, block_y = x[0].cast("long"), y[0].cast("long")
-
-    def alike(s: F.Column, t: F.Column) -> F.Column:
-        longest = F.greatest(F.length(s), F.length(t))
-        return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(s, t) / longest)
-
-    return (
-        F.when(F.col(a) == F.col(b), F.lit(1.0))
-        .when(block_x == block_y, F.greatest(alike(x[1], y[1]), alike(x[2], y[2])))
-        .when(block_x == 2 * block_y, alike(x[1], y[2]))
-        .when(2 * block_x == block_y, alike(x[2], y[1]))
-        .otherwise(F.lit(0.0))
-    )
+    # signatures at the sizes that both have, the smallest first
+    shared = F.least(F.size(x), F.size(y)) - 1
+    small = lambda fields: F.slice(F.reverse(F.slice(fields, F.lit(2), F.size(fields))), F.lit(1), shared)
+    both = F.zip_with(small(x), small(y), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
+    full = F.filter(both, lambda p: (F.length(p["s"]) >= LENGTH // 2) & (F.length(p["t"]) >= LENGTH // 2))
+    p = F.when(F.size(full) > 0, F.element_at(full, -1)).otherwise(F.get(both, F.lit(0)))
+    longest = F.greatest(F.length(p["s"]), F.length(p["t"]))
+    alike = F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(p["s"], p["t"]) / longest)
+    apart = F.greatest(block_x, block_y) > 2 * F.least(block_x, block_y)
+    return F.when(F.col(a) == F.col(b), F.lit(1.0)).when(apart, F.lit(0.0)).otherwise(alike)
 
 
 def _bucket(key: F.Column, bounds: list[int]) -> F.Column:
@@ -130,8 +136,8 @@ def compare_edited(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     edited_fingerprint, near_edited, near_next.
 
     A null text counts as empty, whose fingerprint has empty signatures. Rows of equal doc_id
-    follow each other by text; null ids come last. A single row is its own next. An empty table
-    gives no rows. Further columns are dropped first, so names cannot clash."""
+    follow each other by text; null ids come last. A single row is its own next. Texts of any length
+    are read whole, a slice at a time. An empty table gives no rows. Further columns are dropped first, so names cannot clash."""
     if buckets is None:
         buckets = min(4096, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

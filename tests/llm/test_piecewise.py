@@ -1,10 +1,11 @@
 import hashlib
 import random
+import zlib
 
 import pytest
 from texts import empty, odd, odd_rows, with_clashes, words
 
-from larkspur.llm.piecewise_hash import compare_edited, fingerprint
+from larkspur.llm.piecewise_hash import _BYTE, _LETTERS, compare_edited, fingerprint
 
 
 def levenshtein(a, b):
@@ -16,14 +17,52 @@ def levenshtein(a, b):
     return row[-1]
 
 
+def plain(text):
+    """The fingerprint byte by byte, each block size on its own."""
+    raw = text.encode()
+    block = 4
+    while block * 64 < len(raw):
+        block *= 2
+    out, size = [str(block)], 2 * block
+    while size >= 4:
+        signature, start = "", 0
+        for i in range(len(raw)):
+            h = sum(int(_BYTE[raw[i - k]]) * 0x9E3779B1**k for k in range(7) if i >= k) % 2**32 >> 9
+            if h % size == size - 1 and len(signature) < 63:
+                signature += _LETTERS[zlib.crc32(raw[start : i + 1]) >> 7 & 63]
+                start = i + 1
+        if start < len(raw):
+            signature += _LETTERS[zlib.crc32(raw[start:]) >> 7 & 63]
+        out.append(signature)
+        size //= 2
+    return ":".join(out)
+
+
 def likeness(a, b):
     if a == b:
         return 1.0
-    (m, s, t), (n, u, v) = ((int(x), y, z) for x, y, z in (a.split(":"), b.split(":")))
-    alike = lambda p, q: 1 - levenshtein(p, q) / max(len(p), len(q)) if p or q else 1.0
-    if m == n:
-        return max(alike(s, u), alike(t, v))
-    return alike(s, v) if m == 2 * n else alike(t, u) if 2 * m == n else 0.0
+    (m, *x), (n, *y) = a.split(":"), b.split(":")
+    if not 0.5 <= int(m) / int(n) <= 2:
+        return 0.0
+    both = list(zip(reversed(x), reversed(y), strict=False))
+    p, q = next(((s, t) for s, t in reversed(both) if min(len(s), len(t)) >= 32), both[0])
+    return 1 - levenshtein(p, q) / max(len(p), len(q)) if p or q else 1.0
+
+
+def test_fingerprint_against_plain_version():
+    rng = random.Random(4)
+    line = words(rng, 8) + "\n"
+    for text in ["", "a", "ß" * 5, words(rng, 30), words(rng, 300), line * 40, line * 7 + words(rng, 60), "x" * 700]:
+        assert fingerprint(text) == plain(text)
+
+
+def test_repeated_lines(spark):
+    """Half of such a text stays, and the fingerprints say so."""
+    rng = random.Random(11)
+    rows = [(k, (words(rng, rng.randint(4, 14)) + "\n") * rng.randint(40, 200)) for k in range(120)]
+    found = compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    near = sorted(r.near_edited for r in found)
+    assert near[len(near) // 20] >= 0.4 and sorted(r.near_next for r in found)[110] < 0.4
 
 
 @pytest.mark.parametrize("buckets", [1, 7])
@@ -39,6 +78,7 @@ def test_against_plain_version(spark, buckets):
         r = found[doc_id]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert r.fingerprint == fingerprint(text) and r.edited_fingerprint == fingerprint(edited)
+        assert len(text) > 3000 or r.fingerprint == plain(text)
         assert r.near_edited == pytest.approx(likeness(r.fingerprint, r.edited_fingerprint)) and r.near_next == pytest.approx(likeness(r.fingerprint, fingerprint(after)))
 
 
