@@ -7,12 +7,17 @@ decontamination: documents that hold a benchmark passage go.
 bpe: whole texts are encoded; ids and checks of the decoded text are returned.
 
 All but the last return the columns of ``documents`` and keep every row that they don't reject.
-Rows that are equal in all columns count once from near_dedup on.
+Rows that are equal in all columns count once from near_dedup on. Nulls, empty and very long texts,
+ties and further columns, whatever their names, are treated as the operators of the stages say: a null
+or empty text is scored, linked and encoded like any other text without words.
+
+A stage may be called by itself, on a table or on what another stage returns, and its result stays
+readable: what it has stored goes only with ``run``, which removes it once the next table is written,
+or with ``remove_stored``.
 """
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Callable
 
@@ -29,46 +34,23 @@ from larkspur.llm.simhash_dedup import keep_first
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Tables that the latest stage has stored while it was put together.
-_LATEST: list[str] = []
-
-
-def stage(f: Stage) -> Stage:
-    """A stage that first removes what the stage before it has stored: that one is written by now."""
-
-    @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove_stored(spark, _LATEST)
-        before = stored_tables()
-        out = f(spark, docs, sf_dir)
-        _LATEST[:] = [t for t in stored_tables() if t not in before]
-        return out
-
-    return run_stage
-
-
-@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = without_recurring_lines(docs)
     return cut.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
-@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_first(docs)
 
 
-@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
-@stage
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode(docs.select("doc_id", "text")).drop("text")
 
@@ -88,9 +70,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder, last = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, own in STAGES:
+        before = stored_tables()
         own(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         # what the stage was made from can go; only the last output stays
+        remove_stored(spark, [t for t in stored_tables() if t not in before])
         if last:
             remove(spark, f"{folder}/{last}")
         last = name
