@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, join_counted, small_batches, stored, table
+from .common import broadcast_if_small, checkpoint, free_name, join_counted, small_batches, stored, table
 
 LEAST, LARGEST, BITS = 16, 128, 4
 MIN_BYTES = 140
@@ -179,15 +179,16 @@ def spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 def deduplicate(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``docs`` with the repeated spans cut out of the texts; all rows and columns. See ``spans``."""
-    cut = spans(docs, min_bytes).groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_set(F.struct("start_byte", "end_byte"))).alias("__cut"))
+    row, cut = free_name(docs, "__row"), free_name(docs, "__cut")
+    found = spans(docs, min_bytes).groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_set(F.struct("start_byte", "end_byte"))).alias(cut))
     raw = F.encode("text", "UTF-8")
-    last = F.element_at("__cut", -1)["end_byte"]
+    last = F.element_at(cut, -1)["end_byte"]
     # what lies before each span, then what follows the last
-    before = F.transform("__cut", lambda s, i: F.decode(F.substring(raw, F.when(i == 0, F.lit(0)).otherwise(F.get("__cut", i - 1)["end_byte"]) + 1, s["start_byte"] - F.when(i == 0, F.lit(0)).otherwise(F.get("__cut", i - 1)["end_byte"])), "UTF-8"))
+    before = F.transform(cut, lambda s, i: F.decode(F.substring(raw, F.when(i == 0, F.lit(0)).otherwise(F.get(cut, i - 1)["end_byte"]) + 1, s["start_byte"] - F.when(i == 0, F.lit(0)).otherwise(F.get(cut, i - 1)["end_byte"])), "UTF-8"))
     after = F.decode(F.substring(raw, last + 1, F.octet_length("text") - last), "UTF-8")
-    text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.concat(F.array_join(before, ""), after))
-    joined = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(cut, "__row", "left")
-    return joined.withColumn("__text", text).select(*(F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.concat(F.array_join(before, ""), after))
+    joined = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(found, row, "left")
+    return joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, row_key, table
+from .common import broadcast_if_small, checkpoint, free_name, row_key, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -160,8 +160,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; all columns; see ``matches``."""
-    bad = checkpoint(matches(docs, benchmark, threshold, radius).select(F.col("row").alias("__row")).distinct())
-    return docs.withColumn("__row", row_key()).join(broadcast_if_small(bad), "__row", "left_anti").drop("__row")
+    row = free_name(docs, "__row")
+    bad = checkpoint(matches(docs, benchmark, threshold, radius).select(F.col("row").alias(row)).distinct())
+    return docs.withColumn(row, row_key()).join(broadcast_if_small(bad), row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, join_counted, row_key, stored, table
+from .common import broadcast_if_small, checkpoint, free_name, join_counted, row_key, stored, table
 
 MIN_DOCS = 5
 MIN_TOKENS = 3
@@ -96,25 +96,27 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, least_constant: float =
 
 
 def _cut(docs: DataFrame, min_docs: int, least_constant: float, min_tokens: int) -> DataFrame:
-    """All rows and columns of ``docs``, the text without recurring lines, __n_lines and __n_dropped."""
+    """All rows and columns of ``docs``, the text without recurring lines, and behind them the numbers
+    of its lines and of those dropped."""
     occurrences, recurring, _ = _tree(docs, min_docs, least_constant, min_tokens)
     hits = join_counted(occurrences, recurring.select("template", "first_doc", "n_rows"), "template", "n_rows")
     gone = hits.where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     places = gone.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("at"))
     # one byte a line up to the last that goes, so that each line is looked up at once
     marks = F.transform("at", lambda a, k: F.concat(F.repeat(F.lit("0"), a - F.coalesce(F.get("at", k - 1), F.lit(-1)) - 1), F.lit("1")))
-    places = places.select(F.col("row").alias("__row"), F.encode(F.array_join(marks, ""), "US-ASCII").alias("__gone"), F.size("at").alias("__n_dropped"))
-    joined = docs.withColumn("__row", row_key()).join(places, "__row", "left")
-    rest = F.filter(_lines(F.col("text")), lambda _, i: F.substring("__gone", i + 1, F.lit(1)) != F.lit(b"1"))
-    text = F.when(F.col("text").isNull() | F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text"))))
+    row, mark, n_lines, n_dropped = (free_name(docs, f"__{c}") for c in ("row", "gone", "n_lines", "n_dropped"))
+    places = places.select(F.col("row").alias(row), F.encode(F.array_join(marks, ""), "US-ASCII").alias(mark), F.size("at").alias(n_dropped))
+    joined = docs.withColumn(row, row_key()).join(places, row, "left")
+    rest = F.filter(_lines(F.col("text")), lambda _, i: F.substring(mark, i + 1, F.lit(1)) != F.lit(b"1"))
+    text = F.when(F.col("text").isNull() | F.col(mark).isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text"))))
     own = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*own, n_lines.alias("__n_lines"), F.coalesce("__n_dropped", F.lit(0)).alias("__n_dropped"))
+    return joined.select(*own, lines.alias(n_lines), F.coalesce(n_dropped, F.lit(0)).alias(n_dropped))
 
 
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, least_constant: float = LEAST_CONSTANT, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """As ``drop_recurring_lines``, with just the columns of ``docs``."""
-    return _cut(docs, min_docs, least_constant, min_tokens).drop("__n_lines", "__n_dropped")
+    return _cut(docs, min_docs, least_constant, min_tokens).select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, least_constant: float = LEAST_CONSTANT, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -129,7 +131,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, least_consta
     added names are replaced."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     cut = _cut(docs.select(*(f"`{c}`" for c in names)), min_docs, least_constant, min_tokens)
-    return cut.withColumnsRenamed({"__n_lines": "n_lines", "__n_dropped": "n_dropped"})
+    return cut.withColumnsRenamed(dict(zip(cut.columns[-2:], ("n_lines", "n_dropped"), strict=True)))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

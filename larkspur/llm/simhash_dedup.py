@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, connected_components, join_counted, row_key, small_batches, stored, table, wide_row_key
+from .common import broadcast_if_small, checkpoint, connected_components, free_name, join_counted, row_key, small_batches, stored, table, wide_row_key
 
 BLOCKS = 7
 RADIUS = 4
@@ -441,12 +441,13 @@ def keep_first(docs: DataFrame, radius: int = WIDE_RADIUS, shingle: int = 5, sim
     found = checkpoint(near_copies(docs, radius, shingle, similarity=similarity))
     by_component = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"), F.count("*").alias("n"))
     first = checkpoint(by_component.select("component", F.col("first.row").alias("first"), "n").where("n > 1"))
-    gone = join_counted(found.select("component", "row"), first, "component", "n").where("row <> first").select(F.col("row").alias("__row")).distinct()
-    twice = checkpoint(found.groupBy(F.col("row").alias("__row")).agg(F.count("*").alias("n")).where("n > 1").select("__row"))
-    kept = docs.withColumn("__row", wide_row_key()).join(broadcast_if_small(checkpoint(gone)), "__row", "left_anti")
+    row = free_name(docs, "__row")
+    gone = join_counted(found.select("component", "row"), first, "component", "n").where("row <> first").select(F.col("row").alias(row)).distinct()
+    twice = checkpoint(found.groupBy(F.col("row").alias(row)).agg(F.count("*").alias("n")).where("n > 1").select(row))
+    kept = docs.withColumn(row, wide_row_key()).join(broadcast_if_small(checkpoint(gone)), row, "left_anti")
     if not twice.isEmpty():
         again = broadcast_if_small(twice)
-        kept = kept.join(again, "__row", "left_anti").unionByName(kept.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
+        kept = kept.join(again, row, "left_anti").unionByName(kept.join(again, row, "left_semi").dropDuplicates([row]))
     return kept.select(*(f"`{c}`" for c in docs.columns))
 
 

@@ -63,3 +63,21 @@ def test_odd_rows(spark, sf):
             out = stage(spark, rows, sf)
             assert out.count() <= rows.count()
             assert name == "bpe" or out.columns == rows.columns
+
+
+def test_stages_compose_without_writing(spark, sf):
+    """All stages put together lazily, and two results of a stage held at once, can be read."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first, second = corpus_pipeline.quality(spark, docs, sf), corpus_pipeline.quality(spark, docs.limit(50), sf)
+    out = docs
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, sf)
+    written = corpus_pipeline.run(spark, sf)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in written.collect())
+    assert first.count() > second.count() > 0
+
+
+def test_columns_of_any_name_keep_their_values(spark, sf):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, with_clashes(odd(spark)), sf).collect()
+        assert {r[c] for r in rows for c in ("row", "__row", "__doc", "__gone", "__cut", "__cell", "__text", "__n_lines", "size")} <= {"clash"}, name

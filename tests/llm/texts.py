@@ -25,7 +25,7 @@ def with_clashes(df):
     """The same rows and columns that operators might use themselves."""
     from pyspark.sql import functions as F
 
-    for name in ("row", "fp", "tokens", "cell", "size", "key", "shard", "digest", "start", "end", "score", "n_lines", "fingerprint", "component_id", "template", "unit", "best"):
+    for name in ("row", "fp", "tokens", "cell", "size", "key", "shard", "digest", "start", "end", "score", "n_lines", "fingerprint", "component_id", "template", "unit", "best", "__row", "__doc", "__gone", "__cut", "__cell", "__text", "__n_lines", "__own"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 
