@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EDGE_CAP = 10_000
 
 
 def pair_counts(lines: DataFrame, heads: DataFrame, as_of: F.Column, days_back: int = 180, min_support: int = 2, cap: int = EDGE_CAP) -> DataFrame:
-    """Unordered product pairs of valid orders in the window: (a, b, n_orders), a < b.
-
-    Lines are made distinct per order before the self-join, so a plain count is enough and both
-    sides share the partitioning by order; a basket, not the catalogue, bounds the pairs of a key."""
+    """Unordered product pairs of valid orders in the window: (a, b, n_orders), a < b."""
     since = F.expr(f"interval {days_back} days")
     own = heads.where("valid").where(F.col("date_add") >= as_of - since).select("id_order")
-    items = lines.select("id_order", "id_product").join(own, "id_order", "left_semi").distinct()
-    left, right = items.withColumnRenamed("id_product", "a"), items.withColumnRenamed("id_product", "b")
-    counts = left.join(right, "id_order").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_orders"))
+    counts = basket_pairs(lines.join(own, "id_order", "left_semi")).groupBy("a", "b").agg(F.count("*").alias("n_orders"))
     return counts.where(F.col("n_orders") >= min_support).orderBy(F.desc("n_orders"), "a", "b").limit(cap)
 
 
+def basket_pairs(lines: DataFrame, *more: str) -> DataFrame:
+    """(a, b), a < b, once for each order that has both; ``more``: columns of the order that stay. Lines
+    are read once: a basket is gathered and its pairs spelt out, so its size, not the catalogue, bounds
+    what is held."""
+    baskets = lines.groupBy("id_order", *more).agg(F.sort_array(F.collect_set("id_product")).alias("items"))
+    each = baskets.where(F.size("items") > 1).select(*more, "items", F.posexplode("items").alias("at", "a"))
+    return each.select(*more, "a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("b"))
+
+
 def correlations(pairs: DataFrame) -> DataFrame:
-    """Both directions with the count over the largest count, four decimals."""
-    most = pairs.agg(F.greatest(F.max("n_orders"), F.lit(1)).alias("most"))
-    scored = pairs.join(F.broadcast(most)).withColumn("score", F.round((F.col("n_orders") / F.col("most")).cast("decimal(20,10)"), 4).cast("decimal(5,4)"))
-    one = scored.select(F.col("a").alias("id_source"), F.col("b").alias("id_target"), "score", "n_orders")
-    return one.unionByName(scored.select(F.col("b").alias("id_source"), F.col("a").alias("id_target"), "score", "n_orders"))
+    """Both directions with the count over the largest count, four decimals. ``pairs`` (capped, as
+    ``pair_counts`` gives them) are read once for the edges and, where the plan is not shared, once for
+    the largest count."""
+    most = pairs.agg(F.greatest(F.max("n_orders"), F.lit(1))).scalar()
+    scored = pairs.withColumn("score", F.round((F.col("n_orders") / most).cast("decimal(20,10)"), 4).cast("decimal(5,4)"))
+    ends = F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("t")), F.struct(F.col("b").alias("s"), F.col("a").alias("t")))
+    return scored.select(F.explode(ends).alias("x"), "score", "n_orders").select(F.col("x.s").alias("id_source"), F.col("x.t").alias("id_target"), "score", "n_orders")
 
 
 def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -47,17 +53,26 @@ def _top(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.desc("score"), F.desc("n_orders"), "id_product").limit(limit)
 
 
-def for_item(edges: DataFrame, catalog: DataFrame, item: int, limit: int = 8) -> DataFrame:
-    """Related products; products of the same category, in a seeded order, where there is none."""
+def for_item(edges: DataFrame, catalog: DataFrame, item: int | F.Column, limit: int = 8) -> DataFrame:
+    """Related products; products of the same category, in a seeded order, where there is none. ``item``: an
+    id, or a column of one value (a scalar subquery)."""
     own = edges.where(F.col("id_source") == item).select(F.col("id_target").alias("id_product"), "score", "n_orders")
-    related = _top(own.join(catalog.select("id_product", "name"), "id_product"), limit)
-    none = own.agg((F.count("*") == 0).alias("none"))
-    return related.unionByName(same_category(catalog, item, limit).join(F.broadcast(none), F.col("none")).drop("none"))
+    # products that are not in the catalogue count as related, but aren't shown
+    shown = own.join(catalog.select("id_product", "name", F.lit(True).alias("shown")), "id_product", "left")
+    shown = shown.orderBy(F.col("shown").desc_nulls_last(), F.desc("score"), F.desc("n_orders"), "id_product").limit(limit)
+    return _first_or(shown, same_category(catalog, item, limit).withColumn("shown", F.lit(True)), 1).where("shown").drop("shown")
+
+
+def _first_or(first: DataFrame, second: DataFrame, least: int) -> DataFrame:
+    """``first``, or ``second`` where it has fewer than ``least`` rows: both are a few rows and are read once."""
+    both = first.withColumn("__step", F.lit(1)).unionByName(second.withColumn("__step", F.lit(2)))
+    n = F.count(F.when(F.col("__step") == 1, 1)).over(Window.partitionBy())
+    return both.withColumn("__n", n).where((F.col("__n") >= least) == (F.col("__step") == 1)).drop("__n", "__step")
 
 
-def same_category(catalog: DataFrame, item: int, limit: int = 8) -> DataFrame:
-    category = catalog.where(F.col("id_product") == item).select(F.col("id_category").alias("c"))
-    pool = catalog.where(F.col("id_product") != item).join(F.broadcast(category), F.col("id_category") == F.col("c"))
+def same_category(catalog: DataFrame, item: int | F.Column, limit: int = 8) -> DataFrame:
+    category = catalog.where(F.col("id_product") == item).agg(F.max("id_category")).scalar()
+    pool = catalog.where((F.col("id_product") != item) & (F.col("id_category") == category))
     shuffled = pool.orderBy(F.md5(F.col("id_product").cast("string")), "id_product").limit(limit)
     return shuffled.select("id_product", F.lit(0).cast("decimal(5,4)").alias("score"), F.lit(0).cast("bigint").alias("n_orders"), "name")
 
@@ -65,24 +80,19 @@ def same_category(catalog: DataFrame, item: int, limit: int = 8) -> DataFrame:
 def for_cart(edges: DataFrame, catalog: DataFrame, sales: DataFrame, cart: list[int], limit: int = 8, least: int = 4) -> DataFrame:
     """Summed scores over the cart; bestsellers (unsold products too) take the place of fewer than
     ``least`` products."""
-    own = edges.where(F.col("id_source").isin(*cart) & ~F.col("id_target").isin(*cart))
-    best = catalog.where(~F.col("id_product").isin(*cart))
-    return _cart(own, best, catalog, sales, limit, least)
+    return _cart(edges, catalog, sales, F.array(*map(F.lit, cart)), limit, least)
 
 
 def for_cart_rows(edges: DataFrame, catalog: DataFrame, sales: DataFrame, cart: DataFrame, limit: int = 8, least: int = 4) -> DataFrame:
     """As ``for_cart`` for a cart (id_product) that is a table, a handful of rows."""
-    cart = F.broadcast(cart.select(F.col("id_product").alias("__in")))
-    own = edges.join(cart, F.col("id_source") == F.col("__in"), "left_semi").join(cart, F.col("id_target") == F.col("__in"), "left_anti")
-    best = catalog.join(cart, F.col("id_product") == F.col("__in"), "left_anti")
-    return _cart(own, best, catalog, sales, limit, least)
+    return _cart(edges, catalog, sales, cart.agg(F.collect_set("id_product")).scalar(), limit, least)
 
 
-def _cart(own: DataFrame, best: DataFrame, catalog: DataFrame, sales: DataFrame, limit: int, least: int) -> DataFrame:
+def _cart(edges: DataFrame, catalog: DataFrame, sales: DataFrame, cart: F.Column, limit: int, least: int) -> DataFrame:
+    inside = lambda c: F.array_contains(cart, F.col(c))
+    own = edges.where(inside("id_source") & ~inside("id_target"))
     own = own.groupBy(F.col("id_target").alias("id_product")).agg(F.sum("score").cast("double").alias("score"), F.sum("n_orders").alias("n_orders"))
     own = _top(own.join(catalog.select("id_product", "name"), "id_product"), limit)
-    few = own.agg((F.count("*") < least).alias("few"))
-    best = best.join(sales, "id_product", "left")
+    best = catalog.where(~inside("id_product")).join(sales, "id_product", "left")
     best = best.select("id_product", F.lit(0.0).alias("score"), F.coalesce("sold", F.lit(0)).alias("n_orders"), "name")
-    best = best.orderBy(F.desc("n_orders"), "id_product").limit(limit)
-    return own.join(F.broadcast(few), ~F.col("few")).drop("few").unionByName(best.join(F.broadcast(few), F.col("few")).drop("few"))
+    return _first_or(own, best.orderBy(F.desc("n_orders"), "id_product").limit(limit), least)

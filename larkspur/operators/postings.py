@@ -128,13 +128,13 @@ def scan(table: DataFrame, asked: DataFrame, test: Test) -> DataFrame:
     return met.where("__asked is not null").select(*table.columns, "__asked.*")
 
 
-def matching(table: DataFrame, asked: DataFrame, test: Test, needs: F.Column, keyed: Callable[[DataFrame], DataFrame], few: bool, index: Index | None = None) -> DataFrame:
+def matching(table: DataFrame, asked: DataFrame, test: Test, needs: F.Column, keyed: Callable[[DataFrame], DataFrame], few: bool, index: Index | None = None, id_col: str = "id_product") -> DataFrame:
     """Rows of ``table`` with each row of ``asked`` (of one query_id each) that passes the test: by a scan
     for few, else by the index (made from ``keyed``, which adds __keys, where none is given). ``needs``:
     the keys of each way to match."""
     if few and index is None:
         return scan(table, asked, test)
-    index = index or Index.build(keyed(table))
+    index = index or Index.build(keyed(table), id_col)
     met = table.join(look_up(index, asked.select("query_id", needs.alias("needs"))), index.id_col)
     met = met.join(asked.select("query_id", F.struct(*asked.columns).alias("__asked")), "query_id").where(test(F.col("__asked")))
     return met.select(*table.columns, "__asked.*")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .postings import matching, term_keys, text_keys
+from .search import is_few
+
 
 def totals(stats: DataFrame) -> DataFrame:
     """(query, n, results) over all shops."""
@@ -32,28 +35,72 @@ def brands(catalog: DataFrame, text: str, limit: int = 3) -> DataFrame:
     return own.orderBy("query").limit(limit)
 
 
+#: Stages of suggestions: the rows that each brings along at most, and with how many rows it is closed.
+POPULAR, RELATED, PRODUCT, BRAND = range(1, 5)
+POOLS = {POPULAR: 5, RELATED: 13, PRODUCT: 5, BRAND: 3}
+STAGES = {POPULAR: "popular", RELATED: "related", PRODUCT: "product", BRAND: "brand"}
+_FULL, _FEW = 8, 5
+
+
+def _pools(stats: DataFrame, catalog: DataFrame, texts: DataFrame, least: int, few: bool) -> DataFrame:
+    """(query_id, step, place, query): what each stage may take, in its order. Either table is read once."""
+    asked = texts.select("query_id", F.lower("text").alias("__text"))
+    needs = F.array(term_keys(F.col("__text")))
+    keyed = lambda name: lambda df: df.withColumn("__keys", text_keys(F.col(name)))
+    said = totals(stats).where((F.col("results") > 0) & (F.col("n") >= least)).withColumn("__low", F.lower("query"))
+    said = matching(said, asked, lambda q: F.contains(F.col("__low"), q["__text"]), needs, keyed("__low"), few, id_col="query")
+    starts = F.startswith("__low", F.col("__text"))
+    place = lambda *by: F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc("n"), "query"))
+    said = said.withColumn("starts", starts).withColumn("p", place("starts")).withColumn("r", place())
+    of = lambda test, step, at: F.when(test & (F.col(at) <= POOLS[step]), F.struct(F.lit(step).alias("step"), F.col(at).alias("place")))
+    said = said.select("query_id", "query", F.explode(F.array_compact(F.array(of(F.col("starts"), POPULAR, "p"), of(F.lit(True), RELATED, "r")))).alias("x")).select("query_id", "x.*", "query")
+
+    names = catalog.select("id_product", "name", "brand", F.lower("name").alias("__name"), F.lower("brand").alias("__brand")).withColumn("__both", F.concat_ws("\n", "__name", "__brand"))
+    test = lambda text: (F.startswith(F.col("__name"), text), F.startswith(F.col("__brand"), text))
+    names = matching(names, asked, lambda q: test(q["__text"])[0] | test(q["__text"])[1], needs, keyed("__both"), few)
+    by_name, by_brand = test(F.col("__text"))
+    one = lambda hit, step, query: F.when(hit, F.struct(F.lit(step).alias("step"), query.alias("query")))
+    both = F.array_compact(F.array(one(by_name, PRODUCT, F.substring_index("name", " ", 3)), one(by_brand, BRAND, F.col("brand"))))
+    names = names.select("query_id", F.explode(both).alias("x")).select("query_id", "x.*").distinct()
+    names = names.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "step").orderBy("query")))
+    within = F.col("place") <= F.when(F.col("step") == PRODUCT, POOLS[PRODUCT]).otherwise(POOLS[BRAND])
+    return said.unionByName(names.where(within))
+
+
+def staged_for(stats: DataFrame, catalog: DataFrame, texts: DataFrame, least: int = 2) -> DataFrame:
+    """(query_id, query, stage, step) for ``texts`` (query_id, text), a few or many: popular queries that
+    start with the text (5); related ones that hold it, up to eight in all; names of products where
+    there are under five, up to five; brands (3) where there are under eight. No stage repeats a term of
+    those before, whatever its case. The stages' rows, at most 26 a text, meet in one array and are
+    folded there: either table is read once, whatever the number of texts. An empty text suits everything
+    (where texts are few)."""
+    rows = _pools(stats, catalog, texts, least, is_few(texts)).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("step", "place", "query"))).alias("rows"))
+
+    def of(step: int) -> F.Column:
+        return F.transform(F.filter("rows", lambda r: r["step"] == step), lambda r: F.struct(r["query"].alias("query"), F.lit(step).alias("step")))
+
+    def fresh(pool: F.Column) -> F.Column:
+        return F.filter(pool, lambda r: ~F.array_contains(F.col("known"), F.lower(r["query"])))
+
+    def room(below: int) -> F.Column:
+        return F.greatest(F.lit(below) - F.size("done"), F.lit(0))
+
+    def then(df: DataFrame, more: F.Column) -> DataFrame:
+        df = df.withColumn("done", F.concat("done", more))
+        return df.withColumn("known", F.transform("done", lambda r: F.lower(r["query"])))
+
+    own = then(rows.withColumn("done", F.slice(of(POPULAR), 1, 0)), of(POPULAR))
+    own = then(own, F.slice(fresh(of(RELATED)), F.lit(1), room(_FULL)))
+    own = then(own, fresh(F.slice(of(PRODUCT), F.lit(1), room(_FEW))))
+    own = then(own, F.when(F.size("done") < _FULL, fresh(of(BRAND))).otherwise(F.slice("done", 1, 0)))
+    named = F.create_map(*(F.lit(x) for pair in STAGES.items() for x in pair))
+    return own.select("query_id", F.explode("done").alias("x")).select("query_id", "x.query", F.element_at(named, F.col("x.step")).alias("stage"), "x.step")
+
+
 def staged(stats: DataFrame, catalog: DataFrame, text: str) -> DataFrame:
-    """Suggestions of up to four stages, as (query, stage, step): popular queries that start with the
-    text (5); related ones that hold it, up to eight in all; names of products where there are under
-    five, up to five; brands (3) where there are under eight. No stage repeats a term, whatever its case.
-    Each stage sees how many the stages before gave; one plan, no counts on the driver."""
-    done = popular(stats, text).select("query", F.lit("popular").alias("stage"), F.lit(1).alias("step"))
-
-    def add(stage: str, step: int, pool: DataFrame, *order, below: int, upto: int | None, before: bool) -> DataFrame:
-        """``before``: whether repeats go before the stage's own limit or after it."""
-        n = done.agg(F.count("*").alias("have"))
-        known = done.select(F.lower("query").alias("__known"))
-        rest = lambda df: df.join(F.broadcast(known), F.lower("query") == F.col("__known"), "left_anti")  # noqa: E731  # at most eight rows
-        rows = (rest(pool) if before else pool).join(F.broadcast(n)).where(F.col("have") < below)
-        if upto:  # a pool has at most 13 rows
-            place = F.row_number().over(Window.partitionBy("have").orderBy(*order))
-            rows = rows.withColumn("place", place).where(F.col("place") <= F.lit(upto) - F.col("have"))
-        rows = (rows if before else rest(rows)).select("query", F.lit(stage).alias("stage"), F.lit(step).alias("step"))
-        return done.unionByName(rows)
-
-    done = add("related", 2, related(stats, text, 13), F.desc("n"), "query", below=8, upto=8, before=True)
-    done = add("product", 3, product_names(catalog, text), "query", below=5, upto=5, before=False)
-    return add("brand", 4, brands(catalog, text), below=8, upto=None, before=False)
+    """``staged_for`` one text: (query, stage, step)."""
+    one = catalog.sparkSession.range(1).select(F.lit(1).alias("query_id"), F.lit(text).alias("text"))
+    return staged_for(stats, catalog, one).drop("query_id")
 
 
 def did_you_mean_popular(stats: DataFrame, text: str, limit: int = 3, pool: int = 200, least: int = 3) -> DataFrame:

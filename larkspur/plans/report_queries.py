@@ -64,7 +64,7 @@ _ITEM = "(SELECT min(id_source) FROM edges)"
 @query("recs_item", with_views(f"SELECT id_product, score, n_orders, name FROM (SELECT id_target AS id_product, score, n_orders FROM edges WHERE id_source = {_ITEM}) JOIN catalog USING (id_product) ORDER BY score DESC, n_orders DESC, id_product LIMIT 8", "edges", "catalog"))
 def recs_item(spark, sf):
     own = edges(spark, sf)
-    return baskets.for_item(own, shop.catalog(spark, sf), own.agg(F.min("id_source")).first()[0])
+    return baskets.for_item(own, shop.catalog(spark, sf), own.agg(F.min("id_source")).scalar())
 
 
 @query("recs_fallback_category", with_views("SELECT id_product, CAST(0 AS DECIMAL(5, 4)) AS score, CAST(0 AS BIGINT) AS n_orders, name FROM catalog WHERE id_product <> 10 AND id_category = (SELECT id_category FROM catalog WHERE id_product = 10) ORDER BY md5(CAST(id_product AS VARCHAR)), id_product LIMIT 8", "catalog"))
@@ -230,8 +230,9 @@ STARTS = ["bl", "q1", "q98", "7", "Brand#1", "co"]
 
 @query("suggest_staged", with_views(" UNION ALL ".join(f"SELECT * FROM ({_staged_sql(t)})" for t in STARTS), "totals", "catalog"))
 def suggest_staged(spark, sf):
-    parts = [suggest.staged(stats(spark, sf), shop.catalog(spark, sf), t).select(F.lit(t).alias("text"), "query", "stage") for t in STARTS]
-    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+    texts = shop.literal(spark, list(enumerate(STARTS)), "query_id bigint, text string")
+    found = suggest.staged_for(stats(spark, sf), shop.catalog(spark, sf), texts)
+    return found.join(F.broadcast(texts), "query_id").select("text", "query", "stage")
 
 
 _LIKE = "levenshtein(query, 'q101')"
