@@ -69,6 +69,11 @@ def conversion_rows(events: DataFrame) -> DataFrame:
     return own.select("order_id", "shop_id", "session_id", "timestamp", query, F.inline_outer("products"))
 
 
+def session_key(start: F.Column, visitor: F.Column) -> F.Column:
+    """The id of a session: the time it starts and the visitor."""
+    return F.concat(F.lit("ss_"), F.unix_millis(start.cast("timestamp")).cast("string"), F.lit("_"), F.substring(F.md5(visitor.cast("string")), 1, 9))
+
+
 def with_sessions(visits: DataFrame, gap: str = "1 day") -> DataFrame:
     """Adds session_id to (visitor, ts, event_id): a visitor keeps a session until a pause longer than
     ``gap``; its id is made of the time it starts and the visitor."""
@@ -76,8 +81,7 @@ def with_sessions(visits: DataFrame, gap: str = "1 day") -> DataFrame:
     fresh = F.coalesce(F.col("ts") > F.lag("ts").over(order) + F.expr(f"interval {gap}"), F.lit(True))
     numbered = visits.withColumn("__n", F.sum(fresh.cast("int")).over(order))
     start = F.min("ts").over(Window.partitionBy("visitor", "__n"))
-    own = F.concat(F.lit("ss_"), F.unix_millis(start.cast("timestamp")).cast("string"), F.lit("_"), F.substring(F.md5(F.col("visitor").cast("string")), 1, 9))
-    return numbered.withColumn("session_id", own).drop("__n")
+    return numbered.withColumn("session_id", session_key(start, F.col("visitor"))).drop("__n")
 
 
 def last_searches(events: DataFrame, keep: int = 10, expiry_days: int | None = None, as_of: F.Column | None = None) -> DataFrame:
@@ -121,6 +125,17 @@ def attributed(conversions: DataFrame, clicks: DataFrame, keep: int = 20) -> Dat
     return rows.select("event_id", "session_id", "id_product", "amount", F.col("first.query").alias("source_query"), F.col("first.position").alias("source_position"), F.col("first").isNotNull().alias("attributed"))
 
 
+def attributed_within(conversions: DataFrame, clicks: DataFrame, lookback: str = "7 days") -> DataFrame:
+    """Conversions with the session's earliest click on the same product within ``lookback`` before them,
+    by an equi-join whose range is tested row by row; ties by event_id."""
+    seen = clicks.select(F.col("session_id").alias("s"), F.col("id_product").alias("p"), F.struct(F.col("ts").alias("at"), "event_id", "query", "position").alias("click"))
+    bought = conversions.select("event_id", "session_id", "id_product", "amount", "ts")
+    within = (F.col("click.at") <= F.col("ts")) & (F.col("click.at") >= F.col("ts") - F.expr(f"interval {lookback}"))
+    rows = bought.join(seen, (F.col("session_id") == F.col("s")) & (F.col("id_product") == F.col("p")) & within, "left")
+    each = rows.groupBy("event_id", "session_id", "id_product", "amount", "ts").agg(F.min("click").alias("first"))
+    return each.select("event_id", "session_id", "id_product", "amount", F.col("first.query").alias("source_query"), F.col("first.position").alias("source_position"), F.col("first").isNotNull().alias("attributed"))
+
+
 def attribution_totals(rows: DataFrame) -> DataFrame:
     hits = F.count(F.when(F.col("attributed"), 1))
     rate = F.round((hits * 100).cast("decimal(20,6)") / F.nullif(F.count("*"), F.lit(0)).cast("decimal(20,0)"), 2).cast("double")
