@@ -1,4 +1,5 @@
-"""Where results go: versioned tables with key replacement, and HTTP posts behind a callable."""
+"""Where results go: tables with key replacement (by versions, or by buckets of which only the
+changed ones are rewritten), appended tables, and HTTP posts behind a callable."""
 
 from __future__ import annotations
 
@@ -31,6 +32,59 @@ def upsert_table(new: DataFrame, path: str, keys: list[str]) -> int:
     return version + 1
 
 
+#: Buckets of a table; each should be a file or a few. Fixed by the first write: it names the folders.
+BUCKETS = 64
+_BATCH = "last_batch"
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a bucketed table (none yet: None)."""
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    return table.drop(_BATCH, *(c for c in table.columns if c.startswith("bucket_of_")))
+
+
+def upsert_buckets(new: DataFrame, path: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None, batch_id: int | None = None, buckets: int = BUCKETS) -> list[int]:
+    """Bring ``new`` into a table of hash buckets and give the buckets that were rewritten: those with
+    keys of ``new``, no others, are read and written. ``merge`` (old, new) makes a bucket's rows of what
+    it holds and what comes; by default new rows replace those of their key. It may not leave a bucket
+    without rows, as those that have none are not overwritten: mark rows that go.
+
+    With ``batch_id`` (growing, as a stream gives it) every bucket knows the last batch it took in. One
+    that is replayed, after a failure that left some buckets written, goes only into the others: so merges
+    that add up count once. One writer at a time; ``new`` is read twice."""
+    spark, bucket = new.sparkSession, f"bucket_of_{buckets}"
+    rows = new.withColumn(bucket, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = {r[0] for r in rows.select(bucket).distinct().collect()}  # at most as many as buckets
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException:
+        table = None
+    if table is not None and bucket not in table.columns:
+        raise ValueError(f"{path} is not a table of {buckets} buckets")
+    if table is not None:
+        table = table.where(F.col(bucket).isin(list(touched)))
+        if batch_id is not None:
+            touched -= {r[0] for r in table.groupBy(bucket).agg(F.max(_BATCH).alias("b")).where(F.col("b") >= batch_id).collect()}
+            table = table.where(F.col(bucket).isin(list(touched)))
+    if not touched:
+        return []
+    own = rows.where(F.col(bucket).isin(list(touched))).drop(bucket)
+    last = F.lit(batch_id).cast("long")
+    if table is None:
+        done = own if merge is None else merge(own.limit(0), own)
+    else:
+        old = table.drop(bucket, _BATCH)
+        done = (merge or (lambda a, b: upsert(a, b, keys)))(old, own.select(*old.columns))
+        if batch_id is None:
+            last = F.lit(table.agg(F.max(_BATCH)).first()[0]).cast("long")
+    out = done.withColumn(bucket, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withColumn(_BATCH, last)
+    out.repartition(bucket).write.partitionBy(bucket).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    return sorted(touched)
+
+
 def append(rows: DataFrame, path: str, *partition_by: str) -> None:
     rows.write.mode("append").partitionBy(*partition_by).parquet(path)
 
