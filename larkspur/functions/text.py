@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 # Plural and gender endings, each with what may stand in its place.
@@ -145,81 +144,51 @@ def highlight(text: F.Column, words: list[str]) -> F.Column:
     return out
 
 
+#: What a word's beginning is read as.
+BEGINNINGS = {"KN": "N", "GN": "N", "PN": "N", "AE": "E", "WR": "R", "X": "S", "WH": "W"}
+
+
 def metaphone(word: F.Column) -> F.Column:
-    """Phonetic key (an Arrow UDF: Spark has none): consonant classes, vowels only at the start."""
-
-    @F.pandas_udf("string")
-    def run(words: pd.Series) -> pd.Series:
-        return words.map(_metaphone)
-
-    return run(word)
-
-
-def _metaphone(word: str | None) -> str | None:
-    if word is None:
-        return None
-    s = "".join(c for c in word.upper() if "A" <= c <= "Z")
-    for start, to in (("KN", "N"), ("GN", "N"), ("PN", "N"), ("AE", "E"), ("WR", "R"), ("X", "S"), ("WH", "W")):
-        if s.startswith(start):
-            s = to + s[len(start) :]
-            break
-    out, i = "", 0
-    while i < len(s):
-        c, after, before = s[i], s[i + 1 : i + 2], s[i - 1 : i] if i else ""
-        if c == before and c != "C":
-            i += 1
-            continue
-        if c in "AEIOU":
-            out += c if i == 0 else ""
-        elif c == "B":
-            out += "" if before == "M" and not after else "B"
-        elif c == "C":
-            if s[i : i + 3] == "CIA" or after == "H":
-                out += "X"
-                i += after == "H"
-            else:
-                out += "S" if after and after in "IEY" else "K"
-        elif c == "D":
-            out += "J" if after == "G" and s[i + 2 : i + 3] in ("E", "Y", "I") else "T"
-        elif c == "G":
-            if after == "H" and s[i + 2 : i + 3] not in ("A", "E", "I", "O", "U", ""):
-                pass
-            elif after == "N" and i + 2 >= len(s):
-                pass
-            else:
-                out += "J" if after and after in "IEY" and before != "G" else "K"
-        elif c == "H":
-            out += "H" if after and after in "AEIOU" and before not in tuple("CSPTG") else ""
-        elif c == "K":
-            out += "" if before == "C" else "K"
-        elif c == "P":
-            out += "F" if after == "H" else "P"
-            i += after == "H"
-        elif c == "Q":
-            out += "K"
-        elif c == "S":
-            if after == "H" or s[i : i + 3] in ("SIO", "SIA"):
-                out += "X"
-                i += after == "H"
-            else:
-                out += "S"
-        elif c == "T":
-            if s[i : i + 3] in ("TIA", "TIO"):
-                out += "X"
-            elif after == "H":
-                out += "0"
-                i += 1
-            elif s[i : i + 3] != "TCH":
-                out += "T"
-        elif c == "V":
-            out += "F"
-        elif c in "WY":
-            out += c if after and after in "AEIOU" else ""
-        elif c == "X":
-            out += "KS"
-        elif c == "Z":
-            out += "S"
-        else:
-            out += c
-        i += 1
-    return out
+    """Phonetic key: consonant classes, vowels only at the start. Each letter is read with its neighbours
+    alone (an H behind C, P, S or T is silent by its own rule), so a word is one pass."""
+    letters = F.regexp_replace(F.upper(word), "[^A-Z]", "")
+    start = letters
+    for begin, to in reversed(BEGINNINGS.items()):
+        start = F.when(letters.startswith(begin), F.concat(F.lit(to), F.substring(letters, F.lit(len(begin) + 1), F.length(letters)))).otherwise(start)
+    # beside each letter: the one before and the two behind
+    own = F.split(start, "")
+    none = F.lit("")
+    behind = lambda by: F.slice(own, F.lit(by + 1), F.greatest(F.size(own) - by, F.lit(0)))
+    near = F.zip_with(F.zip_with(own, behind(1), lambda c, d: F.struct(c.alias("c"), F.coalesce(d, none).alias("d"))), behind(2), lambda x, e: F.struct(x["c"].alias("c"), x["d"].alias("d"), F.coalesce(e, none).alias("e")))
+    near = F.zip_with(near, F.concat(F.array(none), own), lambda x, b: F.struct(F.coalesce(x["c"], none).alias("c"), x["d"].alias("d"), x["e"].alias("e"), b.alias("b")))
+    return F.when(word.isNotNull(), F.array_join(F.transform(near, lambda x, i: _sound(x["c"], x["d"], x["e"], x["b"], i)), ""))
+
+
+def _sound(c: F.Column, after: F.Column, then: F.Column, before: F.Column, at: F.Column) -> F.Column:
+    """What a letter sounds like between its neighbours ('' beyond the word)."""
+    vowel = after.isin(*"AEIOU")
+    soft = after.isin(*"IEY")
+    pair = F.concat(after, then)
+    if_ = lambda test, yes, no: F.when(test, F.lit(yes)).otherwise(F.lit(no) if isinstance(no, str) else no)
+    silent_g = ((after == "H") & ~then.isin(*"AEIOU", "")) | ((after == "N") & (then == ""))
+    sounds = {
+        "B": if_((before == "M") & (after == ""), "", "B"),
+        "C": if_((pair == "IA") | (after == "H"), "X", if_(soft, "S", "K")),
+        "D": if_((after == "G") & then.isin(*"EYI"), "J", "T"),
+        "G": if_(silent_g, "", if_(soft & (before != "G"), "J", "K")),
+        "H": if_(vowel & ~before.isin(*"CSPTG"), "H", ""),
+        "K": if_(before == "C", "", "K"),
+        "P": if_(after == "H", "F", "P"),
+        "Q": F.lit("K"),
+        "S": if_((after == "H") | pair.isin("IO", "IA"), "X", "S"),
+        "T": if_(pair.isin("IA", "IO"), "X", if_(after == "H", "0", if_(pair == "CH", "", "T"))),
+        "V": F.lit("F"),
+        "W": if_(vowel, "W", ""),
+        "Y": if_(vowel, "Y", ""),
+        "X": F.lit("KS"),
+        "Z": F.lit("S"),
+    }
+    out = F.when((c == before) & (c != "C"), F.lit("")).when(c.isin(*"AEIOU"), F.when(at == 0, c).otherwise(F.lit("")))
+    for letter, sound in sounds.items():
+        out = out.when(c == letter, sound)
+    return out.otherwise(c)

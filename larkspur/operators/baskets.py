@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .postings import scan
+
 EDGE_CAP = 10_000
 
 
@@ -25,6 +27,38 @@ def basket_pairs(lines: DataFrame, *more: str) -> DataFrame:
     return each.select(*more, "a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("b"))
 
 
+def daily_pairs(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """(day, a, b, n) of valid orders: what a sliding window is made of. A day's rows don't change once
+    its orders are in, so they are stored by day and never counted again."""
+    own = heads.where("valid").select("id_order", F.to_date("date_add").alias("day"))
+    return basket_pairs(lines.join(own, "id_order"), "day").groupBy("day", "a", "b").agg(F.count("*").alias("n"))
+
+
+def sliding_counts(daily: DataFrame, days_back: int = 180) -> DataFrame:
+    """(a, b, day, until, n_orders): the count of each pair over the ``days_back`` days that end at any day
+    from ``day`` to before ``until``. A day's pairs are added when they come and taken away when the
+    window has moved past them; the running sum of a pair is all there is to it."""
+    ends = F.array(F.struct(F.col("day").alias("day"), F.col("n").alias("n")), F.struct(F.date_add("day", days_back).alias("day"), (-F.col("n")).alias("n")))
+    changes = daily.select("a", "b", F.explode(ends).alias("x")).groupBy("a", "b", F.col("x.day").alias("day")).agg(F.sum("x.n").alias("change")).where("change <> 0")
+    order = Window.partitionBy("a", "b").orderBy("day")
+    running = changes.withColumn("n_orders", F.sum("change").over(order)).withColumn("until", F.lead("day").over(order))
+    return running.where("n_orders > 0").select("a", "b", "day", "until", "n_orders")
+
+
+def counts_on(sliding: DataFrame, days: DataFrame, min_support: int = 2) -> DataFrame:
+    """(day, a, b, n_orders) of the windows that end on some stated ``days`` (day)."""
+    spans = sliding.where(F.col("n_orders") >= min_support).withColumnRenamed("day", "since")
+    return scan(spans, days, lambda q: (F.col("since") <= q["day"]) & (F.col("until") > q["day"])).select("day", "a", "b", "n_orders")
+
+
+def advance(counts: DataFrame, daily: DataFrame, day: str, days_back: int = 180) -> DataFrame:
+    """(a, b, n_orders) of the window that ends on ``day``, from that of the day before: only two days
+    of pairs are read."""
+    came = daily.where(F.col("day") == F.to_date(F.lit(day))).select("a", "b", F.col("n").alias("n_orders"))
+    left = daily.where(F.col("day") == F.date_sub(F.to_date(F.lit(day)), days_back)).select("a", "b", (-F.col("n")).alias("n_orders"))
+    return counts.unionByName(came).unionByName(left).groupBy("a", "b").agg(F.sum("n_orders").alias("n_orders")).where("n_orders > 0")
+
+
 def correlations(pairs: DataFrame) -> DataFrame:
     """Both directions with the count over the largest count, four decimals. ``pairs`` (capped, as
     ``pair_counts`` gives them) are read once for the edges and, where the plan is not shared, once for

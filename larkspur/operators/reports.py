@@ -19,9 +19,11 @@ def query_stats(events: DataFrame, by_language: bool = False) -> DataFrame:
 
 
 def merge_stats(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored statistics with a later batch: counts add up, the last result count wins."""
+    """Stored statistics with a later batch: counts add up, the last result count wins. Statistics by
+    language (both have id_lang) stay so."""
+    keys = [*STAT_KEYS, *["id_lang"] * ("id_lang" in old.columns)]
     both = old.unionByName(new)
-    return both.groupBy(*STAT_KEYS).agg(
+    return both.groupBy(*keys).agg(
         F.sum("search_count").alias("search_count"), F.max_by("results_count", "last_search").alias("results_count"),
         F.max("last_search").alias("last_search"), F.min("date_add").alias("date_add"),
     )

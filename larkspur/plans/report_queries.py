@@ -36,6 +36,20 @@ def edges(spark, sf):
 
 
 query("pair_counts", with_views("SELECT * FROM pairs", "pairs"))(pairs)
+_SPAN = 365
+_DAY = f"DATE '{shop.CATALOG_AS_OF[:10]}' - CAST(k AS INTEGER)"
+
+
+@query("pairs_sliding", with_views(f"""SELECT day, a.l_partkey AS a, b.l_partkey AS b, count(DISTINCT a.l_orderkey) AS n_orders FROM (SELECT CAST({_DAY} AS DATE) AS day FROM unnest(range(30)) AS g(k)) d
+  JOIN orders ON CAST(o_orderdate AS DATE) <= day AND CAST(o_orderdate AS DATE) > day - {_SPAN} AND o_orderstatus IN ('F', 'O') JOIN lineitem a ON a.l_orderkey = o_orderkey JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
+  GROUP BY 1, 2, 3 HAVING count(DISTINCT a.l_orderkey) >= 2"""))
+def pairs_sliding(spark, sf):
+    """Co-purchases over the year that ends on each of thirty days, from one count of each day's pairs."""
+    days = spark.range(30).select(F.date_sub(F.to_date(F.lit(shop.CATALOG_AS_OF)), F.col("id").cast("int")).alias("day"))
+    daily = baskets.daily_pairs(shop.order_lines(spark, sf), shop.order_heads(spark, sf))
+    return baskets.counts_on(baskets.sliding_counts(daily, _SPAN), days)
+
+
 query("correlations", with_views("SELECT * FROM edges", "edges"))(edges)
 
 
@@ -116,6 +130,14 @@ def query_stats_merged(spark, sf):
     return reports.merge_stats(reports.query_stats(ev.where(F.col("ts") < cut)), reports.query_stats(ev.where(F.col("ts") >= cut)))
 
 
+@query("query_stats_merged_by_language", ORACLES["query_stats_by_language"])
+def query_stats_merged_by_language(spark, sf):
+    ev = shop.behaviour(spark, sf)
+    cut = F.expr("timestamp_ntz'2024-01-15 00:00:00'")
+    parts = [reports.query_stats(ev.where(test), by_language=True) for test in (F.col("ts") < cut, F.col("ts") >= cut)]
+    return reports.merge_stats(*parts)
+
+
 @query("top_searches", with_views("SELECT query, id_shop, search_count, results_count FROM stats ORDER BY search_count DESC, query, id_shop LIMIT 20", "stats"))
 def top_searches(spark, sf):
     return reports.top_searches(stats(spark, sf))
@@ -371,6 +393,47 @@ def attribution(spark, sf):
 query("attribution", with_views(_FIRST, "conv", "clicks"))(attribution)
 
 
+@query("attribution_within", with_views("""SELECT c.event_id, c.session_id, c.id_product, c.amount, h.query AS source_query, h.position AS source_position, h.event_id IS NOT NULL AS attributed FROM conv c LEFT JOIN clicks h
+  ON h.session_id = c.session_id AND h.id_product = c.id_product AND h.ts <= c.ts AND h.ts >= c.ts - INTERVAL 7 DAYS QUALIFY row_number() OVER (PARTITION BY c.event_id ORDER BY h.ts, h.event_id) = 1""", "conv", "clicks"))
+def attribution_within(spark, sf):
+    return events.attributed_within(conversions(spark, sf), clicks(spark, sf))
+
+
+def sold_lines(spark, sf):
+    """Each order as the JSON text of a conversion, with its lines; every third order names no query itself."""
+    line = F.struct(F.col("l_partkey").alias("product_id"), F.concat(F.lit("<i>p</i>"), F.col("l_partkey")).alias("product_name"), F.col("l_quantity").cast("int").alias("quantity"), F.col("l_extendedprice").alias("price"))
+    own = shop.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("lines"))
+    query = F.when(F.col("l_orderkey") % 3 > 0, F.concat(F.lit("q"), F.col("l_orderkey") % 7))
+    body = F.struct(F.lit("conversion").alias("event_type"), F.col("l_orderkey").alias("order_id"), F.concat(F.lit("s"), F.col("l_orderkey") % 50).alias("session_id"), query.alias("query"), F.lit("last<br>").alias("last_search_query"), F.transform("lines", lambda x: x["line"]).alias("products"))
+    return own.select(F.to_json(body).alias("value"))
+
+
+@query("conversion_rows", "SELECT l_orderkey AS order_id, 's' || (l_orderkey % 50) AS session_id, CASE WHEN l_orderkey % 3 > 0 THEN 'q' || (l_orderkey % 7) ELSE 'last' END AS query, l_partkey AS product_id, 'p' || l_partkey AS product_name, CAST(trunc(l_quantity) AS INTEGER) AS quantity FROM lineitem")
+def conversion_rows(spark, sf):
+    """A row for each product of each conversion, cleaned; without a query the last searched one counts."""
+    own = events.conversion_rows(events.sanitize(events.parse(sold_lines(spark, sf))))
+    return own.select("order_id", "session_id", "query", "product_id", "product_name", "quantity")
+
+
+@query("sanitize_nested", """SELECT o_custkey AS id, least(count(*), 100) AS n_items, CAST(sum(CASE WHEN r <= 100 THEN length('o' || o_orderkey) ELSE 0 END) AS BIGINT) AS n_chars, 1 AS n_keys, 0 AS n_deep
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) GROUP BY 1""")
+def sanitize_nested(spark, sf):
+    """Arrays are cut to 100 items, texts lose their tags, keys what isn't a letter, digit or _ (too long and
+    empty ones go), and nothing is left below the fifth level."""
+    items = F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit("<b>o</b>"), k))
+    deep = F.lit(1)
+    for _ in range(7):
+        deep = F.array(deep)
+    keys = F.create_map(F.lit("a-b c"), F.lit("x"), F.lit("!!"), F.lit("y"), F.lit("k" * 51), F.lit("z"))
+    own = shop.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(items.alias("items"), F.first(deep).alias("deep"), F.first(keys).alias("named"))
+    safe = events.sanitize(own)
+    level = F.col("deep")
+    for _ in range(5):
+        level = level[0]
+    n_keys = F.size(F.filter(F.map_keys("named"), lambda k: k == "abc")) + F.size("named") - 1
+    return safe.select("id", F.size("items").cast("long").alias("n_items"), F.length(F.array_join("items", "")).cast("long").alias("n_chars"), n_keys.alias("n_keys"), F.size(level).alias("n_deep"))
+
+
 @query("attribution_rate", with_views(f"SELECT count(*) AS n_lines, count(*) FILTER (WHERE attributed) AS n_attributed, CAST(coalesce(sum(amount) FILTER (WHERE attributed), 0) AS DOUBLE) AS revenue, CAST(round(CAST(count(*) FILTER (WHERE attributed) * 100 AS DECIMAL(20, 6)) / count(*), 2) AS DOUBLE) AS rate FROM ({_FIRST})", "conv", "clicks"))
 def attribution_rate(spark, sf):
     return events.attribution_totals(attribution(spark, sf))

@@ -468,7 +468,21 @@ def phonetic_sounds(spark, sf):
     return words.select("word", F.soundex("word").alias("sound"))
 
 
-@query("phonetic_keys")
+def _metaphone_sql(word: str) -> str:
+    """Letters with their neighbours, as text functions of the word and a place."""
+    s = f"(CASE WHEN regexp_matches({word}, '^(KN|GN|PN|AE|WR|WH)') THEN CASE left({word}, 2) WHEN 'AE' THEN 'E' WHEN 'WR' THEN 'R' WHEN 'WH' THEN 'W' ELSE 'N' END || substr({word}, 3) WHEN starts_with({word}, 'X') THEN 'S' || substr({word}, 2) ELSE {word} END)"
+    c, d, e, b = f"substr({s}, i, 1)", f"substr({s}, i + 1, 1)", f"substr({s}, i + 2, 1)", f"CASE WHEN i > 1 THEN substr({s}, i - 1, 1) ELSE '' END"
+    two, soft, vowel = f"substr({s}, i + 1, 2)", f"{d} IN ('I', 'E', 'Y')", f"{d} IN ('A', 'E', 'I', 'O', 'U')"
+    return f"""array_to_string(list_transform(range(1, length({s}) + 1), lambda i: CASE WHEN {c} = ({b}) AND {c} <> 'C' THEN '' WHEN {c} IN ('A', 'E', 'I', 'O', 'U') THEN CASE WHEN i = 1 THEN {c} ELSE '' END ELSE CASE {c}
+    WHEN 'B' THEN CASE WHEN ({b}) = 'M' AND {d} = '' THEN '' ELSE 'B' END WHEN 'C' THEN CASE WHEN {two} = 'IA' OR {d} = 'H' THEN 'X' WHEN {soft} THEN 'S' ELSE 'K' END
+    WHEN 'D' THEN CASE WHEN {two} IN ('GE', 'GY', 'GI') THEN 'J' ELSE 'T' END
+    WHEN 'G' THEN CASE WHEN {d} = 'H' AND {e} NOT IN ('A', 'E', 'I', 'O', 'U', '') OR {two} = 'N' THEN '' WHEN {soft} AND ({b}) <> 'G' THEN 'J' ELSE 'K' END
+    WHEN 'H' THEN CASE WHEN {vowel} AND ({b}) NOT IN ('C', 'S', 'P', 'T', 'G') THEN 'H' ELSE '' END WHEN 'K' THEN CASE WHEN ({b}) = 'C' THEN '' ELSE 'K' END WHEN 'P' THEN CASE WHEN {d} = 'H' THEN 'F' ELSE 'P' END
+    WHEN 'Q' THEN 'K' WHEN 'S' THEN CASE WHEN {d} = 'H' OR {two} IN ('IO', 'IA') THEN 'X' ELSE 'S' END WHEN 'T' THEN CASE WHEN {two} IN ('IA', 'IO') THEN 'X' WHEN {d} = 'H' THEN '0' WHEN {two} = 'CH' THEN '' ELSE 'T' END
+    WHEN 'V' THEN 'F' WHEN 'W' THEN CASE WHEN {vowel} THEN 'W' ELSE '' END WHEN 'Y' THEN CASE WHEN {vowel} THEN 'Y' ELSE '' END WHEN 'X' THEN 'KS' WHEN 'Z' THEN 'S' ELSE {c} END END), '')"""
+
+
+@query("phonetic_keys", with_views(f"SELECT word, {soundex_sql('word')} AS sound, {_metaphone_sql('w')} AS metaphone FROM (SELECT DISTINCT word, regexp_replace(upper(word), '[^A-Z]', '', 'g') AS w FROM (SELECT unnest(string_split(name, ' ')) AS word FROM catalog))", "catalog"))
 def phonetic_keys(spark, sf):
     names = shop.catalog(spark, sf).select(F.explode(F.split("name", " ")).alias("word")).distinct()
     return names.select("word", F.soundex("word").alias("sound"), X.metaphone(F.col("word")).alias("metaphone"))

@@ -113,3 +113,38 @@ def test_filters_stand_before_the_cap(spark, sf):
     asked = shop.literal(spark, [(1, "cold")], "query_id bigint, query string")
     found = search.search(cat, asked, Q.boosts(spark), shop.ntz(Q.AS_OF), search.Filters(brands=(1,)), inject=False)
     assert {r.id_product for r in found.where(~F.col("injected")).collect()} == set(range(1000, 1100))
+
+
+def test_sliding_window_is_a_recount_on_each_day(spark):
+    """Thirty days moved one by one, and all of them at once."""
+    import random
+
+    rng = random.Random(8)
+    first = datetime.date(2001, 1, 1)
+    orders = [(k, True if k % 9 else False, datetime.datetime.combine(first + datetime.timedelta(days=rng.randrange(60)), datetime.time(rng.randrange(24)))) for k in range(300)]
+    lines = [(k, rng.randrange(9)) for k, _, _ in orders for _ in range(rng.randint(1, 4))]
+    line_rows, head_rows = spark.createDataFrame(lines, "id_order int, id_product int"), spark.createDataFrame(orders, "id_order int, valid boolean, date_add timestamp_ntz")
+    daily = baskets.daily_pairs(line_rows, head_rows).cache()
+    days = [first + datetime.timedelta(days=30 + k) for k in range(30)]
+    at_once = {}
+    for r in baskets.counts_on(baskets.sliding_counts(daily, 20), spark.createDataFrame([(d,) for d in days], "day date"), 1).collect():
+        at_once.setdefault(r.day, {})[r.a, r.b] = r.n_orders
+
+    def recount(day):
+        items, out = {}, {}
+        for k, p in lines:
+            items.setdefault(k, set()).add(p)
+        for k, valid, at in orders:
+            if valid and day - datetime.timedelta(days=20) < at.date() <= day:
+                for a in items[k]:
+                    for b in items[k]:
+                        if a < b:
+                            out[a, b] = out.get((a, b), 0) + 1
+        return out
+
+    counts = daily.where(F.col("day") == "1999-01-01").select("a", "b", F.col("n").alias("n_orders"))
+    for k in range(30 + 30):
+        day = first + datetime.timedelta(days=k)
+        counts = spark.createDataFrame(baskets.advance(counts, daily, str(day), 20).toArrow(), "a int, b int, n_orders long")
+        if day in days:
+            assert {(r.a, r.b): r.n_orders for r in counts.collect()} == recount(day) == at_once[day]
