@@ -380,6 +380,11 @@ def page(ranked: DataFrame, offset: int, limit: int = 24) -> DataFrame:
     return own.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
 
 
+def accumulated(ranked: DataFrame, pages: int, limit: int = 24) -> DataFrame:
+    """Rows of the first pages, as a reader who scrolls has loaded them."""
+    return ranked.where(F.col("rank") <= pages * max(10, min(50, limit)))
+
+
 SORTS = {
     "price_asc": lambda: [F.asc("price"), F.asc("id_product")],
     "price_desc": lambda: [F.desc("price"), F.asc("id_product")],

@@ -734,9 +734,8 @@ def no_results_page(spark, sf):
 
 @query("pages_accumulated", with_views(f"SELECT id_product, CAST(row_number() OVER (ORDER BY relevance DESC, name, id_product) AS INTEGER) AS rank FROM ({_candidates_sql('cold widget')}) QUALIFY rank <= 72", "catalog", "sales"))
 def pages_accumulated(spark, sf):
-    found = search.final_order(_scored(spark, sf, "cold widget").withColumn("boost", F.lit(1.0))).persist()  # at most 200 rows a query
-    pages = [search.page(found, offset, 24) for offset in (0, 24, 48)]
-    return pages[0].unionByName(pages[1]).unionByName(pages[2]).select("id_product", "rank")
+    found = search.final_order(_scored(spark, sf, "cold widget").withColumn("boost", F.lit(1.0)))
+    return search.accumulated(found, 3, 24).select("id_product", "rank")
 
 
 @query("recommendation_cards", with_views("SELECT id_product, name, brand, CAST(round(CAST(price_incl AS DECIMAL(20, 6)), 2) AS DOUBLE) AS price_shown, stock > 0 AS in_stock FROM catalog WHERE id_product <> 10 AND id_category = (SELECT id_category FROM catalog WHERE id_product = 10) ORDER BY md5(CAST(id_product AS VARCHAR)), id_product LIMIT 8", "catalog"))
@@ -752,7 +751,13 @@ def banner_list(spark, sf):
     return banners(spark).select("id", "position", F.row_number().over(order).alias("place"))
 
 
-@query("search_envelope")
+@query("search_envelope", with_views(f"""SELECT CAST(to_json({{
+  'products': (SELECT list({{'rank': rank, 'id_product': id_product, 'name': name, 'relevance': relevance, 'has_more': n > 24}} ORDER BY rank) FROM
+    (SELECT *, count(*) OVER () AS n FROM (SELECT *, CAST(row_number() OVER (ORDER BY relevance DESC, name, id_product) AS INTEGER) AS rank FROM ({_candidates_sql('cold widget')}) QUALIFY rank <= 200)) WHERE rank <= 24),
+  'categories': (SELECT list({{'id_category': id_category, 'category': category}} ORDER BY id_category) FROM (SELECT DISTINCT id_category, category FROM catalog WHERE contains(lower(category), 'm') ORDER BY category LIMIT 5)),
+  'banners': [{{'place': 1, 'id': 1, 'name': 'always'}}, {{'place': 1, 'id': 5, 'name': 'later'}}, {{'place': 2, 'id': 2, 'name': 'cold'}}],
+  'did_you_mean': (SELECT list({{'query': q, 'step': q}} ORDER BY q) FROM (SELECT DISTINCT lower(array_to_string(string_split(name, ' ')[1:3], ' ')) AS q FROM catalog WHERE (contains(lower(name), 'cold') OR contains(lower(name), 'widget')) AND q <> 'cold widget' AND length(q) >= 4 ORDER BY 1 LIMIT 2))
+  }}) AS VARCHAR) AS body""", "catalog", "sales"))
 def search_envelope(spark, sf):
     cat = shop.catalog(spark, sf)
     ranked = search.final_order(_scored(spark, sf, "cold widget").withColumn("boost", F.lit(1.0)))
