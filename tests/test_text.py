@@ -1,8 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
-from larkspur.functions.text import _metaphone
 
 
 def one(spark, column):
@@ -51,6 +52,80 @@ def test_highlight_escapes(spark):
     assert one(spark, X.highlight(F.lit("<Cold> ring"), ["cold"])) == "&lt;<mark>Cold</mark>&gt; ring"
 
 
-def test_metaphone():
-    assert _metaphone("Knight") == _metaphone("night") and _metaphone(None) is None
-    assert _metaphone("phone") == "FN"
+def plain_metaphone(word):
+    """Letter by letter, with skips."""
+    if word is None:
+        return None
+    s = "".join(c for c in word.upper() if "A" <= c <= "Z")
+    for start, to in (("KN", "N"), ("GN", "N"), ("PN", "N"), ("AE", "E"), ("WR", "R"), ("X", "S"), ("WH", "W")):
+        if s.startswith(start):
+            s = to + s[len(start) :]
+            break
+    out, i = "", 0
+    while i < len(s):
+        c, after, before = s[i], s[i + 1 : i + 2], s[i - 1 : i] if i else ""
+        if c == before and c != "C":
+            i += 1
+            continue
+        if c in "AEIOU":
+            out += c if i == 0 else ""
+        elif c == "B":
+            out += "" if before == "M" and not after else "B"
+        elif c == "C":
+            if s[i : i + 3] == "CIA" or after == "H":
+                out += "X"
+                i += after == "H"
+            else:
+                out += "S" if after and after in "IEY" else "K"
+        elif c == "D":
+            out += "J" if after == "G" and s[i + 2 : i + 3] in ("E", "Y", "I") else "T"
+        elif c == "G":
+            if after == "H" and s[i + 2 : i + 3] not in ("A", "E", "I", "O", "U", ""):
+                pass
+            elif after == "N" and i + 2 >= len(s):
+                pass
+            else:
+                out += "J" if after and after in "IEY" and before != "G" else "K"
+        elif c == "H":
+            out += "H" if after and after in "AEIOU" and before not in tuple("CSPTG") else ""
+        elif c == "K":
+            out += "" if before == "C" else "K"
+        elif c == "P":
+            out += "F" if after == "H" else "P"
+            i += after == "H"
+        elif c == "Q":
+            out += "K"
+        elif c == "S":
+            if after == "H" or s[i : i + 3] in ("SIO", "SIA"):
+                out += "X"
+                i += after == "H"
+            else:
+                out += "S"
+        elif c == "T":
+            if s[i : i + 3] in ("TIA", "TIO"):
+                out += "X"
+            elif after == "H":
+                out += "0"
+                i += 1
+            elif s[i : i + 3] != "TCH":
+                out += "T"
+        elif c == "V":
+            out += "F"
+        elif c in "WY":
+            out += c if after and after in "AEIOU" else ""
+        elif c == "X":
+            out += "KS"
+        elif c == "Z":
+            out += "S"
+        else:
+            out += c
+        i += 1
+    return out
+
+
+def test_metaphone(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("ABCDEGHIKNOPSTUWXYZ'é9 ") for _ in range(rng.randint(0, 8))) for _ in range(3000)] + ["Knight", "night", "phone", "wrist", "sign", "match", "Xena", "", None]
+    found = {r.w: r.m for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", X.metaphone(F.col("w")).alias("m")).collect()}
+    assert found == {w: plain_metaphone(w) for w in words}
+    assert found["Knight"] == found["night"] and found["phone"] == "FN"
