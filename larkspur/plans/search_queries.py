@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -45,26 +44,18 @@ def boosts(spark):
     return df.select("id", "id_product", F.col("boost_value").cast("decimal(5,2)").alias("boost_value"), "keywords", "active", F.col("s").cast("timestamp_ntz").alias("date_start"), F.col("e").cast("timestamp_ntz").alias("date_end"))
 
 
-# A second version of the word forms, for the oracles.
-_ENDINGS = [("i", "oe"), ("e", "ao"), ("he", ["a", "ia"]), ("ie", ["ia"]), ("chi", ["co"]), ("ghi", ["go"]), ("ni", ["ne", "no"]), ("zi", ["za", "zo"]), ("o", "i"), ("a", "e"), ("ia", ["ie"]), ("ca", ["che"]), ("ga", ["ghe"]), ("e", "i"), ("co", ["chi"]), ("go", ["ghi"])]
-_UNIT_SETS = [({"g", "gr"}, "g gr"), ({"l"}, "l lt"), ({"caps", "cps"}, "caps cps"), ({"tab", "tabs"}, "tab tabs")]
-
-
+# Word forms spelt out for the oracles, from the same fixed values.
 def _unit_forms(word: str) -> list[str]:
     number, unit = re.fullmatch(r"([0-9]*)(.*)", word).groups()
-    if not number or unit not in {"", *"g gr kg mg ml l cl oz lb caps cps tab tabs compresse bustine porzioni".split()}:
+    if not number or unit not in {"", *X.UNITS}:
         return []
-    if not unit:
-        return [number]
-    others = next((f.split() for units, f in _UNIT_SETS if unit in units), [])
-    more = {"caps": [" capsule"], "cps": [" capsule"], "tab": [" compresse"], "tabs": [" compresse"]}.get(unit, [])
-    return [number + form for u in [unit, *others] for form in (u, " " + u)] + [number + m for m in more]
+    return [number + form for form in (unit, " " + unit, *X.UNIT_FORMS.get(unit, []))] if unit else [number]
 
 
 def _terms(words: list[str]) -> list[str]:
     out = []
     for w in words:
-        out += [w, *(w[: -len(e)] + o for e, others in _ENDINGS if len(w) >= 3 and w.endswith(e) for o in others), *_unit_forms(w)]
+        out += [w, *(w[: -len(e)] + o for e, others in X.ENDINGS if len(w) >= 3 and w.endswith(e) for o in others), *_unit_forms(w)]
     return list(dict.fromkeys(out))
 
 
@@ -172,14 +163,31 @@ def boost_injection(spark, sf):
     return found.where("injected").select("id_product", "relevance", "boost")
 
 
-@query("boost_rules_active", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(5 AS BIGINT)), (2, 12)) AS v(id, id_product)")
+_RULES = """SELECT id_product AS id, id_product, (id_product % 1100) / 10.0 AS boost_value, CASE WHEN id_product % 5 > 0 THEN split_part(name, ' ', 1) || ', ' || split_part(name, ' ', 2) ELSE '' END AS keywords, id_product % 4 > 0 AS active,
+  CASE WHEN id_product % 3 > 0 THEN date_add END AS date_start, CASE WHEN id_product % 7 > 0 THEN date_add + to_days(CAST(id_product % 45 AS INTEGER)) END AS date_end FROM catalog"""
+
+
+def shop_rules(spark, sf):
+    """A boost rule for each product: keywords, schedules with and without ends, some inactive."""
+    key = F.col("id_product")
+    words = F.concat(F.substring_index("name", " ", 1), F.lit(", "), F.substring_index("name", " ", -1))
+    return shop.catalog(spark, sf).select(
+        key.alias("id"), "id_product", (key % 1100 / 10.0).alias("boost_value"), F.when(key % 5 > 0, words).otherwise("").alias("keywords"), (key % 4 > 0).alias("active"),
+        F.when(key % 3 > 0, F.col("date_add")).alias("date_start"), F.when(key % 7 > 0, F.col("date_add") + F.expr("make_dt_interval(cast(id_product % 45 as int))")).alias("date_end"),
+    )
+
+
+_OPEN = f"(date_start IS NULL OR date_start <= TIMESTAMP '{AS_OF}') AND (date_end IS NULL OR date_end >= TIMESTAMP '{AS_OF}')"
+
+
+@query("boost_rules_active", with_views(f"SELECT id, id_product FROM ({_RULES}) WHERE active AND {_OPEN}", "catalog"))
 def boost_rules_active(spark, sf):
-    return search.boost_rules(boosts(spark), shop.ntz(AS_OF)).select("id", "id_product")
+    return search.boost_rules(shop_rules(spark, sf), shop.ntz(AS_OF)).select("id", "id_product")
 
 
-@query("boost_rules_ignoring_schedule", "SELECT * FROM (VALUES (CAST(1 AS BIGINT)), (2), (4), (5)) AS v(id)")
+@query("boost_rules_ignoring_schedule", with_views(f"SELECT id FROM ({_RULES}) WHERE active", "catalog"))
 def boost_rules_ignoring_schedule(spark, sf):
-    return search.boost_rules(boosts(spark), shop.ntz(AS_OF), respect_schedule=False).select("id")
+    return search.boost_rules(shop_rules(spark, sf), shop.ntz(AS_OF), respect_schedule=False).select("id")
 
 
 @query("fuzzy_candidates", with_views(f"SELECT id_product, name FROM ({_fuzzy_sql('colde widgit', False)})", "catalog"))
@@ -259,7 +267,7 @@ def search_many(spark, sf):
 _TYPED = "SELECT DISTINCT lower(substr(brand, 1, CAST(id_product % 7 AS INTEGER)) || substr(brand, CAST(id_product % 7 AS INTEGER) + 2)) AS word FROM catalog"
 
 
-def _resembles_columns(word: str, name: str) -> str:
+def _resembles_columns(word: str, name: str, phonetic: bool = True) -> str:
     """``_resembles_sql`` for words that are a column."""
     bare = lambda t: f"regexp_replace({t}, '{_VOWELS}', '', 'g')"
     lw, ln, d = f"length({word})", f"length({name})", f"levenshtein({word}, {name})"
@@ -267,16 +275,20 @@ def _resembles_columns(word: str, name: str) -> str:
     return f"""abs({lw} - {ln}) <= greatest({lw}, {ln}) * 0.5 AND {word} <> {name} AND ({d} BETWEEN 1 AND CASE WHEN {lw} >= 8 THEN 3 WHEN {lw} >= 5 THEN 2 ELSE 1 END
     OR ({bare(word)} = {bare(name)} AND length({bare(word)}) >= 4) OR ({lw} >= 5 AND {ln} >= 5 AND (contains({word}, {name}) OR contains({name}, {word})))
     OR ({affix} >= 3 AND (left({word}, {affix}) = left({name}, {affix}) OR right({word}, {affix}) = right({name}, {affix})) AND {d} <= greatest({lw}, {ln}) * 0.4)
-    OR ({lw} >= 4 AND {soundex_sql(word)} = {soundex_sql(name)}))"""
+    OR ({str(phonetic).lower()} AND {lw} >= 4 AND {soundex_sql(word)} = {soundex_sql(name)}))"""
 
 
 @query("brand_corrections_many", with_views(f"SELECT word, name FROM ({_TYPED}) w JOIN (SELECT DISTINCT lower(brand) AS name FROM catalog) n ON {_resembles_columns('word', 'name')}", "catalog"))
 def brand_corrections_many(spark, sf):
     """Every brand with a letter left out, one place after another: by deletion neighbourhoods."""
     cat = shop.catalog(spark, sf)
+    return postings.misspelt(typed_brands(cat), search.brand_names(cat)).select("word", "name")
+
+
+def typed_brands(cat):
     at = (F.col("id_product") % 7).cast("int")
     typed = cat.select(F.lower(F.concat(F.left("brand", at), F.substring(F.col("brand"), at + 2, F.length("brand")))).alias("word")).distinct()
-    return postings.misspelt(typed.select(F.lit(1).alias("query_id"), "word"), search.brand_names(cat)).select("word", "name")
+    return typed.select(F.lit(1).alias("query_id"), "word")
 
 
 def _filter(name: str, condition: str, filters: search.Filters, *views: str):
@@ -387,48 +399,63 @@ def device_buckets(spark, sf):
 
 
 # text
-WORDS = "barretta barrette prodotto prodotti integratore energia pacco pacchi fungo funghi azione azioni amica amiche bottega ab".split()
-UNITS = "350g 350gr 500ml 1kg 2l 100caps 100cps 60tab 60tabs 40compresse 350 350x".split()
+_LETTERS = "[a-zàèéìòù0-9]+"
+_WORDS = f"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{_LETTERS}')) AS word FROM documents"
+_SIZED = "SELECT DISTINCT CAST(size AS VARCHAR) || CASE id_product % 9 WHEN 0 THEN 'g' WHEN 1 THEN 'ml' WHEN 2 THEN 'l' WHEN 3 THEN 'caps' WHEN 4 THEN 'tabs' WHEN 5 THEN '' WHEN 6 THEN 'x' WHEN 7 THEN 'gr' ELSE 'compresse' END AS word FROM catalog"
+
+
+def words_used(spark, sf):
+    """The distinct words of all documents."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(f"({_LETTERS})"))
+    return shop.table(spark, sf, "documents").select(F.explode(words).alias("word")).distinct()
 
 
-def _list(values: list[str]) -> str:
-    return "(VALUES " + ", ".join(f"('{v}')" for v in values) + ") AS v(word)"
+def sized_words(spark, sf):
+    """Sizes of products with a unit, as they are typed."""
+    unit = F.element_at(F.array(*map(F.lit, ["g", "ml", "l", "caps", "tabs", "", "x", "gr", "compresse"])), (F.col("id_product") % 9 + 1).cast("int"))
+    return shop.catalog(spark, sf).select(F.concat(F.col("size").cast("string"), unit).alias("word")).distinct()
 
 
-def _variations_sql() -> str:
+def _variations_sql(words: str) -> str:
     cases = ["word"]
-    for ending, others in _ENDINGS:
+    for ending, others in X.ENDINGS:
         cases += [f"CASE WHEN length(word) >= 3 AND word LIKE '%{ending}' THEN left(word, length(word) - {len(ending)}) || '{o}' END" for o in others]
-    return "SELECT DISTINCT word, form FROM (SELECT word, unnest([" + ", ".join(cases) + f"]) AS form FROM {_list(WORDS)}) WHERE form IS NOT NULL"
+    return "SELECT DISTINCT word, form FROM (SELECT word, unnest([" + ", ".join(cases) + f"]) AS form FROM ({words})) WHERE form IS NOT NULL"
 
 
-@query("word_variations", _variations_sql())
+def _unit_variations_sql(words: str) -> str:
+    parts = [f"SELECT word, unnest([n || u, n || ' ' || u]) AS form FROM u WHERE u IN ({', '.join(map(repr, X.UNITS))})", "SELECT word, n FROM u WHERE u = ''"]
+    parts += [f"SELECT word, n || unnest([{', '.join(map(repr, forms))}]) FROM u WHERE u = '{unit}'" for unit, forms in X.UNIT_FORMS.items()]
+    return f"WITH u AS (SELECT word, regexp_extract(word, '^([0-9]+)([a-z]*)$', 1) AS n, regexp_extract(word, '^([0-9]+)([a-z]*)$', 2) AS u FROM ({words}) WHERE regexp_matches(word, '^[0-9]+[a-z]*$')) SELECT DISTINCT word, form FROM ({' UNION ALL '.join(parts)})"
+
+
+@query("word_variations", _variations_sql(_WORDS))
 def word_variations(spark, sf):
-    return shop.literal(spark, [(w,) for w in WORDS], "word string").select("word", F.explode(X.word_variations(F.col("word"))).alias("form"))
+    return words_used(spark, sf).select("word", F.explode(X.word_variations(F.col("word"))).alias("form"))
 
 
-@query("unit_variations", """WITH u AS (SELECT word, regexp_extract(word, '^([0-9]+)([a-z]*)$', 1) AS n, regexp_extract(word, '^([0-9]+)([a-z]*)$', 2) AS u FROM """ + _list(UNITS) + """)
-SELECT DISTINCT word, form FROM (
-  SELECT word, unnest([n || u, n || ' ' || u]) AS form FROM u WHERE u IN ('g', 'gr', 'ml', 'kg', 'l', 'caps', 'cps', 'tab', 'tabs', 'compresse')
-  UNION ALL SELECT word, unnest([n || 'g', n || ' g', n || 'gr', n || ' gr']) FROM u WHERE u IN ('g', 'gr')
-  UNION ALL SELECT word, unnest([n || 'lt', n || ' lt']) FROM u WHERE u = 'l'
-  UNION ALL SELECT word, unnest([n || 'caps', n || ' caps', n || 'cps', n || ' cps', n || ' capsule']) FROM u WHERE u IN ('caps', 'cps')
-  UNION ALL SELECT word, unnest([n || 'tab', n || ' tab', n || 'tabs', n || ' tabs', n || ' compresse']) FROM u WHERE u IN ('tab', 'tabs')
-  UNION ALL SELECT word, n FROM u WHERE u = '')""")
+@query("unit_variations", with_views(f"SELECT * FROM ({_unit_variations_sql(_SIZED)})", "catalog"))
 def unit_variations(spark, sf):
-    return shop.literal(spark, [(w,) for w in UNITS], "word string").select("word", F.explode(X.unit_variations(F.col("word"))).alias("form"))
+    return sized_words(spark, sf).select("word", F.explode(X.unit_variations(F.col("word"))).alias("form"))
+
 
+_STOPS = ", ".join(map(repr, X.STOP_WORDS))
 
-@query("stop_words", "SELECT word FROM " + _list(["the", "cold", "per", "widget", "a", "quanto", "x", "ring"]) + " WHERE word IN ('cold', 'widget', 'ring')")
+
+@query("stop_words", f"""SELECT doc_id, len(CASE WHEN len(kept) > 0 THEN kept ELSE words END) AS n, md5(array_to_string(CASE WHEN len(kept) > 0 THEN kept ELSE words END, ' ')) AS digest FROM (
+  SELECT *, list_filter(words, lambda w: w NOT IN ({_STOPS}) AND length(w) > 1) AS kept FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_LETTERS}') AS words FROM documents))""")
 def stop_words(spark, sf):
-    words = F.array(*[F.lit(w) for w in ["the", "cold", "per", "widget", "a", "quanto", "x", "ring"]])
-    return spark.range(1).select(F.explode(X.without_stop_words(words)).alias("word"))
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({_LETTERS})"))
+    own = shop.table(spark, sf, "documents").select("doc_id", words.alias("words")).select("doc_id", X.without_stop_words(F.col("words")).alias("kept"))
+    return own.select("doc_id", F.size("kept").cast("long").alias("n"), F.md5(F.array_join("kept", " ")).alias("digest"))
+
 
+_STEM = " ".join(f"WHEN ends_with(word, '{e}') AND length(word) > {len(e) + 2} THEN left(word, length(word) - {len(e)})" for e in X.STEM_ENDINGS)
 
-@query("stems", "SELECT * FROM (VALUES ('barretta', 'barr'), ('energia', 'energi'), ('velocemente', 'veloce'), ('integratore', 'integr'), ('are', 'are'), ('rosso', 'ross'), ('formazione', 'form')) AS v(word, stem)")
+
+@query("stems", f"SELECT word, CASE WHEN length(word) <= 3 THEN word {_STEM} ELSE word END AS stem FROM ({_WORDS})")
 def stems(spark, sf):
-    rows = [(w,) for w in ["barretta", "energia", "velocemente", "integratore", "are", "rosso", "formazione"]]
-    return shop.literal(spark, rows, "word string").select("word", X.stem(F.col("word")).alias("stem"))
+    return words_used(spark, sf).select("word", X.stem(F.col("word")).alias("stem"))
 
 
 @query("normalized", "SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '[^\\p{L}\\p{N}\\s]', ' ', 'g')), '\\s+', ' ', 'g')) AS clean FROM documents")
@@ -441,25 +468,23 @@ def consonants(spark, sf):
     return shop.catalog(spark, sf).select("name", X.consonants(F.col("name")).alias("skeleton")).distinct()
 
 
-_NAMES = ["ethicsport", "scitec", "prolabs", "yamamoto", "enervit"]
-_TYPOS = ["etocsport", "scitek", "prolab", "yammoto", "enervita", "zzzzz", "scitec"]
+@query("brand_corrections", with_views(f"SELECT word, name FROM ({_TYPED}) w JOIN (SELECT DISTINCT lower(brand) AS name FROM catalog) n ON {_resembles_columns('word', 'name', False)}", "catalog"))
+def brand_corrections(spark, sf):
+    """As ``brand_corrections_many`` without sounds, each word held against each brand in one scan."""
+    cat = shop.catalog(spark, sf)
+    return postings.misspelt(typed_brands(cat), search.brand_names(cat), phonetic=False, few=True).select("word", "name")
 
 
-@query("brand_corrections", "SELECT w.word, n.name FROM " + _list(_TYPOS).replace("AS v(word)", "AS w(word)") + " JOIN (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + """) AS n(name) ON w.word <> n.name
-  AND abs(length(word) - length(name)) <= 0.5 * greatest(length(word), length(name))
-  AND (levenshtein(word, name) BETWEEN 1 AND CASE WHEN length(word) >= 8 THEN 3 WHEN length(word) >= 5 THEN 2 ELSE 1 END
-    OR (regexp_replace(word, '[aeiou]', '', 'g') = regexp_replace(name, '[aeiou]', '', 'g') AND length(regexp_replace(word, '[aeiou]', '', 'g')) >= 4)
-    OR (length(word) >= 5 AND length(name) >= 5 AND (contains(name, word) OR contains(word, name)))
-    OR ((left(word, 4) = left(name, 4) OR right(word, 4) = right(name, 4)) AND levenshtein(word, name) <= 0.4 * greatest(length(word), length(name))))""")
-def brand_corrections(spark, sf):
-    words = shop.literal(spark, [(w,) for w in _TYPOS], "word string")
-    names = shop.literal(spark, [(n,) for n in _NAMES], "name string")
-    return words.join(F.broadcast(names), X.resembles(F.col("word"), F.col("name"), phonetic=False))
+_ASKED = "SELECT DISTINCT lower(name) || ' ' || word AS query FROM (SELECT name, size, id_product, CAST(size AS VARCHAR) || CASE id_product % 9 WHEN 0 THEN 'g' WHEN 1 THEN 'ml' WHEN 2 THEN 'l' WHEN 3 THEN 'caps' WHEN 4 THEN 'tabs' WHEN 5 THEN '' WHEN 6 THEN 'x' WHEN 7 THEN 'gr' ELSE 'compresse' END AS word FROM catalog)"
 
 
-@query("expand_words", "SELECT * FROM (VALUES ('barretta'), ('barrette'), ('350g'), ('350 g'), ('350gr'), ('350 gr')) AS v(term)")
+@query("expand_words", with_views(f"""SELECT DISTINCT query, form AS term FROM (SELECT query, word FROM (SELECT query, unnest(string_split(query, ' ')) AS word FROM ({_ASKED})) WHERE length(word) >= 2) q
+  JOIN (SELECT * FROM ({_variations_sql(f"SELECT DISTINCT unnest(string_split(query, ' ')) AS word FROM ({_ASKED})")}) UNION ALL SELECT * FROM ({_unit_variations_sql(f"SELECT DISTINCT unnest(string_split(query, ' ')) AS word FROM ({_ASKED})")})) f USING (word)""", "catalog"))
 def expand_words(spark, sf):
-    return spark.range(1).select(F.explode(X.expand_words(X.query_words(F.lit("Barretta 350g x")))).alias("term"))
+    """Queries of a name and a size: all forms of all their words."""
+    unit = F.element_at(F.array(*map(F.lit, ["g", "ml", "l", "caps", "tabs", "", "x", "gr", "compresse"])), (F.col("id_product") % 9 + 1).cast("int"))
+    queries = shop.catalog(spark, sf).select(F.concat(F.lower("name"), F.lit(" "), F.col("size").cast("string"), unit).alias("query")).distinct()
+    return queries.select("query", F.explode(X.expand_words(X.query_words(F.col("query")))).alias("term"))
 
 
 @query("phonetic_sounds", with_views(f"SELECT DISTINCT word, {soundex_sql('word')} AS sound FROM (SELECT unnest(string_split(name || ' ' || brand, ' ')) AS word FROM catalog)", "catalog"))
@@ -569,10 +594,18 @@ def synonyms(spark):
     return shop.literal(spark, rows, "word string, synonyms string, active boolean")
 
 
-@query("synonym_terms", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'bolt'), (1, 'gear'), (1, 'ring'), (2, 'screw'), (2, 'widget')) AS v(query_id, other)")
+_PAIRS = "SELECT split_part(name, ' ', 1) AS word, string_agg(DISTINCT split_part(name, ' ', 2), ' , ') AS synonyms, min(size) % 3 > 0 AS active FROM catalog GROUP BY 1"
+
+
+@query("synonym_terms", with_views(f"""SELECT * FROM (WITH p AS (SELECT word, trim(unnest(string_split(synonyms, ','))) AS other FROM ({_PAIRS}) WHERE active), b AS (SELECT word, other FROM p UNION SELECT other, word FROM p)
+  SELECT DISTINCT query, other FROM (SELECT DISTINCT 'the ' || name || '!' AS query, unnest(string_split(name, ' ')) AS word FROM catalog) JOIN b USING (word))""", "catalog"))
 def synonym_terms(spark, sf):
-    found = search.linguistic_terms(asked(spark, "the cold widget!", "bolt"), synonyms(spark))
-    return found.select("query_id", F.explode("synonyms").alias("other"))
+    """Tones of products and what comes in them as synonyms, for a query of each name: both directions."""
+    cat = shop.catalog(spark, sf)
+    known = cat.groupBy(F.substring_index("name", " ", 1).alias("word")).agg(F.array_join(F.collect_set(F.substring_index("name", " ", -1)), " , ").alias("synonyms"), (F.min("size") % 3 > 0).alias("active"))
+    queries = cat.select(F.concat(F.lit("the "), "name", F.lit("!")).alias("query")).distinct().withColumn("query_id", F.col("query"))
+    found = search.linguistic_terms(queries, known)
+    return found.select("query", F.explode("synonyms").alias("other"))
 
 
 _VISIBLE = "SELECT * FROM catalog LEFT JOIN sales USING (id_product) LEFT JOIN (SELECT id_product, avg(grade) AS rating FROM reviews WHERE validated GROUP BY 1) USING (id_product) WHERE visibility IN ('both', 'search')"
@@ -637,21 +670,42 @@ def banners(spark):
     return df.select("id", "name", "keywords", "position", "active", ts("s", "date_start"), ts("e", "date_end"), ts("d", "date_add"))
 
 
-@query("banners_for_query", "SELECT * FROM (VALUES (CAST(5 AS BIGINT), 'top'), (1, 'top'), (2, 'middle')) AS v(id, position)")
+_BANNERS = """SELECT c_custkey AS id, c_name AS name, lower(c_mktsegment) || ', b' || c_custkey % 10 AS keywords, ['top', 'middle', 'bottom', 'sidebar'][c_custkey % 4 + 1] AS position, c_custkey % 5 > 0 AS active,
+  CASE WHEN c_custkey % 3 > 0 THEN TIMESTAMP '2001-08-02' - to_days(CAST(c_custkey % 20 - 5 AS INTEGER)) END AS date_start, CASE WHEN c_custkey % 7 > 0 THEN TIMESTAMP '2001-08-02' + to_days(CAST(c_custkey % 30 - 10 AS INTEGER)) END AS date_end,
+  TIMESTAMP '2001-01-01' + to_days(CAST(c_custkey % 100 AS INTEGER)) AS date_add FROM customer"""
+
+
+def shop_banners(spark, sf):
+    """A banner for each customer: keywords by segment, a position, a schedule."""
+    key = F.col("c_custkey")
+    day = lambda start, days: F.expr(f"timestamp_ntz'{start} 00:00:00' + make_dt_interval(cast({days} as int))")
+    return shop.table(spark, sf, "customer").select(
+        key.alias("id"), F.col("c_name").alias("name"), F.concat(F.lower("c_mktsegment"), F.lit(", b"), key % 10).alias("keywords"),
+        F.element_at(F.array(*map(F.lit, merch.POSITIONS)), (key % 4 + 1).cast("int")).alias("position"), (key % 5 > 0).alias("active"),
+        F.when(key % 3 > 0, day("2001-08-02", "5 - c_custkey % 20")).alias("date_start"), F.when(key % 7 > 0, day("2001-08-02", "c_custkey % 30 - 10")).alias("date_end"), day("2001-01-01", "c_custkey % 100").alias("date_add"),
+    )
+
+
+def _banners_sql(word: str, least: int) -> str:
+    parts = f"list_filter(list_transform(string_split(keywords, ','), lambda k: trim(k)), lambda k: length(k) >= {least})"
+    return f"SELECT * FROM ({_BANNERS}) WHERE active AND {_OPEN} AND len(list_filter({parts}, lambda k: contains(k, '{word}') OR contains('{word}', k))) > 0"
+
+
+@query("banners_for_query", with_views(f"SELECT id, position FROM ({_banners_sql('building', 2)})"))
 def banners_for_query(spark, sf):
-    return merch.banners_for(banners(spark), ["colder", "x"], shop.ntz(AS_OF)).select("id", "position")
+    return merch.banners_for(shop_banners(spark, sf), ["building", "x"], shop.ntz(AS_OF)).select("id", "position")
 
 
-@query("banner_positions", "SELECT CAST(2 AS BIGINT) AS id")
+@query("banner_positions", with_views(f"SELECT id FROM ({_banners_sql('b7', 1)}) WHERE position = 'middle'"))
 def banner_positions(spark, sf):
-    return merch.banners_for(banners(spark), ["ice"], shop.ntz(AS_OF), 1).where("position = 'middle'").select("id")
+    return merch.banners_for(shop_banners(spark, sf), ["b7"], shop.ntz(AS_OF), 1).where("position = 'middle'").select("id")
 
 
-@query("boost_validation", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'range'), (5, 'duplicate')) AS v(id_product, problem)")
+@query("boost_validation", with_views(f"""SELECT id_product, problem FROM (SELECT id_product, CASE WHEN boost_value < 0.1 OR boost_value > 100 THEN 'range' WHEN id_product % 3 = 0 THEN 'duplicate' END AS problem FROM ({_RULES})) WHERE problem IS NOT NULL""", "catalog"))
 def boost_validation(spark, sf):
-    known = boosts(spark).withColumn("id_shop", F.lit(1))
-    new = shop.literal(spark, [(1, 1, 0.05), (5, 1, 2.0), (7, 1, 100.0)], "id_product bigint, id_shop int, boost_value double")
-    return merch.boost_problems(new, known)
+    """New rules of one shop against those that it has."""
+    rules = shop_rules(spark, sf).withColumn("id_shop", F.lit(1))
+    return merch.boost_problems(rules, rules.where("id_product % 3 = 0"))
 
 
 @query("boost_list", with_views("SELECT b.id, c.name, b.v AS boost_value FROM (VALUES (CAST(1 AS BIGINT), 5, CAST(2.0 AS DOUBLE)), (2, 12, 1.5), (3, 20, 5.0), (4, 33, 3.0), (5, 40, 3.0)) AS b(id, p, v) LEFT JOIN catalog c ON c.id_product = b.p", "catalog"))
@@ -660,11 +714,13 @@ def boost_list(spark, sf):
     return rows.orderBy(F.desc("boost_value"), "id").select("id", "name", F.col("boost_value").cast("double").alias("boost_value"))
 
 
-@query("seed_synonyms", "SELECT CAST(9 AS BIGINT) AS added, CAST(11 AS BIGINT) AS n")
+@query("seed_synonyms", f"SELECT count(*) AS added, count(*) + (SELECT count(*) FROM ({_WORDS})) AS n FROM (VALUES {', '.join(f'({word!r})' for word, _ in merch.SEED_SYNONYMS)}) AS v(word) WHERE word NOT IN ({_WORDS})")
 def seed_synonyms(spark, sf):
-    old = shop.literal(spark, [("pc", "computer"), ("casa", "home")], "word string, synonyms string")
+    """The first synonyms come into a table that has all words of the documents already."""
+    old = words_used(spark, sf).select("word", F.lit("").alias("synonyms"))
     out = merch.insert_missing(old, shop.literal(spark, merch.SEED_SYNONYMS, "word string, synonyms string"), ["word"])
-    return out.agg((F.count("*") - 2).alias("added"), F.count("*").alias("n"))
+    new = F.count(F.when(F.col("synonyms") != "", 1))
+    return out.agg(new.alias("added"), F.count("*").alias("n"))
 
 
 def cache(spark, sf):
@@ -744,11 +800,11 @@ def recommendation_cards(spark, sf):
     return envelope.recommendations(baskets.same_category(cat, 10), cat)
 
 
-@query("banner_list", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'top', CAST(1 AS INTEGER)), (5, 'top', 2), (2, 'middle', 3), (3, 'bottom', 4), (6, 'bottom', 5), (4, 'sidebar', 6)) AS v(id, position, place)")
+@query("banner_list", f"SELECT position, count(*) AS n, min(id) AS first, CAST(CASE position WHEN 'top' THEN 1 WHEN 'middle' THEN 2 WHEN 'bottom' THEN 3 ELSE 4 END AS INTEGER) AS place FROM ({_BANNERS}) GROUP BY 1")
 def banner_list(spark, sf):
-    place = F.array_position(F.array(*[F.lit(p) for p in merch.POSITIONS]), F.col("position"))
-    order = Window.partitionBy().orderBy(place, "id")  # an admin's list: a handful of rows
-    return banners(spark).select("id", "position", F.row_number().over(order).alias("place"))
+    """An admin's list: positions in their order, with their banners."""
+    place = F.array_position(F.array(*[F.lit(p) for p in merch.POSITIONS]), F.col("position")).cast("int")
+    return shop_banners(spark, sf).groupBy("position").agg(F.count("*").alias("n"), F.min("id").alias("first")).withColumn("place", place)
 
 
 @query("search_envelope", with_views(f"""SELECT CAST(to_json({{
