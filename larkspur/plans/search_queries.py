@@ -207,6 +207,13 @@ def merge_penalised(spark, sf):
     return search.merge(one, two).select("id_product", "relevance")
 
 
+@query("merge_unpenalised", with_views(f"""SELECT id_product, relevance FROM ({_candidates_sql('cold widget')}) UNION ALL
+  SELECT id_product, relevance FROM ({_candidates_sql('red gear')}) WHERE id_product NOT IN (SELECT id_product FROM ({_candidates_sql('cold widget')}))""", "catalog", "sales"))
+def merge_unpenalised(spark, sf):
+    one, two = _scored(spark, sf, "cold widget"), _scored(spark, sf, "red gear")
+    return search.merge(one, two, penalty=1.0).select("id_product", "relevance")
+
+
 @query("exact_words", with_views("SELECT id_product FROM catalog WHERE " + " AND ".join("(" + " OR ".join(f"contains(lower({f}), '{w}')" for f in ("name", "short_desc", "description", "reference", "brand")) + ")" for w in ("cold", "widget", "promo")), "catalog"))
 def exact_words(spark, sf):
     return search.exact_words(shop.catalog(spark, sf), asked(spark, "cold widget promo")).select("id_product")
@@ -731,6 +738,20 @@ def cache(spark, sf):
 _CACHE = "SELECT md5(query) AS cache_key, '{\"n\":' || count(*) || '}' AS result_data, max(ts) AS created_at FROM behaviour WHERE kind = 'search' GROUP BY query"
 
 
+@query("cache_invalidated", with_views(f"SELECT cache_key FROM ({_CACHE}) WHERE NOT starts_with(cache_key, 'a')", "behaviour"))
+def cache_invalidated(spark, sf):
+    return merch.cache_invalidate(cache(spark, sf), "a").select("cache_key")
+
+
+@query("cache_put", with_views(f"SELECT cache_key, CASE WHEN ascii(cache_key) % 2 = 0 THEN 'new' ELSE result_data END AS result_data FROM ({_CACHE})", "behaviour"))
+def cache_put(spark, sf):
+    """Later answers with results replace those of their key; empty ones are not kept."""
+    held = cache(spark, sf)
+    n = F.when(F.ascii("cache_key") % 2 == 0, 3).otherwise(0)
+    later = held.select("cache_key", F.lit("new").alias("result_data"), "created_at", n.alias("n_results"))
+    return merch.cache_put(held, later).select("cache_key", "result_data")
+
+
 @query("cache_lookup", with_views(f"SELECT * FROM ({_CACHE}) WHERE cache_key IN (md5('q5'), md5('q50')) AND created_at >= TIMESTAMP '2024-01-31' - INTERVAL 1000000 SECONDS", "behaviour"))
 def cache_lookup(spark, sf):
     keys = shop.literal(spark, [(" Q5 ",), ("q50",), ("none",)], "query string").select(merch.cache_key(F.col("query")).alias("cache_key"))

@@ -89,3 +89,11 @@ def test_two_tiers(spark, tmp_path):
     assert get(302, "a", "c") == [("a", "r-a", "computed"), ("c", "r-c", "stored")]
     cache.invalidate()
     assert get(303, "c") == [("c", "r-c", "computed")] and len(calls) == 5
+
+
+def test_append(spark, tmp_path):
+    for k in range(2):
+        sinks.append(spark.range(3).select("id", F.lit(f"d{k}").alias("day")), str(tmp_path / "a"), "day")
+    rows = spark.read.parquet(str(tmp_path / "a")).collect()
+    assert sorted((r.day, r.id) for r in rows) == [("d0", 0), ("d0", 1), ("d0", 2), ("d1", 0), ("d1", 1), ("d1", 2)]
+    assert sorted(p.name for p in (tmp_path / "a").iterdir() if p.is_dir()) == ["day=d0", "day=d1"]
