@@ -78,6 +78,14 @@ def _entries(prints: DataFrame, flips: int, *keep: str) -> DataFrame:
     return each.select(*keep, F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
 
 
+def _apart() -> F.Column:
+    """How many bits of prints and item_prints differ."""
+    apart = F.lit(0)
+    for k in range(HASHES):
+        apart = apart + F.bit_count(F.get("prints", F.lit(k)).bitwiseXOR(F.get("item_prints", F.lit(k))))
+    return apart
+
+
 def near_prints(windows: DataFrame, items: DataFrame, radius: int = RADIUS, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
     """(pairs met, those of them within ``reach``) of (n, prints) and (item, n, prints): n, prints,
     item, distance. The multi-index: with 24 blocks some block of a pair within the radius differs in
@@ -87,10 +95,7 @@ def near_prints(windows: DataFrame, items: DataFrame, radius: int = RADIUS, reac
     keyed = _entries(windows.select("n", "prints"), flips // 2, "n", "prints")
     of_items = broadcast_if_small(items.select("item", F.col("prints").alias("item_prints")))
     met = keyed.join(index, "key").join(of_items, "item")
-    apart = F.lit(0)
-    for k in range(HASHES):
-        apart = apart + F.bit_count(F.get("prints", F.lit(k)).bitwiseXOR(F.get("item_prints", F.lit(k))))
-    met = met.select("n", "prints", "item", apart.alias("distance"))
+    met = met.select("n", "prints", "item", _apart().alias("distance"))
     return met, met.where(F.col("distance") <= max(radius, reach)).distinct()
 
 
@@ -115,7 +120,7 @@ def kept_windows(docs: DataFrame, known: DataFrame, threshold: float = THRESHOLD
     return marked.select("row", "n", F.explode(F.flatten(F.transform(firsts, starts))).alias("start"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, reach: int = REACH, exact: bool = False) -> DataFrame:
     """Best window of each document and item: row (key of the document's row), doc_id, item_id,
     start_word, n_words (of the window), distance (of 384 bits), similarity.
 
@@ -126,7 +131,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     length; around a passage of s shingles some s / 4 windows of s shingles are compared, so the
     work for a passage grows with the square of the item's length (documents: in proportion).
     Windows with a similarity of 0.8 differ in 58 bits (deviation 7): 3 % of those at just 0.8 lie
-    beyond the radius of 71, of which the index finds all but one in 10,000."""
+    beyond the radius of 71, of which the index finds all but one in 10,000. Pairs that met are verified
+    up to ``reach`` differing bits (384: all that met). ``exact``: fingerprints thin nothing; every pair of
+    window and item with a common shingle is verified, which loses none and takes longer."""
     # documents come and go under names of their own, whatever columns the tables have
     named = benchmark.select("item_id", _words(F.col("text")).alias("w")).where("size(w) > 0").distinct()
     named = checkpoint(named.select("item_id", F.xxhash64("w", F.lit(1)).alias("item"), F.size("w").alias("n"), _hashes("w").alias("of")).coalesce(16))  # few rows against the corpus
@@ -145,8 +152,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     cells = windows.select("row", "doc_id", "p.n", "p.start", F.least("p.n", "size").alias("n_words"), F.explode_outer(own).alias("h"))
     cells = checkpoint(cells.groupBy("row", "doc_id", "n", "start", "n_words", "h").agg(F.count("*").alias("c")))
     printed = checkpoint(_fingerprints(cells, "row", "doc_id", "n", "start", "n_words"))
-    _, near = near_prints(printed.select("n", "prints").distinct(), items, radius)
-    near = printed.join(broadcast_if_small(checkpoint(near), 200_000), ["n", "prints"]).select("row", "n", "start", "item", "distance", "total")
+    if exact:
+        met = cells.join(broadcast_if_small(parts.select("item", "n", "h")), ["n", "h"]).select("row", "n", "start", "item").distinct()
+        met = met.join(printed, ["row", "n", "start"]).join(broadcast_if_small(items.select("item", F.col("prints").alias("item_prints"))), "item")
+        near = met.select("row", "n", "start", "item", _apart().alias("distance"), "total")
+    else:
+        _, near = near_prints(printed.select("n", "prints").distinct(), items, radius, reach)
+        near = printed.join(broadcast_if_small(checkpoint(near), 200_000), ["n", "prints"]).select("row", "n", "start", "item", "distance", "total")
     # exact: shared counts of each pair
     shared = cells.join(near, ["row", "n", "start"]).join(broadcast_if_small(parts.select("item", "h", F.col("c").alias("item_c"))), ["item", "h"])
     shared = shared.groupBy("row", "doc_id", "n", "start", "n_words", "item", "distance", "total").agg(F.sum(F.least("c", "item_c")).alias("both"))
@@ -158,10 +170,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     return best.select("row", "doc_id", "item_id", (-F.col("b.back")).alias("start_word"), "b.n_words", "b.distance", "b.similarity")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, reach: int = REACH) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; all columns; see ``matches``."""
     row = free_name(docs, "__row")
-    bad = checkpoint(matches(docs, benchmark, threshold, radius).select(F.col("row").alias(row)).distinct())
+    bad = checkpoint(matches(docs, benchmark, threshold, radius, reach).select(F.col("row").alias(row)).distinct())
     return docs.withColumn(row, row_key()).join(broadcast_if_small(bad), row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 

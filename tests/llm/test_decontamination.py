@@ -87,6 +87,16 @@ def test_documents_against_brute_force(spark):
     assert all(abs(s - want[k]) < 1e-5 for k, s in found.items())
 
 
+def test_exact_mode_loses_nothing(spark):
+    """Every pair of the brute force, and the index's own results among them."""
+    sf = "/root/testdata/sf0.001"
+    d, b = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    want = brute_quick([(r.doc_id, r.text) for r in d.collect()], [(r.item_id, r.text) for r in b.collect()])
+    found = {(r.doc_id, r.item_id): r.similarity for r in matches(d, b, exact=True).collect()}
+    assert found.keys() == want.keys() and all(abs(s - want[k]) < 1e-9 for k, s in found.items())
+    assert {(r.doc_id, r.item_id) for r in matches(d, b, reach=384).collect()} <= set(want)
+
+
 def brute_quick(docs, items, threshold=0.8):
     """As ``brute``, with counts that roll along the text."""
     cut = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
