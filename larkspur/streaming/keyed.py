@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.events import session_key
+from ..operators.reports import STAT_KEYS, merge_stats, query_stats
+from ..sources.sinks import BUCKETS, upsert_buckets
 
 LIFE_MS = 7 * 24 * 3600 * 1000
 HISTORY = "session_id string, kind string, place int, event_id long, query string, id_product long"
@@ -127,3 +129,14 @@ def daily(events: DataFrame, delay: str = "1 day") -> DataFrame:
     day = F.window(F.window_time("window"), "1 day")
     by_day = by_session.groupBy(day, "id_shop").agg(F.sum("n").alias("searches"), F.count("session_id").alias("sessions"), F.sum("empty").alias("empty"), F.sum("results").alias("results"))
     return by_day.select(F.to_date("window.start").alias("day"), "id_shop", "searches", "sessions", "empty", (F.col("results") / F.col("searches")).alias("avg_results"))
+
+
+def stats_into(events: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS, by_language: bool = False, **trigger):
+    """Keeps ``query_stats`` of a stream in a table of buckets: each micro-batch is summed by query and shop,
+    and only the buckets with its queries are rewritten. A batch that comes again counts once."""
+    keys = [*STAT_KEYS, *["id_lang"] * by_language]
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        upsert_buckets(query_stats(batch, by_language), path, keys, merge_stats, batch_id, buckets)
+
+    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import events as E
 from larkspur.operators import reports
+from larkspur.sources import sinks
 from larkspur.streaming import keyed as K
 
 START = datetime.datetime(2024, 1, 1)
@@ -135,3 +136,17 @@ def test_days_are_as_in_batch(spark, tmp_path):
     key = lambda r: (r.day, r.id_shop, r.searches, r.sessions, r.empty, pytest.approx(r.avg_results))
     assert sorted(map(key, (r for _, r in out)), key=str) == sorted(map(key, batch), key=str)
     assert isinstance(pd.Timestamp(batch[0].day), pd.Timestamp) and len(out) > 10
+
+
+def test_stats_in_buckets_are_as_in_batch(spark, tmp_path):
+    """Over four micro-batches; the last one is replayed by hand and counts once."""
+    rows = some_events(200, 5, seed=7)
+    path = str(tmp_path / "stats")
+    stream = feed(spark, tmp_path / "in", rows, twice=False)
+    assert K.stats_into(stream, path, str(tmp_path / "c"), buckets=4).awaitTermination(300) is not False
+    key = lambda r: (r.query, r.id_shop, r.search_count, r.results_count, r.last_search, r.date_add)
+    want = sorted(map(key, reports.query_stats(as_frame(spark, rows)).collect()))
+    assert sorted(map(key, sinks.read_buckets(spark, path).collect())) == want
+    last = spark.read.parquet(path).agg(F.max("last_batch")).first()[0]
+    assert last == 3 and sinks.upsert_buckets(reports.query_stats(as_frame(spark, rows[:50])), path, reports.STAT_KEYS, reports.merge_stats, last, 4) == []
+    assert sorted(map(key, sinks.read_buckets(spark, path).collect())) == want
