@@ -63,10 +63,11 @@ def _tree(docs: DataFrame, min_docs: int, least_constant: float, min_tokens: int
     anything = F.xxhash64(F.lit(ANY))
     constant = (F.col("votes") >= min_docs) & (F.col("token") != anything)
     voted = fields.join(votes, ["leaf", "place", "token"]).groupBy("leaf", "line").agg(
-        F.sort_array(F.collect_list(F.struct("place", constant.alias("constant"), F.when(constant, F.col("token")).otherwise(anything).alias("token"), F.col("token").alias("own")))).alias("f"),
+        F.sort_array(F.collect_list(F.struct("place", constant.alias("constant"), F.col("token").alias("own")))).alias("f"),
         F.avg(constant.cast("int")).alias("share"),
     )
-    kept = F.when(F.col("share") >= least_constant, F.col("f.token")).otherwise(F.col("f.own"))
+    voted_tokens = F.transform("f", lambda x: F.when(x["constant"], x["own"]).otherwise(anything))
+    kept = F.when(F.col("share") >= least_constant, voted_tokens).otherwise(F.col("f.own"))
     # a line that keeps too little is a template of its own tokens, not of the masked ones
     literal = (F.col("share") < least_constant) & F.exists("f", lambda x: x["own"] == anything)
     shown = F.when(F.col("share") >= least_constant, F.col("f.constant"))
