@@ -104,15 +104,18 @@ class Index:
         return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/counts"), id_col)
 
 
-def look_up(index: Index, probes: DataFrame) -> DataFrame:
+def look_up(index: Index, probes: DataFrame, few: bool = False) -> DataFrame:
     """Distinct (query_id, id) for ``probes`` (query_id, needs): rows that have the rarest key of some
-    entry of needs, an array of arrays of keys. An entry with a key that no row has finds nothing."""
+    entry of needs, an array of arrays of keys. An entry with a key that no row has finds nothing. The
+    planner takes an exploded table for no larger than what it came from, so the sides are named here: a
+    few probes are broadcast, else both sides are shuffled; the posting lists never go through the driver."""
     each = probes.select("query_id", F.posexplode("needs").alias("probe", "keys")).select("query_id", "probe", F.explode("keys").alias("key"))
     counted = each.join(index.counts, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = counted.groupBy("query_id", "probe").agg(F.min(F.struct("n", "key")).alias("least")).where("least.n > 0")
     chosen = rarest.select("query_id", F.col("least.key").alias("key")).distinct()
     dealt = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     lists = index.postings.withColumn("salt", F.pmod(F.xxhash64(index.id_col), F.lit(SALT)).cast("int"))
+    dealt = F.broadcast(dealt) if few else dealt.hint("merge")
     return lists.join(dealt, ["key", "salt"]).select("query_id", index.id_col).distinct()
 
 
@@ -135,8 +138,9 @@ def matching(table: DataFrame, asked: DataFrame, test: Test, needs: F.Column, ke
     if few and index is None:
         return scan(table, asked, test)
     index = index or Index.build(keyed(table), id_col)
-    met = table.join(look_up(index, asked.select("query_id", needs.alias("needs"))), index.id_col)
-    met = met.join(asked.select("query_id", F.struct(*asked.columns).alias("__asked")), "query_id").where(test(F.col("__asked")))
+    sized = lambda df: df if few else df.hint("merge")
+    met = table.join(sized(look_up(index, asked.select("query_id", needs.alias("needs")), few)), index.id_col)
+    met = met.join(sized(asked.select("query_id", F.struct(*asked.columns).alias("__asked"))), "query_id").where(test(F.col("__asked")))
     return met.select(*table.columns, "__asked.*")
 
 
@@ -172,10 +176,11 @@ def with_deletions(df: DataFrame, word: str, most: F.Column, to: str) -> DataFra
 
 
 def within(left: DataFrame, right: DataFrame, keys: str = "__keys") -> DataFrame:
-    """Distinct pairs of rows of two tables that share a key; the ``keys`` columns go."""
+    """Distinct pairs of rows of two tables that share a key; the ``keys`` columns go. Both sides are shuffled
+    (see ``look_up``)."""
     one = left.select("*", F.explode_outer(keys).alias("__key")).drop(keys)
     two = right.select("*", F.explode_outer(keys).alias("__key")).drop(keys)
-    return one.join(two, "__key").drop("__key").distinct()
+    return one.join(two.hint("merge"), "__key").drop("__key").distinct()
 
 
 def misspelt(words: DataFrame, names: DataFrame, phonetic: bool = True, few: bool = False) -> DataFrame:

@@ -148,3 +148,24 @@ def test_full_search_has_no_nested_loop_over_the_catalogue(spark, sf):
     plan = frame._jdf.queryExecution().executedPlan()
     loops = [line for line in plan.toString().splitlines() if "BroadcastNestedLoopJoin" in line]
     assert all("keywords" in line or "Inner" in line for line in loops) and "CartesianProduct" not in plan.toString()
+
+
+@pytest.mark.parametrize("name", ["search_many"])
+def test_posting_lists_are_not_broadcast(spark, sf, name):
+    """However small the planner takes them for, neither the lists nor the catalogue of many queries go through the driver."""
+    frame = Q.QUERIES[name](spark, sf)
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert not any("salt" in line for line in joins)
+    if name == "search_corrected":  # one stated query: a scan, as ``search`` does it
+        assert "salt" not in plan
+    else:
+        assert not any("[id_product" in line or "[query_id" in line for line in joins)
+        assert sum("SortMergeJoin" in line and "salt" in line for line in plan.splitlines()) > 0
+
+
+def test_neighbourhoods_are_not_broadcast(spark):
+    left, right = asked(spark, ["cold"]).withColumn("__keys", F.array("query")), asked(spark, ["cold", "gear"]).select(F.col("query").alias("name"), F.array("query").alias("__keys"))
+    frame = within(left, right)
+    assert [r.name for r in frame.collect()] == ["cold"] and "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString()
