@@ -255,8 +255,10 @@ def full_search_filtered(spark, sf):
 def search_corrected(spark, sf):
     """A misspelt brand finds the brands that it resembles."""
     cat = sold_catalog(spark, sf)
-    words = search.with_words(asked(spark, "brnd#21 ring"), search.brand_names(cat))
-    return search.scored(search.candidates(cat, words), shop.ntz(AS_OF)).select("id_product", "name", "name_match_count", "relevance")
+    queries = asked(spark, "brnd#21 ring")
+    few = search.is_few(queries)  # with their words they are a join, of whose size the planner knows nothing
+    words = search.with_words(queries, search.brand_names(cat), few=few)
+    return search.scored(search.candidates(cat, words, few=few), shop.ntz(AS_OF)).select("id_product", "name", "name_match_count", "relevance")
 
 
 _CODES = "SELECT DISTINCT substr(reference, 7) AS query FROM catalog"

@@ -150,7 +150,7 @@ def test_full_search_has_no_nested_loop_over_the_catalogue(spark, sf):
     assert all("keywords" in line or "Inner" in line for line in loops) and "CartesianProduct" not in plan.toString()
 
 
-@pytest.mark.parametrize("name", ["search_many"])
+@pytest.mark.parametrize("name", ["search_corrected", "search_many"])
 def test_posting_lists_are_not_broadcast(spark, sf, name):
     """However small the planner takes them for, neither the lists nor the catalogue of many queries go through the driver."""
     frame = Q.QUERIES[name](spark, sf)
