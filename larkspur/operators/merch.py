@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .search import in_schedule, keyword_fires
@@ -57,6 +57,18 @@ def banners_for(banners: DataFrame, words: list[str], as_of: F.Column, min_word_
     return own.withColumn("place", place.cast("int")).orderBy("place", F.desc("date_add"), "id")
 
 
+def banner_list(banners: DataFrame, width: int = 10_000) -> DataFrame:
+    """(id, position, place): an admin's list of all banners, numbered by position, then id. They are numbered
+    within stretches of ``width`` ids, and only the stretches' counts are added up in one place."""
+    by = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in POSITIONS]), F.col("position")), F.lit(0))
+    own = banners.select("id", "position", by.alias("__by"), F.coalesce(F.floor(F.col("id") / width), F.lit(-1)).alias("__stretch"))
+    counts = own.groupBy("__by", "__stretch").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy().orderBy("__by", "__stretch").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__by", "__stretch", F.coalesce(before, F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy("__by", "__stretch").orderBy("id"))
+    return own.join(starts, ["__by", "__stretch"]).select("id", "position", (F.col("__start") + within).cast("int").alias("place"))
+
+
 def cache_key(query: F.Column, *more: F.Column) -> F.Column:
     return F.md5(F.concat_ws("|", F.lower(F.trim(query)), *more))
 

@@ -823,11 +823,10 @@ def recommendation_cards(spark, sf):
     return envelope.recommendations(baskets.same_category(cat, 10), cat)
 
 
-@query("banner_list", f"SELECT position, count(*) AS n, min(id) AS first, CAST(CASE position WHEN 'top' THEN 1 WHEN 'middle' THEN 2 WHEN 'bottom' THEN 3 ELSE 4 END AS INTEGER) AS place FROM ({_BANNERS}) GROUP BY 1")
+@query("banner_list", f"SELECT id, position, CAST(row_number() OVER (ORDER BY CASE position WHEN 'top' THEN 1 WHEN 'middle' THEN 2 WHEN 'bottom' THEN 3 ELSE 4 END, id) AS INTEGER) AS place FROM ({_BANNERS})")
 def banner_list(spark, sf):
-    """An admin's list: positions in their order, with their banners."""
-    place = F.array_position(F.array(*[F.lit(p) for p in merch.POSITIONS]), F.col("position")).cast("int")
-    return shop_banners(spark, sf).groupBy("position").agg(F.count("*").alias("n"), F.min("id").alias("first")).withColumn("place", place)
+    """An admin's list: every banner, by position, then id."""
+    return merch.banner_list(shop_banners(spark, sf))
 
 
 @query("search_envelope", with_views(f"""SELECT CAST(to_json({{

@@ -22,3 +22,13 @@ def test_cache(spark, sf):
     put = merch.cache_put(cache, entries)
     assert put.count() == cache.count() and put.where("result_data = 'x'").count() == 2
     assert merch.cache_get(cache, cache.select("cache_key"), shop.ntz("2030-01-01 00:00:00")).count() == 0
+
+
+def test_banner_list_has_every_banner(spark, sf):
+    rows = [(i * 7 % 100, ["top", "middle", "bottom", "sidebar", "other", None][i % 6]) for i in range(90)]
+    order = {p: k + 1 for k, p in enumerate(merch.POSITIONS)}
+    expected = [(i, p, k + 1) for k, (i, p) in enumerate(sorted(rows, key=lambda r: (order.get(r[1], 0), r[0])))]
+    for width in (3, 10_000):
+        assert sorted(map(tuple, merch.banner_list(spark.createDataFrame(rows, "id bigint, position string"), width).collect()), key=lambda r: r[2]) == expected
+    listed = Q.QUERIES["banner_list"](spark, sf)
+    assert listed.count() == listed.select("place").distinct().count() == shop.table(spark, sf, "customer").count()
