@@ -148,3 +148,12 @@ def test_sliding_window_is_a_recount_on_each_day(spark):
         counts = spark.createDataFrame(baskets.advance(counts, daily, str(day), 20).toArrow(), "a int, b int, n_orders long")
         if day in days:
             assert {(r.a, r.b): r.n_orders for r in counts.collect()} == recount(day) == at_once[day]
+
+
+def test_pairs_are_dealt_by_the_lines_size(spark, sf, monkeypatch):
+    """Pairs are dealt before they are counted, over as many tasks as the lines' size asks for."""
+    monkeypatch.setattr(baskets, "PLACE_BYTES", 1 << 10, raising=False)
+    pairs = baskets.pair_counts(shop.order_lines(spark, sf), shop.order_heads(spark, sf), shop.ntz(shop.CATALOG_AS_OF), 3650)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "LeftSemi" not in plan
