@@ -153,7 +153,25 @@ def test_sliding_window_is_a_recount_on_each_day(spark):
 def test_pairs_are_dealt_by_the_lines_size(spark, sf, monkeypatch):
     """Pairs are dealt before they are counted, over as many tasks as the lines' size asks for."""
     monkeypatch.setattr(baskets, "PLACE_BYTES", 1 << 10, raising=False)
-    pairs = baskets.pair_counts(shop.order_lines(spark, sf), shop.order_heads(spark, sf), shop.ntz(shop.CATALOG_AS_OF), 3650)
-    pairs.collect()
-    plan = pairs._jdf.queryExecution().executedPlan().toString()
-    assert "REPARTITION_BY_NUM" in plan and "LeftSemi" not in plan
+    line_rows, head_rows = shop.order_lines(spark, sf), shop.order_heads(spark, sf)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        daily = baskets.daily_pairs(line_rows, head_rows)
+        shares = daily.groupBy(F.spark_partition_id()).count().collect()
+        pairs = baskets.pair_counts(line_rows, head_rows, shop.ntz(shop.CATALOG_AS_OF), 3650)
+        pairs.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(shares) >= 8 and max(r["count"] for r in shares) < daily.count() / 4
+    for frame in (pairs, daily):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "LeftSemi" not in plan
+
+
+def test_pairs_below_the_support_leave_no_window(spark, sf):
+    daily = baskets.daily_pairs(shop.order_lines(spark, sf), shop.order_heads(spark, sf)).cache()
+    days = spark.sql("select date'2001-08-02' - cast(id * 100 as int) as day from range(8)")
+    rows = lambda sliding: sorted(map(tuple, baskets.counts_on(sliding, days, 2).collect()))
+    assert rows(baskets.sliding_counts(daily, 1500, 2)) == rows(baskets.sliding_counts(daily, 1500)) != []
+    daily.unpersist()
