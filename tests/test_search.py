@@ -81,6 +81,15 @@ def test_pairs_need_support_and_validity(spark):
     assert [(r.a, r.b, r.n_orders) for r in found] == [(10, 11, 2)]
 
 
+def test_pairs_are_not_cut(spark):
+    """Two orders of 150 products: every pair of them, more than correlations are made of."""
+    lines = spark.createDataFrame([(k, p) for k in (1, 2) for p in range(150)], "id_order int, id_product int")
+    heads = spark.createDataFrame([(k, True, datetime.datetime(2001, 7, 1)) for k in (1, 2)], "id_order int, valid boolean, date_add timestamp_ntz")
+    found = baskets.pair_counts(lines, heads, shop.ntz("2001-08-02 00:00:00")).collect()
+    assert len(found) > baskets.EDGE_CAP
+    assert sorted(map(tuple, found)) == [(a, b, 2) for a in range(150) for b in range(a + 1, 150)]
+
+
 def test_filters_parse():
     f = search.Filters.parse({"category": "1,2,x", "price_min": "abc", "price_max": "9.5", "in_stock": "1"})
     assert f.categories == (1, 2) and f.price_min is None and f.price_max == 9.5 and f.active() == 4
